@@ -7,15 +7,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from veilscan.functions.regex import strip
 
-@F.pandas_udf("string")
+
+@F.pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.str.normalize("NFKD")
@@ -38,8 +41,6 @@ def strip_diacritics(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Runs of blanks (also no-break, zero-width and thin ones) as one, none at the ends."""
-    from veilscan.functions.regex import strip
-
     return strip(F.regexp_replace(text, r"[ \t\x{a0}\x{200b}\x{2009}]+", " "))
 
 
