@@ -33,7 +33,7 @@ def _html_sql(column: str) -> str:
     return f"html_unescape({out})"
 
 
-_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def _unescaped_sql(column: str) -> str:
