@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilscan.session import spread
+
 K = "o_orderkey"
 
 
@@ -140,7 +142,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, letters_sql(), "orders")
+    return spread(_run(spark, sf_dir, letters_sql(), "orders"))
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,3 +155,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all cores for the detectors."""
+    return spread(documents(spark, sf_dir).select("doc_id", "source", "text"))

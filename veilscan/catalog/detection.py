@@ -25,7 +25,7 @@ def letter_chunks(spark, sf_dir) -> DataFrame:
 
 
 def document_chunks(spark, sf_dir) -> DataFrame:
-    docs = corpus.documents(spark, sf_dir)
+    docs = corpus.texts(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("path"), F.lit(0).cast("bigint").alias("chunk_no"), "text")
 
 

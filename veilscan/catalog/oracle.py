@@ -162,10 +162,6 @@ RULES: dict[str, tuple[str, str, str, str, bool]] = {
         r"(?:\d{2}\s?\d{2}\s?\d{6}|[А-ЯA-Z]{2}\s?\d{6})", _NO_DIGITS, "'driver_license'",
         f"CASE WHEN {_near(_WORDS['driver'], 60)} THEN 0.8 END", True,
     ),
-    "bank_card": (
-        r"[0-9](?:[ \-]?[0-9])+", f"length({only_digits('v')}) BETWEEN 13 AND 19", "'bank_card'",
-        f"CASE WHEN {luhn('v')} THEN 0.95 WHEN {_near(_WORDS['card'], 60)} THEN 0.75 END", True,
-    ),
     "bik": (
         r"[0-9]+", "length(v) = 9", "'bik'", f"CASE WHEN {bik('v')} AND {_near(_WORDS['bik'], 40)} THEN 0.9 END", True,
     ),
@@ -260,6 +256,15 @@ def _cvv() -> str:
   WHERE length(v) IN (3, 4)"""
 
 
+def _bank_card() -> str:
+    """The character behind a number is matched with it, so that greed stops where it must."""
+    pattern = r"(?:[0-9][ \-]?){12,18}[0-9](?:[^0-9]|$)"
+    base = f"CASE WHEN {luhn('v')} THEN 0.95 WHEN {_near(_WORDS['card'], 60)} THEN 0.75 END"
+    return f"""SELECT path, chunk_no, {ORDER.index('bank_card')} AS det, 'bank_card' AS category, v, s, e, CAST({base} AS DOUBLE) AS base, text
+  FROM (SELECT path, chunk_no, text, s, regexp_replace(v, '[^0-9]$', '') AS v, s + length(regexp_replace(v, '[^0-9]$', '')) AS e
+    FROM (SELECT * FROM ({hits(pattern)}) WHERE s = 0 OR NOT regexp_matches(substr(text, s, 1), '[0-9]')))"""
+
+
 def _birth_place() -> str:
     pattern = r"(?i)(?:место\s+рождения|м\.р\.)[\s:;]+([А-ЯЁ][а-яёА-ЯЁ0-9\s\,\.\-]+)"
     return f"""SELECT path, chunk_no, {ORDER.index('birth_place')} AS det, 'birth_place' AS category, trim(p, ' \n') AS v,
@@ -289,7 +294,7 @@ def _mrz() -> str:
 def detector(name: str) -> str:
     from veilscan.schema import CATEGORIES
 
-    special = {"marker": lambda: _marker(CATEGORIES), "cvv": _cvv, "birth_place": _birth_place, "mrz": _mrz}
+    special = {"marker": lambda: _marker(CATEGORIES), "cvv": _cvv, "bank_card": _bank_card, "birth_place": _birth_place, "mrz": _mrz}
     return special[name]() if name in special else _generic(name)
 
 

@@ -24,7 +24,7 @@ def _letters(spark, sf_dir) -> DataFrame:
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    docs = corpus.documents(spark, sf_dir)
+    docs = corpus.texts(spark, sf_dir)
     return docs.select(
         F.concat(F.lit("/docs/"), F.col("source"), F.lit(".txt")).alias("path"),
         F.col("doc_id").alias("chunk_no"),

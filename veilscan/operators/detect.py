@@ -28,6 +28,26 @@ _GATES = {
     "number": lambda t: t.rlike(r"(?U)\d[ \-]?\d[ \-]?\d"),
     "cyrillic": lambda t: t.rlike(r"[\x{0400}-\x{052f}\x{1c80}-\x{1c8f}]"),
 }
+# Words, or beginnings of words, without which a rule has no hit.
+_KEYWORDS = {
+    "passport": ("паспорт", "сери", "документ"),
+    "ogrn": ("огрн",),
+    "driver_license": ("вод", "ву", "driver"),
+    "bik": ("бик", "bik"),
+    "cvv": ("cvv", "cvc", "код"),
+    "birth_place": ("место", "м.р."),
+    "postal": ("адрес", "регистр", "г.", "город"),
+    "biometric": ("отпечат", "радужн", "голосов", "геометри", "биометрическ"),
+    "health": (
+        "диагноз", "анамнез", "заболеван", "медицинск", "группа", "резус", "беремен", "инвалидност", "мкб", "психиатр",
+        "нарколог", "вич", "спид", "гепатит",
+    ),
+    "religion": ("православн", "католи", "мусульман", "иудаист", "буддист"),
+    "politics": ("политическ", "член", "партийн"),
+    "race": ("этническ",),
+}
+# Letters that only a case-blind comparison takes for others: with one of them no keyword is asked for.
+_ODD_CASE = "ſİıK" + "".join(map(chr, range(0x1C80, 0x1C89)))
 
 
 @dataclass(frozen=True)
@@ -325,21 +345,51 @@ def first_of_equal(spans: Column) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(resolved)
 
 
-@lru_cache(maxsize=64)
-def _stages(text: str, radius: int, names: tuple[str, ...]) -> tuple[dict[str, Column], Column, Column]:
-    """The expressions of a detector set: gates, the matches of all patterns, the found spans.
+@dataclass(frozen=True)
+class _Stages:
+    """The expressions of a detector set, one projection each."""
 
-    They are built once and used again: the set has thousands of nodes, and each costs a round trip.
-    """
+    gates: dict[str, Column]
+    lowered: Column
+    odd_case: Column
+    words: dict[str, Column]
+    hits: Column
+    found: Column
+    resolved: Column
+
+
+def _all(tests: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for test in tests:
+        out = out & test
+    return out
+
+
+@lru_cache(maxsize=64)
+def _stages(text: str, radius: int, names: tuple[str, ...]) -> _Stages:
+    """Build the expressions once and use them again: they have thousands of nodes, each a round trip."""
     column = F.col(text)
     used = [BY_NAME[n] for n in names]
     gates = {g: _GATES[g](column) for g in _GATES if g == "marked" or any(g in d.gates for d in used)}
 
+    def basic(d: Detector) -> list[Column]:
+        return ([] if d.tables else [~F.col("_gate_marked")]) + [F.col(f"_gate_{g}") for g in d.gates]
+
+    def has_word(d: Detector) -> Column:
+        test = F.col("_odd_case")
+        for word in _KEYWORDS[d.name]:
+            test = test | F.col("_lowered").contains(word)
+        return _all(basic(d)) & test
+
+    words = {d.name: has_word(d) for d in used if d.name in _KEYWORDS}
+    needed = [F.col(f"_gate_{g}") for g in ("number", "cyrillic") if g in gates]
+    searchable = ~_all([~g for g in needed])
+    # plain searches for single characters are much cheaper than a character class
+    odd_case = searchable & ~_all([~column.contains(c) for c in _ODD_CASE])
+    lowered = F.when(searchable, F.lower(column))
+
     def allowed(d: Detector) -> Column:
-        test = F.lit(True) if d.tables else ~F.col("_gate_marked")
-        for g in d.gates:
-            test = test & F.col(f"_gate_{g}")
-        return test
+        return F.col(f"_word_{d.name}") if d.name in words else _all(basic(d))
 
     # each pattern is searched once, even when two rules use it
     wanted: dict[str, Column] = {}
@@ -360,7 +410,7 @@ def _stages(text: str, radius: int, names: tuple[str, ...]) -> tuple[dict[str, C
         for d in used
     ]
     found = _finished(F.concat(*[F.coalesce(p, none) for p in parts]), radius)
-    return gates, hits, found
+    return _Stages(gates, lowered, odd_case, words, hits, found, first_of_equal(F.col("_found")))
 
 
 def with_spans(
@@ -372,15 +422,18 @@ def with_spans(
 ) -> DataFrame:
     """Add ``spans``: every candidate of every detector, boosted and resolved, before the cut.
 
-    All detectors share one narrow projection over the scan. ``detectors`` picks some by name.
+    All detectors share one narrow pass over the scan. ``detectors`` picks some by name.
     """
     names = tuple(BY_NAME) if detectors is None else tuple(detectors)
-    gates, hits, found = _stages(text, context_window, names)
+    s = _stages(text, context_window, names)
     # one step per stage: Catalyst keeps them apart because later ones use a column more than once
-    gated = df.select("*", *[test.alias(f"_gate_{g}") for g, test in gates.items()])
-    searched = gated.select("*", hits.alias("_hits"))
-    scored = searched.select(*df.columns, found.alias("_found"))
-    return scored.select(*df.columns, first_of_equal(F.col("_found")).alias("spans"))
+    out = df.select("*", *[test.alias(f"_gate_{g}") for g, test in s.gates.items()])
+    if s.words:
+        kept = out.columns
+        out = out.select("*", s.lowered.alias("_lowered"), s.odd_case.alias("_odd_case"))
+        out = out.select(*kept, *[test.alias(f"_word_{n}") for n, test in s.words.items()])
+    out = out.select("*", s.hits.alias("_hits")).select(*df.columns, s.found.alias("_found"))
+    return out.select(*df.columns, s.resolved.alias("spans"))
 
 
 def detect(

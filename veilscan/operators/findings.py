@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def scan_chunks(
     return combine_spans(rows, min_confidence, masking, store_value_hash)
 
 
+@lru_cache(maxsize=8)
+def _masked(mode: str) -> Column:
+    """The mask of the value column, built once per mode."""
+    return mask_value(F.col("value"), F.col("category"), mode)
+
+
 def combine_spans(
     rows: DataFrame, min_confidence: float = MIN_CONFIDENCE, masking: str = "partial", store_value_hash: bool = True
 ) -> DataFrame:
@@ -78,7 +86,7 @@ def combine_spans(
     hashed = marked.select(
         "*",
         sha256_hex(F.col("value")).alias("value_hash"),
-        mask_value(F.col("value"), F.col("category"), masking).alias("value_masked"),
+        _masked(masking).alias("value_masked"),
     )
     combined = hashed.groupBy("path", "category", "value_hash", "value_masked").agg(
         F.min_by("confidence", "seen").alias("confidence"),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, name: str = "veilscan") -> SparkSession:
@@ -38,3 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/veilscan-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input that arrives in few splits.
+
+    Detection costs far more than moving the text, so idle cores are worse than the exchange. An input
+    with at least as many splits as cores, so any large one, is left alone. Only for plain scans: the
+    plan of ``df`` is asked for its partitions, which would run the exchanges of a deeper plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
