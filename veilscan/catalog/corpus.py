@@ -134,7 +134,7 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
+    return spark.sql(sql, **{t: spread(table(spark, sf_dir, t)) for t in tables})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +142,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_run(spark, sf_dir, letters_sql(), "orders"))
+    return _run(spark, sf_dir, letters_sql(), "orders")
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilscan.catalog import corpus, query
 from veilscan.functions.files import guess_kind, sniffed_kind, suffix, with_mime
 from veilscan.functions.html import html_text
+from veilscan.session import spread
 from veilscan.sources import documents as docs
 from veilscan.sources import files as src
 from veilscan.sources import json as js
@@ -48,7 +49,7 @@ _PAGE_TEXT = _unescaped_sql(_html_sql("html").removeprefix("html_unescape(")[:-1
 
 @query("src_html_text", f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages")
 def src_html_text(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    return spread(corpus.table(spark, sf_dir, "pages")).select("page_id", html_text(F.col("html")).alias("text"))
 
 
 def _page_files(spark, sf_dir):

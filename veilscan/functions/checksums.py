@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilscan.functions.regex import java, strip
+from veilscan.functions.spans import let
 
 # Weights of the check sums.
 INN10_WEIGHTS = (2, 4, 10, 3, 5, 9, 4, 6, 8)
@@ -56,36 +57,46 @@ def weighted_sum(d: Column, weights: tuple[int, ...], offset: int = 0) -> Column
 
 def luhn_check(value: Column) -> Column:
     """12 to 19 digits whose Luhn sum ends in 0."""
-    d = digits(value)
-    n = F.length(d)
 
-    def term(i: Column) -> Column:
-        once = _at(d, i)
-        twice = once * 2
-        # positions count from 1 here, so the parity test is turned around
-        return F.when((i - 1) % 2 == n % 2, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(once)
+    def test(d: Column) -> Column:
+        n = F.length(d)
+
+        def term(i: Column) -> Column:
+            once = _at(d, i)
+            twice = once * 2
+            # positions count from 1 here, so the parity test is turned around
+            doubled = F.when(twice > 9, twice - 9).otherwise(twice)
+            return F.when((i - 1) % 2 == n % 2, doubled).otherwise(once)
+
+        total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + term(i))
+        return F.when(n.between(12, 19), total % 10 == 0).otherwise(F.lit(False))
 
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + term(i))
-    return F.when(n.between(12, 19), total % 10 == 0).otherwise(F.lit(False))
+    return let(digits(value), test)
 
 
 def snils_check(value: Column) -> Column:
     """11 digits, the last two being the control number."""
-    d = _ascii_digits(value)
-    # below 100 the remainder is the sum itself; 100 and 101 both stand for 0
-    rest = weighted_sum(d, SNILS_WEIGHTS) % 101
-    check = F.when(rest == 100, F.lit(0)).otherwise(rest)
-    return F.when(F.length(d) == 11, check == _at(d, 10) * 10 + _at(d, 11)).otherwise(F.lit(False))
+
+    def test(d: Column) -> Column:
+        # below 100 the remainder is the sum itself; 100 and 101 both stand for 0
+        rest = weighted_sum(d, SNILS_WEIGHTS) % 101
+        check = F.when(rest == 100, F.lit(0)).otherwise(rest)
+        return F.when(F.length(d) == 11, check == _at(d, 10) * 10 + _at(d, 11)).otherwise(F.lit(False))
+
+    return let(_ascii_digits(value), test)
 
 
 def inn_check(value: Column) -> Column:
     """10 digits with one check digit or 12 digits with two."""
-    d = _ascii_digits(value)
-    ten = weighted_sum(d, INN10_WEIGHTS) % 11 % 10 == _at(d, 10)
-    twelve = (weighted_sum(d, INN12_WEIGHTS_1) % 11 % 10 == _at(d, 11)) & (
-        weighted_sum(d, INN12_WEIGHTS_2) % 11 % 10 == _at(d, 12)
-    )
-    return F.when(F.length(d) == 10, ten).when(F.length(d) == 12, twelve).otherwise(F.lit(False))
+
+    def test(d: Column) -> Column:
+        ten = weighted_sum(d, INN10_WEIGHTS) % 11 % 10 == _at(d, 10)
+        twelve = (weighted_sum(d, INN12_WEIGHTS_1) % 11 % 10 == _at(d, 11)) & (
+            weighted_sum(d, INN12_WEIGHTS_2) % 11 % 10 == _at(d, 12)
+        )
+        return F.when(F.length(d) == 10, ten).when(F.length(d) == 12, twelve).otherwise(F.lit(False))
+
+    return let(_ascii_digits(value), test)
 
 
 def bik_check(value: Column) -> Column:
@@ -95,13 +106,13 @@ def bik_check(value: Column) -> Column:
 
 def bik_residue(bik: Column) -> Column:
     """What the last three digits of a BIK add to an account's sum, modulo 10."""
-    return weighted_sum(_ascii_digits(bik), ACCOUNT_WEIGHTS, offset=6) % 10
+    return let(_ascii_digits(bik), lambda d: weighted_sum(d, ACCOUNT_WEIGHTS, offset=6) % 10)
 
 
 def account_residue(account: Column) -> Column:
     """What a BIK has to add so that the account's sum ends in 0."""
     weights = tuple(ACCOUNT_WEIGHTS[i % 3] for i in range(20))
-    return (10 - weighted_sum(_ascii_digits(account), weights) % 10) % 10
+    return let(_ascii_digits(account), lambda d: (10 - weighted_sum(d, weights) % 10) % 10)
 
 
 def account_check(account: Column, bik: Column) -> Column:
@@ -112,13 +123,15 @@ def account_check(account: Column, bik: Column) -> Column:
 
 def ogrn_check(value: Column) -> Column:
     """13 digits (modulo 11) or 15 digits (modulo 13), then modulo 10."""
-    d = _ascii_digits(value)
 
-    def fits(size: int, modulus: int) -> Column:
-        body = F.substring(d, 1, size - 1).try_cast("bigint")
-        return body % modulus % 10 == _at(d, size)
+    def test(d: Column) -> Column:
+        def fits(size: int, modulus: int) -> Column:
+            body = F.substring(d, 1, size - 1).try_cast("bigint")
+            return body % modulus % 10 == _at(d, size)
+
+        return F.when(F.length(d) == 13, fits(13, 11)).when(F.length(d) == 15, fits(15, 13)).otherwise(F.lit(False))
 
-    return F.when(F.length(d) == 13, fits(13, 11)).when(F.length(d) == 15, fits(15, 13)).otherwise(F.lit(False))
+    return let(_ascii_digits(value), test)
 
 
 def mrz_checkdigit(value: Column) -> Column:

@@ -33,6 +33,20 @@ def head(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
+# Stands for a match while the text is split; a code point that is never a character.
+_CUT = "﷑"
+
+
+def _between(text: Column, pattern: str) -> Column:
+    """The pieces between the matches.
+
+    ``split`` compiles its pattern for every row unless it is a single plain character, so the matches
+    are first replaced by one. A text that holds this very code point is split by the pattern itself.
+    """
+    by_character = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(_CUT)), _CUT, -1)
+    return F.when(text.contains(_CUT), F.split(text, pattern, -1)).otherwise(by_character)
+
+
 def pieces(text: Column, pattern: str, side: int = 0) -> Column:
     """The matches of a pattern, each with the text before it and up to ``side`` characters after it.
 
@@ -46,7 +60,7 @@ def pieces(text: Column, pattern: str, side: int = 0) -> Column:
         after = F.array().cast("array<string>")
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-        F.split(text, pattern, -1).alias("piece"),
+        _between(text, pattern).alias("piece"),
         after.alias("after"),
     )
     # the piece after the last match has no partner and falls away

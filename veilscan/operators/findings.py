@@ -32,7 +32,8 @@ def scan_chunks(
 ) -> DataFrame:
     """One row per file, category and distinct value, plus rows without a category.
 
-    ``chunks`` holds path, chunk_no, text, locator and, if a source reports them, error. The sizes of
+    ``chunks`` holds path, chunk_no, text, locator and, if a source reports them, error; a row with an error
+    has no text of its own. The sizes of
     all chunks ride along, so a single pass and a single shuffle serve findings and reports. Equal
     values are combined before the shuffle, so a file with very many findings does not make one task hot.
     ``extra_spans`` adds spans of the same chunks that another detector found (see ``entities``).
@@ -79,22 +80,26 @@ def combine_spans(
         F.when(passed, value).alias("value"),
         "confidence",
         first_seen(F.col("chunk_no"), F.coalesce(F.col("span_no"), F.lit(0))).alias("seen"),
-        F.col("error"),
+        F.when(~F.coalesce(passed, F.lit(False)), F.col("error")).alias("error"),
         F.when(opening, F.col("text_length")).alias("text_length"),
         F.when(opening, F.col("rows_processed")).alias("rows_processed"),
     )
-    hashed = marked.select(
-        "*",
-        sha256_hex(F.col("value")).alias("value_hash"),
-        _masked(masking).alias("value_masked"),
-    )
-    combined = hashed.groupBy("path", "category", "value_hash", "value_masked").agg(
+    # The value itself is the key: it is shorter than its hash, and hash and mask are then made once per value.
+    # Errors are a key too, as a maximum of strings would turn the hash aggregation into a sort.
+    combined = marked.groupBy("path", "category", "value", "error").agg(
         F.min_by("confidence", "seen").alias("confidence"),
         F.min("seen").alias("seen"),
         F.count("category").alias("occurrences"),
         F.sum("text_length").alias("text_length"),
         F.sum("rows_processed").alias("rows_processed"),
-        F.max("error").alias("error"),
+    )
+    combined = combined.select(
+        "path",
+        "category",
+        sha256_hex(F.col("value")).alias("value_hash"),
+        _masked(masking).alias("value_masked"),
+        *combined.columns[4:],
+        "error",
     )
     if store_value_hash:
         return combined
