@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.catalog import corpus, oracle, query
-from veilscan.catalog.detection import DOCUMENTS_SQL, letters_source
-from veilscan.functions.files import suffix, with_mime, guess_kind
+from veilscan.catalog.detection import letters_source
+from veilscan.functions.files import guess_kind, suffix, with_mime
 from veilscan.operators import classify as cls
 from veilscan.operators import dedup
 from veilscan.operators import findings as fnd

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilscan.catalog import corpus, query
 from veilscan.functions.files import guess_kind, sniffed_kind, suffix, with_mime
 from veilscan.functions.html import html_text
+from veilscan.operators.findings import first_chunks
 from veilscan.session import spread
 from veilscan.sources import documents as docs
 from veilscan.sources import files as src
@@ -305,3 +306,58 @@ def src_decoder_hook(spark, sf_dir):
     )
     chunks = src.decoded_chunks(files, {"lines": _paragraphs})
     return chunks.withColumn("path", F.col("path").cast("bigint"))
+
+
+@query(
+    "src_first_chunks",
+    "SELECT conv_id AS path, turn AS chunk_no, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
+)
+def src_first_chunks(spark, sf_dir):
+    turns = corpus.table(spark, sf_dir, "conversations")
+    return first_chunks(turns.select(F.col("conv_id").alias("path"), F.col("turn").alias("chunk_no"), "text"), 2)
+
+
+@query(
+    "prf_csv_schemas",
+    """SELECT path, no - 1 AS column_no, ['id', 'full_name', 'segment', 'email', 'note'][no] AS "column",
+      CASE file_no % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter
+    FROM (SELECT *, unnest(range(1, 6)) AS no FROM (SELECT '/csv/' || file_no || CASE WHEN file_no % 3 = 2 THEN '.tsv' ELSE '.csv' END AS path, file_no, size FROM (
+      SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS file_no,
+        33 + 2 + sum(length(CAST(c_custkey AS STRING)) + length(c_name) + 1 + 8 + 2 + length(c_mktsegment)
+          + CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 12 + length(CAST(c_custkey AS STRING)) + 1 END + 4 + CASE WHEN c_custkey % 50 = 7 THEN 15 ELSE 0 END + 2) AS size
+      FROM customer GROUP BY ALL) ORDER BY size DESC, path LIMIT 25))""",
+)
+def prf_csv_schemas(spark, sf_dir):
+    return tab.csv_schemas(_csv_files(spark, sf_dir)).select("path", "column_no", "column", "delimiter")
+
+
+@query(
+    "prf_json_schemas",
+    """SELECT path, CASE WHEN bad THEN NULL ELSE no - 1 END AS key_no, CASE WHEN NOT bad THEN ['order', 'list', 'прио'][no] END AS key
+    FROM (SELECT *, unnest(range(1, CASE WHEN bad THEN 2 ELSE 4 END)) AS no FROM (
+      SELECT '/json/' || o_orderkey || '.json' AS path, o_orderkey % 10 = 3 AS bad, strlen(raw) AS size FROM (NESTED) ORDER BY size DESC, path LIMIT 15))""".replace(
+        "NESTED", _NESTED
+    ),
+)
+def prf_json_schemas(spark, sf_dir):
+    rows = corpus._run(spark, sf_dir, _NESTED, "orders")
+    files = rows.select(
+        F.concat(F.lit("/json/"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("path"),
+        F.octet_length("raw").cast("bigint").alias("size"),
+        F.col("raw").cast("binary").alias("content"),
+    )
+    return tab.json_schemas(files).select("path", "key_no", "key")
+
+
+_PROFILED = ("customer", "supplier", "orders", "documents")
+
+
+@query(
+    "prf_parquet_schemas",
+    " UNION ALL ".join(
+        f"""SELECT '{t}.parquet' AS path, row_number() OVER () - 1 AS column_no, column_name AS "column" FROM (DESCRIBE {t})""" for t in _PROFILED
+    ),
+)
+def prf_parquet_schemas(spark, sf_dir):
+    columns = tab.parquet_schemas(spark, [f"{sf_dir}/{t}.parquet" for t in _PROFILED])
+    return columns.withColumn("path", F.substring_index("path", "/", -1))

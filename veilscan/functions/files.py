@@ -97,6 +97,16 @@ def guess_kind(ext: Column, mime: Column) -> Column:
     return F.coalesce(_label_of(ext, KIND_OF_EXTENSION), by_mime)
 
 
+def extensions_of(*kinds: str) -> list[str]:
+    """All extensions of some reader families: the fixed ones, and those whose media type belongs to one."""
+    fixed = {e: kind for kind, extensions in KIND_OF_EXTENSION.items() for e in extensions}
+    by_type = {"text/html": "html", "text/csv": "csv", "application/pdf": "pdf", "application/json": "json"}
+    by_family = {"text": "text", "image": "image", "video": "video"}
+    for ext, mime in mimetypes.MimeTypes().types_map[True].items():
+        fixed.setdefault(ext, by_type.get(mime) or by_family.get(mime.split("/")[0], ""))
+    return sorted(e for e, kind in fixed.items() if kind in kinds)
+
+
 def sniffed_kind(kind: Column, content: Column) -> Column:
     """Files declared as documents that begin like a web page are web pages."""
     head = F.lower(F.regexp_replace(F.decode(F.substring(content, 1, 512), "ISO-8859-1"), r"^[ \t\n\r\f\x0b]+", ""))

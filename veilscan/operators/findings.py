@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilscan.functions.masking import mask_value, sha256_hex
@@ -21,6 +22,12 @@ def first_seen(chunk_no: Column, span_no: Column) -> Column:
     return (chunks + span_no.cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
+def first_chunks(chunks: DataFrame, n: int) -> DataFrame:
+    """The first chunks of each file, for a quick look; the rank limit works before the shuffle as well."""
+    rank = F.row_number().over(W.partitionBy("path").orderBy("chunk_no"))
+    return chunks.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+
+
 def scan_chunks(
     chunks: DataFrame,
     *,

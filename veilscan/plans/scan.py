@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.functions.files import KIND_OF_EXTENSION
+from veilscan.functions.files import SNIFFED_KINDS, extensions_of
 from veilscan.operators.dedup import content_hash, keep_first
 from veilscan.operators.findings import findings, scan_chunks
 from veilscan.operators.reports import file_reports
@@ -57,18 +57,23 @@ def scanned_files(spark: SparkSession, root: str, options: ScanOptions) -> DataF
 def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
     """Chunks of all supported files below a folder. Each format goes through its own reader."""
     limit = options.whole_file_bytes
-    typed = describe(binary_files(spark, root).filter(F.col("size") <= limit), root)
-    files = with_actual_kind(typed)
-    text_glob = file_name_glob(KIND_OF_EXTENSION["text"])
-    csv_glob = file_name_glob(KIND_OF_EXTENSION["csv"])
+
+    def files_of(*kinds: str) -> DataFrame:
+        # only the extensions of a reader are listed for it, so the content of other files is not read
+        found = binary_files(spark, root, extensions_of(*kinds)).filter(F.col("size") <= limit)
+        return with_actual_kind(describe(found, root))
+
+    text_glob = file_name_glob(extensions_of("text"))
+    csv_glob = file_name_glob(extensions_of("csv"))
     max_chunks = MAX_CHUNKS_PER_FILE if options.sample else None
     parts = [
-        text_chunks(files, limit),
+        text_chunks(files_of("text"), limit),
         large_text_chunks(spark, root, text_glob, limit),
-        html_chunks(files, 5 * 1024 * 1024 if options.sample else None),
-        csv_chunks(files, limit, max_chunks),
+        # documents of other kinds may be web pages in truth
+        html_chunks(files_of("html", *SNIFFED_KINDS), 5 * 1024 * 1024 if options.sample else None),
+        csv_chunks(files_of("csv"), limit, max_chunks),
         large_csv_chunks(spark, root, csv_glob, limit),
-        json_chunks(files, limit, 10 * 1024 * 1024 if options.sample else None),
+        json_chunks(files_of("json"), limit, 10 * 1024 * 1024 if options.sample else None),
         json_line_chunks(spark, root, file_name_glob(LINE_EXTENSIONS), MAX_OBJECTS if options.sample else None),
     ]
     if _any_file(spark, root, file_name_glob((".parquet",))):
@@ -79,7 +84,7 @@ def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFra
         chunks = chunks.unionByName(part)
     chunks = chunks.withColumn("error", F.lit(None).cast("string"))
     if options.decoders:
-        chunks = chunks.unionByName(decoded_chunks(files, options.decoders))
+        chunks = chunks.unionByName(decoded_chunks(files_of(*options.decoders), options.decoders))
     return chunks
 
 

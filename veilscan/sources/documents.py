@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.functions.files import KIND_OF_EXTENSION
 from veilscan.functions.html import html_text
 from veilscan.sources.files import WHOLE_FILE_BYTES, file_path
 
@@ -76,5 +75,3 @@ def html_chunks(files: DataFrame, max_chars: int | None = None) -> DataFrame:
         page = F.substring(page, 1, max_chars)
     return whole_file_chunks(files.filter(F.col("kind") == "html"), html_text(page), "html")
 
-
-TEXT_EXTENSIONS = KIND_OF_EXTENSION["text"]

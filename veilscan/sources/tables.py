@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,12 @@ def column_category(name: Column) -> Column:
     return first_rule(name, patterns.COLUMN_CATEGORY)
 
 
+def name_category(name: str) -> str | None:
+    """The same for a name known when the plan is built."""
+    hits = (label for label, pattern in patterns.COLUMN_CATEGORY.items() if re.search(pattern, name, re.IGNORECASE))
+    return next(hits, None)
+
+
 def rendered_cell(name: Column, category: Column, value: Column) -> Column:
     """``name=value``, or a marker where the name tells the category; null for an empty cell."""
     marker = F.concat(F.lit("[[PII_DIRECT:"), category, F.lit(":"), value, F.lit("]]"))
@@ -44,11 +51,7 @@ def shown(df: DataFrame, name: str) -> Column:
 
 def rendered_row(df: DataFrame, columns: Sequence[str], markers: bool = True) -> Column:
     """A table row as text. The rules run over the column names once, when the plan is built."""
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string") if markers else None
-    category = {}
-    if names is not None:
-        picked = names.select("name", column_category(F.col("name")).alias("category"))
-        category = {r["name"]: r["category"] for r in picked.collect()}
+    category = {c: name_category(c) for c in columns} if markers else {}
     cells = [rendered_cell(F.lit(c), F.lit(category.get(c)).cast("string"), shown(df, c)) for c in columns]
     return F.concat_ws("; ", *cells)
 
@@ -244,3 +247,50 @@ def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int =
         "path", F.col("header_no").alias("chunk_no"), F.array_join("names", " ").alias("text"), F.lit("header").alias("locator")
     )
     return top.unionByName(body)
+
+
+# How many files of a format the profile looks into, and how much of each.
+CSV_FILES, JSON_FILES, PARQUET_FILES = 25, 15, 10
+HEAD_BYTES = 64 * 1024
+JSON_KEYS = 30
+
+
+def _largest(files: DataFrame, extensions: tuple[str, ...], n: int) -> DataFrame:
+    """The largest files of a format, with the start of their content as text."""
+    picked = files.filter(suffix(F.col("path")).isin(list(extensions))).orderBy(F.desc("size"), "path").limit(n)
+    head = F.make_valid_utf8(F.substring("content", F.lit(1), F.lit(HEAD_BYTES)).cast("string"))
+    return picked.select("path", "size", head.alias("head"))
+
+
+def csv_schemas(files: DataFrame, n: int = CSV_FILES) -> DataFrame:
+    """Header columns of the largest delimited files, one row per column; the separator is that of the header."""
+    first = F.regexp_extract("head", r"\A([^\r\n]*)", 1)
+    count = {s: F.length(first) - F.length(F.replace(first, F.lit(s), F.lit(""))) for s in SEPARATORS}
+    sep = F.when((count[";"] > count[","]) & (count[";"] >= count["\t"]), F.lit(";")).when(
+        count["\t"] > count[","], F.lit("\t")
+    )
+    heads = _largest(files, (".csv", ".tsv"), n).select(
+        "path", "size", first.alias("first"), F.coalesce(sep, F.lit(",")).alias("delimiter")
+    )
+    return heads.select(
+        "path", "size", "delimiter", F.posexplode(fields(F.col("first"), F.col("delimiter"))).alias("column_no", "column")
+    )
+
+
+def json_schemas(files: DataFrame, n: int = JSON_FILES) -> DataFrame:
+    """Top keys of the largest JSON files: of the object, the first object of a list, or the first line."""
+    lined = suffix(F.col("path")) != ".json"
+    text = F.when(lined, F.substring_index("head", "\n", 1)).otherwise(F.col("head"))
+    heads = _largest(files, (".json", ".jsonl", ".ndjson"), n).select("path", "size", lined.alias("lined"), text.alias("text"))
+    whole = F.json_object_keys("text")
+    first = F.when(~F.col("lined"), F.json_object_keys(F.get_json_object("text", "$[0]")))
+    keys = F.when(F.try_parse_json("text").isNotNull(), F.coalesce(whole, first))
+    return heads.select(
+        "path", "size", F.posexplode_outer(F.slice(keys, 1, JSON_KEYS)).alias("key_no", "key")
+    )
+
+
+def parquet_schemas(spark: SparkSession, paths: Sequence[str], n: int = PARQUET_FILES) -> DataFrame:
+    """Columns of some Parquet files, from their footers."""
+    rows = [(p, i, c) for p in list(paths)[:n] for i, c in enumerate(spark.read.parquet(p).columns)]
+    return spark.createDataFrame(rows, "path string, column_no int, column string")
