@@ -12,8 +12,9 @@ from veilscan.plans.scan import scan_tree, tree_chunks, ScanOptions
 from veilscan.session import shared_dir
 from veilscan.sources import sinks
 from veilscan.sources.files import list_files
+from veilscan.sources.tables import parquet_schemas
 from veilscan.streaming.stream import scanned_so_far, start_scan, stream_files
-from veilscan.operators.findings import findings, scan_chunks
+from veilscan.operators.findings import findings
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +117,11 @@ def test_stream_equals_batch(spark, tree):
     assert sorted((r["category"], r["occurrences"]) for r in streamed) == [("email", 1), ("fio", 1)]
 
 
+def test_parquet_schemas(spark, tree):
+    rows = parquet_schemas(spark, [f"{tree}/t.parquet"] * 12).collect()
+    assert [(r["column_no"], r["column"]) for r in rows] == [(0, "Email"), (1, "ok")] * 10
+
+
 def test_html(spark):
     pages = {
         "<p>a</p><p>b &amp;lt; c</p>": "a b &lt; c",

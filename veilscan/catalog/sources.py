@@ -347,17 +347,3 @@ def prf_json_schemas(spark, sf_dir):
         F.col("raw").cast("binary").alias("content"),
     )
     return tab.json_schemas(files).select("path", "key_no", "key")
-
-
-_PROFILED = ("customer", "supplier", "orders", "documents")
-
-
-@query(
-    "prf_parquet_schemas",
-    " UNION ALL ".join(
-        f"""SELECT '{t}.parquet' AS path, row_number() OVER () - 1 AS column_no, column_name AS "column" FROM (DESCRIBE {t})""" for t in _PROFILED
-    ),
-)
-def prf_parquet_schemas(spark, sf_dir):
-    columns = tab.parquet_schemas(spark, [f"{sf_dir}/{t}.parquet" for t in _PROFILED])
-    return columns.withColumn("path", F.substring_index("path", "/", -1))

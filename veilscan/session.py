@@ -20,6 +20,8 @@ def local_session(cores: int | str = 8, name: str = "veilscan") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("VEILSCAN_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # plans here have thousands of expressions; recording the call site of each takes most of the build time
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -37,15 +37,18 @@ def line_number() -> Column:
     return F.col("_metadata.file_block_start") + in_task
 
 
-def lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Lines of all files that match a glob, in splits: path, size, line_no, value."""
+def lines(spark: SparkSession, root: str, glob: str, above: int = -1) -> DataFrame:
+    """Lines of all files that match a glob and are larger than ``above``, in splits.
+
+    The size is tested before lines are numbered, so Spark leaves smaller files out of the scan.
+    """
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .text(root)
+        .filter(F.col("_metadata.file_size") > above)
         .select(
             file_path().alias("path"),
-            F.col("_metadata.file_size").alias("size"),
             F.col("_metadata.file_block_start").alias("block_start"),
             line_number().alias("line_no"),
             "value",
@@ -62,9 +65,14 @@ def text_chunks(files: DataFrame, max_bytes: int = WHOLE_FILE_BYTES) -> DataFram
 def large_text_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Plain text files that are too large to hold in one value, one chunk per line."""
     return (
-        lines(spark, root, glob)
-        .filter((F.col("size") > min_bytes) & (F.col("value") != ""))
-        .select("path", F.col("line_no").alias("chunk_no"), decode_text(F.col("value").cast("binary")).alias("text"), F.lit("line").alias("locator"))
+        lines(spark, root, glob, min_bytes)
+        .filter(F.col("value") != "")
+        .select(
+            "path",
+            F.col("line_no").alias("chunk_no"),
+            decode_text(F.col("value").cast("binary")).alias("text"),
+            F.lit("line").alias("locator"),
+        )
     )
 
 

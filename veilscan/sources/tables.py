@@ -228,7 +228,7 @@ def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int =
     Quoted fields may not hold line ends here. The heads are one row per large file; Spark broadcasts them
     when they are small and splits the large files of a shuffled join otherwise.
     """
-    rows = lines(spark, root, glob).filter(F.col("size") > min_bytes)
+    rows = lines(spark, root, glob, min_bytes)
     heads = large_csv_heads(rows)
     cells = fields(F.regexp_replace("value", r"\r\z", ""), F.col("sep"))
     body = (
