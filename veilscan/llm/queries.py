@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veilscan.llm import quality_rules
+from veilscan.llm import byte_bpe, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 
 SQL = {
