@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veilscan.llm import byte_bpe, quality_rules
+from veilscan.llm import byte_bpe, quality_rules, token_files
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_token_files": token_files.op5_token_files,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 
