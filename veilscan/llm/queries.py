@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from veilscan.llm import byte_bpe, quality_rules, token_files
+from veilscan.llm import byte_bpe, jaccard_groups, quality_rules, token_files
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
+    "op6_jaccard_groups": jaccard_groups.op6_jaccard_groups,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 
 SQL = {
     "op4_quality_rules": quality_rules.SQL,
+    "op6_jaccard_groups": jaccard_groups.SQL,
 }
