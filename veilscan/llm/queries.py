@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilscan.llm import byte_bpe, jaccard_groups, quality_rules, token_files
+from veilscan.llm import byte_bpe, chat_snapshots, jaccard_groups, quality_rules, token_files
 
 QUERIES = {
+    "op2_chat_snapshots": chat_snapshots.op2_chat_snapshots,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_jaccard_groups": jaccard_groups.op6_jaccard_groups,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_chat_snapshots": chat_snapshots.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_jaccard_groups": jaccard_groups.SQL,
 }
