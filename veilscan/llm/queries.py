@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilscan.llm import byte_bpe, chat_snapshots, jaccard_groups, quality_rules, token_files
+from veilscan.llm import byte_bpe, chat_snapshots, jaccard_groups, license_scan, quality_rules, token_files
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_chat_snapshots": chat_snapshots.op2_chat_snapshots,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
