@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilscan.llm import byte_bpe, chat_snapshots, jaccard_groups, license_scan, quality_rules, token_files
+from veilscan.llm import byte_bpe, chat_snapshots, decontaminate, jaccard_groups, license_scan, quality_rules, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_jaccard_groups": jaccard_groups.op6_jaccard_groups,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 SQL = {
