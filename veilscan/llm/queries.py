@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilscan.llm import byte_bpe, chat_snapshots, decontaminate, jaccard_groups, license_scan, quality_rules, token_files
+from veilscan.llm import byte_bpe, chat_snapshots, decontaminate, jaccard_groups, license_scan, pu_quality, quality_rules, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_chat_snapshots": chat_snapshots.op2_chat_snapshots,
+    "op3_pu_quality": pu_quality.op3_pu_quality,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_jaccard_groups": jaccard_groups.op6_jaccard_groups,
