@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from veilscan.llm import words as W
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Cached pieces and pre-tokens of a task, forgotten together when there are more.
-REMEMBERED = 200_000
+#: Pieces that a task remembers with their ids; forgotten together when there are more.
+REMEMBERED = 500_000
+#: Which characters are letters is settled below this one.
+_STABLE = "\u0250"
 #: Where bytes stand as characters in the model's pieces.
 SHIFT = 0x100
 _MAPPED = {b: chr(SHIFT + b) for b in range(256)}
@@ -96,27 +99,38 @@ class Codec:
         self._at = np.concatenate([[0], np.cumsum(self._lens)])
         self._bytes = np.concatenate(low)
         self._pieces: dict[bytes, bytes] = {}
-        self._tokens: dict[str, bytes] = {}
+        # whether a run of letters behind one space at most is always one match
+        self._plain = all(self._find(t) == [t] for t in (" a", "a", " \u00e9b", "\u00dfA"))
 
     def _learn(self, missing: list[bytes]) -> None:
         """Encode pieces not seen yet."""
-        if len(self._pieces) > REMEMBERED:
-            self._pieces.clear()
-            self._tokens.clear()
-        found = [(piece, self._find(piece.decode())) for piece in missing]
-        new = [t for t in {t for _, tokens in found for t in tokens} if t not in self._tokens]
-        rest = []
-        for token in new:
-            raw = token.encode()
-            rank = self._rank.get(raw)
-            if rank is None:
-                rest.append((token, mapped(raw)))
-            else:
-                self._tokens[token] = rank.to_bytes(4, "little")
-        for (token, _), ids in zip(rest, self._model.encode([m for _, m in rest], out_type=int, num_threads=1), strict=True):
-            self._tokens[token] = (np.array(ids, dtype="<u4") - 1).astype("<u4").tobytes()
-        for piece, tokens in found:
-            self._pieces[piece] = b"".join([self._tokens[t] for t in tokens])
+        joined = b"".join(missing)
+        # every byte as one character, so that pre-tokens are slices of this
+        wide = (np.frombuffer(joined, dtype=np.uint8).astype("<u2") + SHIFT).tobytes().decode("utf-16-le")
+        parts: list[bytes | int] = []
+        bounds, items, at = [0], [], 0
+        for piece in missing:
+            text = piece.decode()
+            body = text[1:] if text[0] == " " else text
+            # letters of the first blocks of Unicode, behind one space at most, are one match of the pattern
+            tokens = (piece,) if self._plain and body.isalpha() and max(body) < _STABLE else [t.encode() for t in self._find(text)]
+            for token in tokens:
+                rank = self._rank.get(token)
+                if rank is None:
+                    parts.append(len(items))
+                    items.append(wide[at : at + len(token)])
+                else:
+                    parts.append(rank.to_bytes(4, "little"))
+                at += len(token)
+            bounds.append(len(parts))
+        coded = self._model.encode(items, out_type=int, num_threads=1)
+        cuts = np.zeros(len(coded) + 1, dtype=np.int64)
+        np.cumsum([len(c) for c in coded], out=cuts[1:])
+        flat = (np.fromiter(chain.from_iterable(coded), dtype=np.int64, count=int(cuts[-1])) - 1).astype("<u4").tobytes()
+        cuts = (cuts * 4).tolist()
+        parts = [p if isinstance(p, bytes) else flat[cuts[p] : cuts[p + 1]] for p in parts]
+        for piece, a, b in zip(missing, bounds, bounds[1:]):
+            self._pieces[piece] = parts[a] if b == a + 1 else b"".join(parts[a:b])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and where each text's ids start."""
@@ -140,12 +154,12 @@ class Codec:
             pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
         pieces = column.dictionary.to_pylist()
-        missing = [p for p in pieces if p not in self._pieces]
+        if len(self._pieces) > REMEMBERED:
+            self._pieces.clear()
+        missing = [p for p in pieces if p and p not in self._pieces]
         if missing:
-            if len(self._pieces) > REMEMBERED:
-                missing = pieces
             self._learn(missing)
-        coded = [self._pieces[p] for p in pieces]
+        coded = [self._pieces[p] if p else b"" for p in pieces]
         codes = column.indices.to_numpy()
         counts = np.array([len(c) >> 2 for c in coded], dtype=np.int64)[codes] if len(coded) else np.zeros(0, np.int64)
         ids = np.frombuffer(b"".join([coded[c] for c in codes[keep].tolist()]), dtype="<u4")
