@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilscan.llm import byte_bpe, chat_snapshots, context_mixing, decontaminate, jaccard_groups, license_scan, pu_quality, quality_rules, token_files
+from veilscan.llm import byte_bpe, chat_snapshots, context_mixing, decontaminate, jaccard_groups, license_scan, pu_quality, quality_rules, repeated_bytes, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_jaccard_groups": jaccard_groups.op6_jaccard_groups,
+    "op7_repeated_bytes": repeated_bytes.op7_repeated_bytes,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_context_mixing": context_mixing.op10_context_mixing,
