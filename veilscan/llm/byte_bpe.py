@@ -206,10 +206,11 @@ def _binary(offs: np.ndarray, data: np.ndarray) -> pa.Array:
     return wide.cast(pa.binary())
 
 
-def digest(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digest(coded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts and digests of encoded rows; computed by Spark on the operator's binary columns."""
     return coded.select(
         id_col,
+        *keep,
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

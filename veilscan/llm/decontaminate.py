@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm import words as W
+from veilscan.llm.rows import filtered
 
 LEAST, COVERAGE = 3, 0.6
 #: Bytes of items whose seeds one task holds.
@@ -157,21 +158,56 @@ def contaminated(
 
     ``tiles`` are (start, end) in characters of the text, ascending.
     """
-    items = benchmark.select("item_id", "text").where("octet_length(text) > 0")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-int(total) // block_bytes)
+    items, blocks = _blocks(benchmark, block_bytes)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, item_kind = source.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     fields = f"id {kind}, item_id {item_kind}, coverage double, n_tiles int, longest int, tiles array<struct<start: long, end: long>>"
     out = docs.sparkSession.createDataFrame([], fields)
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        part = _block(items, blocks, block)
         run = _runner(part["text"].combine_chunks(), part["item_id"].combine_chunks(), coverage, least)
         found = source.mapInArrow(run, fields)
         out = found if blocks == 1 else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Items with a text, and to how many blocks they are dealt."""
+    items = benchmark.select("item_id", "text").where("octet_length(text) > 0")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, -(-int(total) // block_bytes)
+
+
+def _block(items: DataFrame, blocks: int, block: int) -> pa.Table:
+    return items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+
+
+def clean_rows(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_bytes: int = BLOCK_BYTES, text_col: str = "text"
+) -> DataFrame:
+    """The rows in which no item is found, with all their columns, in the pass that reads them."""
+    items, blocks = _blocks(benchmark, block_bytes)
+    for block in range(blocks):
+        docs = filtered(docs, text_col, _keeper(_block(items, blocks, block)["text"].combine_chunks(), coverage, least))
+    return docs
+
+
+def _keeper(texts: pa.Array, coverage: float, least: int):
+    seeds = Seeds(texts, least)
+
+    def keep():
+        def kept(column: pa.Array) -> pa.Array:
+            data, offs = W.texts(column)
+            out = np.ones(len(column), dtype=bool)
+            for first, _, part, cuts in W.slices(data, offs):
+                out[[first + found[0] for found in find(seeds, part, cuts, coverage)]] = False
+            return pa.array(out)
+
+        return kept
+
+    return keep
+
+
 def _runner(texts: pa.Array, item_ids: pa.Array, coverage: float, least: int):
     seeds = Seeds(texts, least)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

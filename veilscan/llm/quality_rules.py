@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm import words as W
+from veilscan.llm.rows import filtered
 
 #: The highest share of word characters inside repeated n-grams, by n.
 NGRAM_LIMITS: Mapping[int, float] = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
@@ -143,6 +144,28 @@ def judge(counts: DataFrame, limits: Mapping[int, float] = NGRAM_LIMITS, line_li
     )
 
 
+def kept_rows(docs: DataFrame, text_col: str = "text", limits: Mapping[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns, in the pass that reads them."""
+    ns = sorted({*limits, REPEAT_WORDS})
+
+    def keep():
+        def kept(column: pa.Array) -> pa.Array:
+            data, offs = W.texts(column)
+            out = [np.zeros(0, dtype=bool)]
+            for _, _, part, cuts in W.slices(data, offs):
+                got = measure(part, cuts, ns)
+                some = np.maximum(got["word_chars"], 1)
+                good = (got["n_words"] >= MIN_WORDS) & (100 * got[f"words_{REPEAT_WORDS}"] <= REPEAT_PERCENT * got["n_words"])
+                for n, limit in limits.items():
+                    good &= got[f"chars_{n}"] <= limit * some
+                out.append(good & (got["line_chars"] <= line_limit * some))
+            return pa.array(np.concatenate(out))
+
+        return kept
+
+    return filtered(docs, text_col, keep)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition of every whole text of ``documents``, and whether it is kept."""
     judged = judge(repetition(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm import words as W
+from veilscan.llm.rows import rewritten
 from veilscan.llm.shared import written
 
 LENGTH, GRAM = 100, 24
@@ -531,6 +532,37 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("id", F.when(F.col("id") > -(1 << 63), F.col("id")).cast(kind)).withColumnRenamed("id", id_col)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with every text cut; a character goes if all its bytes do, so texts stay valid. Null texts stay null."""
+    found = spans(keyed(docs, id_col, text_col), length, gram).select(
+        F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")
+    )
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("_h")]
+    joined = docs.join(found, own, "left").drop("_id", "_h")
+
+    def rewrite(batch: pa.RecordBatch) -> pa.Array:
+        data, offs = W.texts(batch.column(0))
+        gone = np.zeros(len(data) + 1, dtype=np.int32)
+        starts, ends = batch.column(1), batch.column(2)
+        owner = np.repeat(offs[:-1], [len(v) if v.is_valid else 0 for v in starts])
+        np.add.at(gone, owner + starts.flatten().to_numpy(zero_copy_only=False), 1)
+        np.add.at(gone, owner + ends.flatten().to_numpy(zero_copy_only=False), -1)
+        keep = np.cumsum(gone[:-1]) == 0
+        # a character with a kept byte is kept
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        if len(lead):
+            whole = np.maximum.reduceat(keep, lead)
+            keep = np.repeat(whole, np.diff(np.append(lead, len(data))))
+        cuts = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(keep, out=cuts[1:])
+        body = np.ascontiguousarray(data[keep])
+        text = pa.LargeStringArray.from_buffers(len(batch), pa.py_buffer(cuts[offs]), pa.py_buffer(body))
+        text = text.cast(pa.string())
+        return pa.array(text.to_pylist(), pa.string(), mask=np.asarray(batch.column(0).is_null())) if batch.column(0).null_count else text
+
+    return rewritten(joined, text_col, ["_starts", "_ends"], rewrite)
+
+
 def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated bytes of every whole text of ``documents``."""
     found = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,8 +3,8 @@
 Format: a folder with two Parquet tables. ``code`` has one row: the code length of every id (one byte each, 0: the
 id does not occur). Codes are canonical: ascending by length, then by id. ``blocks`` has a row per block: ``file``
 and ``block`` (order of the blocks), ``doc_ids`` and ``doc_tokens`` of the whole documents in it, ``bits`` (the codes one
-after another, most significant bit first) and ``checkpoints`` (bits of each run of 64 ids, unsigned 16-bit
-little-endian), from which the bit offset of each run follows. A block is decoded by itself: all its runs at once, each
+after another, most significant bit first, each document from a byte of its own on) and ``checkpoints`` (bits of each run
+of 64 ids of a document, unsigned 16-bit little-endian), from which the bit offset of each run follows. A block is decoded by itself: all its runs at once, each
 step looking up the next bits in one table.
 
 Files are in ascending order of the document id. Texts are encoded where they are read, the ids written once, counted
@@ -35,29 +35,68 @@ END = 1
 #: Ids between two checkpoints, ids of a block, and the longest code in bits.
 RUN, BLOCK, LONGEST = 64, 1 << 16, 18
 #: Words that a task remembers with their ids.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 # --- tokens -----------------------------------------------------------------------------------------------
 
 
 class Words:
-    """Ids of words by a tokenizer file, with a bounded memory of earlier words."""
+    """Ids of words by a tokenizer file, with a bounded memory of earlier words and parts of words.
+
+    Words of printable Latin-1 characters are put in lower case and split here, as the file's own steps would, and their
+    parts go straight to the library's model; all other words, and all words if the file has other steps, go through
+    the library's whole pipeline.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model.tokenize
         self._ids: dict[bytes, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+        self._plain = regex.compile("[!-~\u00a1-\u00ff]+").fullmatch
+        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # bytes that stand for themselves, and characters for the rest
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in own]
+        self._mapped = {b: chr(256 + k) for k, b in enumerate(rest)}
+        probes = ["Word,", "don't", "a1b22", "\u00c9t\u00e9...", "stra\u00dfe!!", "x\u00b2", "<b>", "'LL"]
+        self._fast = all(self._pieces(w) == self._whole([w])[0] for w in probes)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        coded = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+
+    def _pieces(self, word: str) -> bytes:
+        out = b""
+        for part in self._split(word.lower()):
+            ids = self._parts.get(part)
+            if ids is None:
+                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self._mapped)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self._model(spelled)])
+                self._parts[part] = ids
+            out += ids
+        return out
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word."""
         if len(self._ids) > REMEMBERED:
             self._ids.clear()
-        new = [w for w in words if w not in self._ids]
-        coded = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, c in zip(new, coded, strict=True):
-            self._ids[w] = np.array(c.ids, dtype="<u4").tobytes()
+        if len(self._parts) > REMEMBERED:
+            self._parts.clear()
+        slow = []
+        for word in words:
+            if word not in self._ids:
+                text = word.decode()
+                if self._fast and self._plain(text) and "<|" not in text:
+                    self._ids[word] = self._pieces(text)
+                else:
+                    slow.append(word)
+        if slow:
+            self._ids.update(zip(slow, self._whole([w.decode() for w in slow]), strict=True))
         return [self._ids[w] for w in words]
 
 
@@ -86,18 +125,20 @@ def tokenise(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
         words = Words(path)
         for batch in batches:
             data, offs = W.texts(batch.column(1))
-            for first, stop, part, cuts in W.slices(data, offs, 1 << 23):
+            for first, stop, part, cuts in W.slices(data, offs, 1 << 22):
                 ids, at = encode_slice(words, part, cuts, end)
                 raw = ids.astype(kind)
-                column = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), stop - first, [None, pa.py_buffer(at * raw.itemsize), pa.py_buffer(raw)]
-                )
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:stop], column.cast(pa.binary())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:stop], _binary(at * raw.itemsize, raw)], ["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids binary")
 
 
+def _binary(offs: np.ndarray, data: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, buffers).cast(pa.binary())
+
+
 def _width(path: str) -> str:
     from tokenizers import Tokenizer
 
@@ -158,36 +199,54 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, lengths[ids].astype(np.int64), bits
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
-    """Bits of the codes, and the checkpoints."""
+def pack(ids: np.ndarray, cuts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of the codes of several documents, each from a byte of its own on, and their checkpoints.
+
+    ``cuts`` says where each document's ids start. Gives bytes, where each document's bytes start, bits of each run, where
+    each document's runs start.
+    """
+    counts = np.diff(cuts)
     sizes = lengths[ids].astype(np.int64)
-    ends = np.cumsum(sizes)
-    at = ends - sizes
+    total = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=total[1:])
+    starts = np.zeros(len(counts) + 1, dtype=np.int64)
+    np.cumsum((np.diff(total[cuts]) + 7) >> 3, out=starts[1:])
+    at = total[:-1] + np.repeat(starts[:-1] * 8 - total[cuts[:-1]], counts)
     shifted = codes[ids] << (64 - (at & 31) - sizes).astype(np.uint64)
     word = at >> 5
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    out = np.zeros(int(ends[-1] >> 5) + 2 if len(ids) else 0, dtype=np.uint64)
+    out = np.zeros((int(starts[-1]) >> 2) + 2, dtype=np.uint64)
     if len(ids):
         out[word[first]] += np.add.reduceat(shifted >> np.uint64(32), first)
         out[word[first] + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
-    runs = np.add.reduceat(sizes, np.arange(0, len(ids), RUN)) if len(ids) else sizes
-    used = (int(ends[-1]) + 7) // 8 if len(ids) else 0
-    return out.astype(">u4").tobytes()[:used], runs.astype("<u2").tobytes()
+    run_cuts = np.zeros(len(counts) + 1, dtype=np.int64)
+    np.cumsum(-(-counts // RUN), out=run_cuts[1:])
+    within = np.arange(int(run_cuts[-1])) - np.repeat(run_cuts[:-1], np.diff(run_cuts))
+    heads = np.repeat(cuts[:-1], np.diff(run_cuts)) + within * RUN
+    tails = np.minimum(heads + RUN, np.repeat(cuts[1:], np.diff(run_cuts)))
+    return out.astype(">u4").view(np.uint8)[: starts[-1]], starts, (total[tails] - total[heads]).astype("<u2"), run_cuts
 
 
-def unpack(bits: bytes, checkpoints: bytes, count: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+def unpack(bits: bytes, checkpoints: bytes, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """The ids of a block; every run is decoded from its own bit offset, all runs side by side."""
     ids, sizes, width = table
     raw = np.frombuffer(bits + b"\0" * 8, dtype=np.uint8).astype(np.int64)
     four = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     runs = np.frombuffer(checkpoints, dtype="<u2").astype(np.int64)
-    at = np.cumsum(runs) - runs
+    per_doc = -(-counts // RUN)
+    ends = np.cumsum(per_doc)
+    bit_ends = np.concatenate([[0], np.cumsum(runs)])
+    doc_bits = bit_ends[ends] - bit_ends[ends - per_doc]
+    doc_starts = np.cumsum((doc_bits + 7) >> 3) - ((doc_bits + 7) >> 3)
+    at = bit_ends[:-1] + np.repeat(doc_starts * 8 - bit_ends[ends - per_doc], per_doc)
     out = np.zeros((RUN, len(runs)), dtype=np.uint32)
     for step in range(RUN):
         window = (four[np.minimum(at >> 3, len(four) - 1)] << (at & 7) & 0xFFFFFFFF) >> (32 - width)
         out[step] = ids[window]
         at = at + sizes[window]
-    return out.T.reshape(-1)[:count]
+    within = np.arange(len(runs)) - np.repeat(ends - per_doc, per_doc)
+    left = np.minimum(np.repeat(counts, per_doc) - within * RUN, RUN)
+    return out.T[np.arange(RUN) < left[:, None]]
 
 
 # --- files --------------------------------------------------------------------------------------------------
@@ -227,34 +286,33 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: st
         for batch in batches:
             raw, offs = W.texts(batch.column(1))
             ids, at = raw.view(kind), offs // np.dtype(kind).itemsize
-            rows = [pack(ids[a:b], lengths, codes) for a, b in zip(at[:-1], at[1:], strict=True)]
+            bits, starts, runs, run_starts = pack(ids, at, lengths, codes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                ["id", "n", "bits", "checkpoints"],
+                [batch.column(0), pa.array(np.diff(at)), _binary(starts, bits), _binary(run_starts * 2, runs)], ["id", "n", "bits", "checkpoints"]
             )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Put rows together to blocks, all their bits one after another."""
-        table = decode_table(lengths)
-        file, block = TaskContext.get().partitionId(), 0
-        docs, held, n = [], [], 0
+        """Put coded rows together to blocks."""
+        file, block, n = TaskContext.get().partitionId(), 0, 0
+        docs, counts, bits, checkpoints = [], [], [], []
 
         def close() -> pa.RecordBatch:
-            bits, checkpoints = pack(np.concatenate(held), lengths, codes)
-            values = [[file], [block], [docs], [[len(h) for h in held]], [n], [bits], [checkpoints]]
+            values = [[file], [block], [docs], [counts], [n], [b"".join(bits)], [b"".join(checkpoints)]]
             types = [pa.int32(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
             names = ["file", "block", "doc_ids", "doc_tokens", "n_tokens", "bits", "checkpoints"]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc, count, bits, checkpoints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, count, body, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs.append(doc)
-                held.append(unpack(bits, checkpoints, count, table))
+                counts.append(count)
+                bits.append(body)
+                checkpoints.append(runs)
                 n += count
                 if n >= BLOCK:
                     yield close()
-                    docs, held, n, block = [], [], 0, block + 1
+                    docs, counts, bits, checkpoints, n, block = [], [], [], [], 0, block + 1
         if docs:
             yield close()
 
@@ -276,10 +334,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for row in range(batch.num_rows):
                 docs, counts = batch.column(2)[row].values, batch.column(3)[row].values.to_numpy()
                 cuts = np.concatenate([[0], np.cumsum(counts)])
-                ids = unpack(batch.column(5)[row].as_py(), batch.column(6)[row].as_py(), int(cuts[-1]), table).astype("<u4")
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(cuts * 4), pa.py_buffer(ids)])
+                ids = unpack(batch.column(5)[row].as_py(), batch.column(6)[row].as_py(), counts, table).astype("<u4")
                 same = [pa.array(np.full(len(docs), batch.column(k)[row].as_py(), dtype=np.int32)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(cuts[:-1]), docs, raw.cast(pa.binary())], ["file", "block", "at", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(cuts[:-1]), docs, _binary(cuts * 4, ids)], ["file", "block", "at", "doc_id", "ids"])
 
     return blocks.mapInArrow(run, f"file int, block int, at long, doc_id {id_kind}, ids binary")
 
