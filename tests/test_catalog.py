@@ -6,14 +6,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from veilscan.catalog import load
 
 SF_DIR = os.environ.get("VEILSCAN_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
-# the rest runs with VEILSCAN_ALL=1
-QUICK = [
-    n for n in QUERIES if not n.startswith(("mask_", "report_", "det_")) or n in ("mask_fio", "report_csv", "report_totals", "det_mrz", "det_cvv")
-]
+QUERIES = {name: q.run for name, q in load().items()}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +18,7 @@ def con():
     return compare.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("VEILSCAN_ALL") else QUICK)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     if name in SQL:
@@ -31,5 +28,5 @@ def test_query(spark, con, name):
 
 
 def test_entry(spark):
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(entry_points.queries()) and set(QUERIES) <= set(entry_points.queries())
     assert entry_points.entry(spark).count() > 0

@@ -33,6 +33,11 @@ def tree(tmp_path_factory):
     (root / "d.json").write_text(json.dumps({"a": {"b": [1, None, "", True]}, "mail": "q@w.ru"}), encoding="utf-8")
     (root / "bad.json").write_text('{"mail": q@w.ru', encoding="utf-8")
     (root / "l.jsonl").write_text('{"e": "l1@w.ru"}\nbroken\n\n{"e": "l2@w.ru"}\n', encoding="utf-8")
+    (root / "bom.csv").write_bytes("\ufeffemail;n\r\nb@m.ru;1\r\n".encode())
+    (root / "one.csv").write_text("ivan.petrov@mail.ru;+7 910 123-45-67", encoding="utf-8")
+    (root / "notes.txt.gz").write_bytes(b"\x1f\x8b")
+    (root / "pic.png").write_bytes(b"\x89PNG")
+    (root / "lost+found" / "l.jsonl").write_text('{"e": "hidden@w.ru"}')
     pq.write_table(pa.table({"Email": ["p@q.ru", None], "ok": [True, False]}), root / "t.parquet")
     (root / "x.bin").write_bytes(b"1")
     (root / "noext").write_bytes(b"1")
@@ -72,6 +77,8 @@ def test_chunks_of_all_formats(spark, tree, limit):
     assert texts["t.parquet"] == ["Email ok", "Email=p@q.ru; ok=True", "ok=False"]
     if limit > 10:
         assert texts["sub dir+x/t.csv"] == ["\n".join(table)] and texts["sub dir+x/t.tsv"] == ["\n".join(tabs)]
+        assert texts["bom.csv"] == ["email n\n[[PII_DIRECT:email:b@m.ru]]; n=1"]
+        assert texts["one.csv"] == ["ivan.petrov@mail.ru +7 910 123-45-67"]
         assert texts["old.txt"] == ["Диагноз: здоров"]
         assert texts["page.pdf"] == ["тел. +7 910 245-63-18"]
         assert texts["d.json"] == ["a.b[0]=1\na.b[3]=True\nmail=q@w.ru"]
@@ -91,6 +98,10 @@ def test_scan_and_sinks(spark, tree, tmp_path):
     assert by_name["t.csv"]["category_counts"] == {"email": 2, "fio": 1} and by_name["t.csv"]["rows_processed"] == 2
     assert by_name["real.pdf"]["error"] == "extract_error: bad page" and by_name["real.pdf"]["category_counts"] == {"email": 1}
     assert by_name["noext"]["error"] == "unsupported_format"
+    assert by_name["pic.png"]["error"] == "no_reader_for_format" and by_name["notes.txt.gz"]["error"] == "compressed_file"
+    assert by_name["one.csv"]["category_counts"] == {"email": 1, "phone": 1}
+    assert by_name["bom.csv"]["category_counts"] == {"email": 2}
+    assert by_name["page.pdf"]["kind"] == "html" and by_name["page.pdf"]["error"] is None
     assert by_name["page.pdf"]["category_counts"] == {"phone": 1}
     out = str(tmp_path / "out")
     sinks.write_report_json(reports, found, out)
@@ -104,6 +115,31 @@ def test_scan_and_sinks(spark, tree, tmp_path):
     assert spark.read.option("header", "true").csv(f"{out}/result").columns == ["size", "time", "name"]
 
 
+def test_large_and_ignored_files(spark, tree):
+    """What is too large to be read whole has an error; nothing below ignored names is found."""
+    found, reports = scan_tree(spark, tree, shared_dir(spark), whole_file_bytes=30, drop_duplicates=False)
+    errors = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in reports.collect()}
+    assert errors["d.json"] == "too_large_to_read_whole" and errors["page.pdf"] == "no_reader_for_format"
+    assert errors["a.txt"] is None and errors["l.jsonl"] is None
+    assert found.filter(F.col("path").contains("lost+found")).count() == 0
+
+
+def test_stream_takes_old_files(spark, tmp_path):
+    import os
+
+    def run():
+        files = stream_files(spark, str(tmp_path), (".txt",), "1 second")
+        return files.select("path", F.lit(0).cast("bigint").alias("chunk_no"), F.col("content").cast("string").alias("text"), F.lit("full").alias("locator"))
+
+    out = shared_dir(spark)
+    (tmp_path / "new.txt").write_text("a@b.ru")
+    start_scan(run(), f"{out}/spans", f"{out}/cp").awaitTermination()
+    (tmp_path / "old.txt").write_text("c@d.ru")
+    os.utime(tmp_path / "old.txt", (1_000_000_000, 1_000_000_000))
+    start_scan(run(), f"{out}/spans", f"{out}/cp").awaitTermination()
+    assert findings(scanned_so_far(spark, f"{out}/spans")).count() == 2
+
+
 def test_stream_equals_batch(spark, tree):
     out = shared_dir(spark)
     files = stream_files(spark, tree, (".txt",))
@@ -129,6 +165,8 @@ def test_html(spark):
         "A&#1071;&#x42F;&unknown; &copy": "AЯЯ&unknown; &copy",
         "x<style>p{}</style><noscript>n</noscript>y": "x y",
         "1 < 2": "1 < 2",
+        '<img alt="a>secret text">hello <a title="open>rest</a>': "hello  rest",
+        "shown<script>var x = 1": "shown",
     }
     rows = spark.createDataFrame([(k,) for k in pages], "h string").select("h", html_text(F.col("h")).alias("t")).collect()
     assert {r["h"]: r["t"] for r in rows} == pages

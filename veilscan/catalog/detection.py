@@ -150,7 +150,7 @@ def context_windows(spark, sf_dir):
 @query(
     "entity_gate",
     f"""SELECT path, chunk_no, length(text) >= 50
-      AND length(regexp_replace(substr(text, 1, 500), '[^\\x{{0400}}-\\x{{04FF}}]', '', 'g')) >= 0.05 * least(length(text), 500)
+      AND length(regexp_replace(text, '[^\\x{{0400}}-\\x{{04FF}}]', '', 'g')) >= 0.05 * length(text)
       AND NOT contains(text, '[[PII_DIRECT:') AS wanted
     FROM ({letters_source()} UNION ALL SELECT CAST(doc_id AS STRING), 0, text FROM documents)""",
 )

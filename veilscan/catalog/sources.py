@@ -17,9 +17,9 @@ from veilscan.sources import tables as tab
 _GAP = "﷐"
 _MARKUP = (
     r"(?s)<!--.*?-->",
-    r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>",
-    r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>",
-    r"(?is)<noscript(?:\s[^>]*)?>.*?</noscript\s*>",
+    r"(?is)<script(?:\s[^>]*)?>.*?(?:</script\s*>|\z)",
+    r"(?is)<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)",
+    r"(?is)<noscript(?:\s[^>]*)?>.*?(?:</noscript\s*>|\z)",
 )
 
 
@@ -29,6 +29,8 @@ def _html_sql(column: str) -> str:
         out = f"regexp_replace({out}, '{pattern}', '{_GAP}', 'g')"
     out = rf"regexp_replace({out}, '(?is)^.*?<body(?:\s[^>]*)?>', '')"
     out = rf"regexp_replace({out}, '(?is)</body\s*>.*$', '')"
+    quoted = r"""<[a-zA-Z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+    out = f"regexp_replace({out}, '{quoted}', '{_GAP}', 'g')"
     out = f"regexp_replace({out}, '<[a-zA-Z/!?][^>]*>', '{_GAP}', 'g')"
     out = f"regexp_replace({out}, '^{_GAP}+|{_GAP}+$', '', 'g')"
     out = f"regexp_replace({out}, '{_GAP}+', ' ', 'g')"

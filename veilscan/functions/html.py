@@ -50,10 +50,13 @@ def html_text(html: Column) -> Column:
     gap = F.lit(_GAP)
     out = F.regexp_replace(html, F.lit(r"(?s)<!--.*?-->"), gap)
     for name in _HIDDEN:
-        out = F.regexp_replace(out, F.lit(rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>"), gap)
+        # one that is never closed hides the rest
+        out = F.regexp_replace(out, F.lit(rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)"), gap)
     opened = F.regexp_replace(out, r"(?is)\A.*?<body(?:\s[^>]*)?>", "")
     body = F.regexp_replace(opened, r"(?is)</body\s*>.*\z", "")
-    no_tags = F.regexp_replace(body, F.lit(r"<[a-zA-Z/!?][^>]*>"), gap)
+    # quoted attributes may hold a closing bracket; where quotes don't pair, the first one ends the tag
+    quoted = F.regexp_replace(body, F.lit(r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), gap)
+    no_tags = F.regexp_replace(quoted, F.lit(r"<[a-zA-Z/!?][^>]*>"), gap)
     # no blank before the first piece and behind the last one
     inner = F.regexp_replace(no_tags, rf"\A{_GAP}+|{_GAP}+\z", "")
     return unescape(F.regexp_replace(inner, f"{_GAP}+", " "))

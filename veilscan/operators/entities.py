@@ -13,7 +13,6 @@ from veilscan.operators.detect import MARKER
 
 # Limits of the gate, the slice length and the confidence of a kept span.
 MIN_LENGTH = 50
-SAMPLE_LENGTH = 500
 MIN_CYRILLIC_SHARE = 0.05
 SLICE_LENGTH = 20_000
 CONFIDENCE = 0.85
@@ -23,12 +22,11 @@ _AFTER_DETECTORS = 1 << 25
 
 
 def wants_entities(text: Column) -> Column:
-    """Texts long enough and Cyrillic enough for the model; marked table rows never are."""
-    sample = F.substring(text, 1, SAMPLE_LENGTH)
-    cyrillic = F.regexp_count(sample, F.lit(r"[\x{0400}-\x{04FF}]"))
+    """Texts long enough and, taken whole, Cyrillic enough for the model; marked table rows never are."""
+    cyrillic = F.regexp_count(text, F.lit(r"[\x{0400}-\x{04FF}]"))
     return (
         (F.length(text) >= MIN_LENGTH)
-        & (cyrillic >= F.length(sample) * F.lit(MIN_CYRILLIC_SHARE))
+        & (cyrillic >= F.length(text) * F.lit(MIN_CYRILLIC_SHARE))
         & ~text.contains(MARKER)
     )
 

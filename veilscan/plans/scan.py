@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.files import SNIFFED_KINDS, extensions_of
@@ -22,36 +22,56 @@ from veilscan.sources.files import (
     file_name_glob,
     with_actual_kind,
 )
-from veilscan.sources.json import LINE_EXTENSIONS, MAX_OBJECTS, json_chunks, json_line_chunks
+from veilscan.sources.json import LINE_EXTENSIONS, json_chunks, json_line_chunks
 from veilscan.sources.tables import csv_chunks, large_csv_chunks, parquet_chunks
 
-MAX_CHUNKS_PER_FILE = 100
+# Kinds that this package reads itself; others need a decoder of the caller.
+READ_KINDS = ("text", "csv", "html", "json", "parquet")
+NO_READER, TOO_LARGE, COMPRESSED = "no_reader_for_format", "too_large_to_read_whole", "compressed_file"
+_COMPRESSED = (".gz", ".bz2", ".xz", ".z", ".br", ".zst")
 
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """Settings of a scan. With ``sample`` large files are read in part only, as a quick first look."""
+    """Settings of a scan."""
 
     min_confidence: float = 0.6
     context_window: int = 60
     masking: str = "partial"
     store_value_hash: bool = True
     drop_duplicates: bool = True
-    sample: bool = False
     whole_file_bytes: int = WHOLE_FILE_BYTES
     decoders: dict[str, Decoder] = field(default_factory=dict)
     thresholds: dict[str, float] = field(default_factory=dict)
 
 
-def scanned_files(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
-    """Files to scan with their facts; copies of a file are left out when asked for."""
-    listed = describe(binary_files(spark, root), root)
-    if not options.drop_duplicates:
-        return listed.drop("content")
-    small = F.col("size") <= options.whole_file_bytes
+def _unread(options: ScanOptions) -> Column:
+    """Why a file is not read, null if it is: no file that was not read may look clean."""
+    whole = F.col("kind").isin("html", *options.decoders) | (
+        (F.col("kind") == "json") & ~F.col("ext").isin(list(LINE_EXTENSIONS))
+    )
+    return F.coalesce(
+        F.col("error"),
+        F.when(F.col("ext").isin(list(_COMPRESSED)), F.lit(COMPRESSED)),
+        F.when(~F.col("kind").isin(*READ_KINDS, *options.decoders), F.lit(NO_READER)),
+        F.when((F.col("size") > options.whole_file_bytes) & whole, F.lit(TOO_LARGE)),
+    )
+
+
+def manifest(spark: SparkSession, root: str, out: str, options: ScanOptions) -> DataFrame:
+    """All files with their facts, actual kind, content hash and the reason why one is not read, written to ``out``.
+
+    The content of every file up to ``whole_file_bytes`` is read once, for its hash and its kind; larger ones are
+    only listed, and what is not selected by size never reaches the reader.
+    """
+    limit = options.whole_file_bytes
+    small = with_actual_kind(describe(binary_files(spark, root).filter(F.col("size") <= limit), root))
+    hashed = small.withColumn("content_hash", content_hash(F.col("content"))).drop("content")
+    large = describe(binary_files(spark, root).drop("content").filter(F.col("size") > limit), root)
     # files too large to hold in one value are not hashed and so all stay
-    hashed = listed.withColumn("content_hash", F.when(small, content_hash(F.col("content"))))
-    return keep_first(hashed.drop("content"))
+    files = hashed.unionByName(large.withColumn("content_hash", F.lit(None).cast("string")))
+    files.withColumn("error", _unread(options)).write.mode("overwrite").parquet(f"{out}/manifest")
+    return spark.read.parquet(f"{out}/manifest")
 
 
 def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
@@ -65,20 +85,19 @@ def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFra
 
     text_glob = file_name_glob(extensions_of("text"))
     csv_glob = file_name_glob(extensions_of("csv"))
-    max_chunks = MAX_CHUNKS_PER_FILE if options.sample else None
     parts = [
         text_chunks(files_of("text"), limit),
         large_text_chunks(spark, root, text_glob, limit),
         # documents of other kinds may be web pages in truth
-        html_chunks(files_of("html", *SNIFFED_KINDS), 5 * 1024 * 1024 if options.sample else None),
-        csv_chunks(files_of("csv"), limit, max_chunks),
+        html_chunks(files_of("html", *SNIFFED_KINDS)),
+        csv_chunks(files_of("csv"), limit),
         large_csv_chunks(spark, root, csv_glob, limit),
-        json_chunks(files_of("json"), limit, 10 * 1024 * 1024 if options.sample else None),
-        json_line_chunks(spark, root, file_name_glob(LINE_EXTENSIONS), MAX_OBJECTS if options.sample else None),
+        json_chunks(files_of("json"), limit),
+        json_line_chunks(spark, root, file_name_glob(LINE_EXTENSIONS)),
     ]
     if _any_file(spark, root, file_name_glob((".parquet",))):
         reader = {"recursiveFileLookup": "true", "pathGlobFilter": file_name_glob((".parquet",)), "mergeSchema": "true"}
-        parts.append(parquet_chunks(spark, root, full=not options.sample, **reader))
+        parts.append(parquet_chunks(spark, root, **reader))
     chunks = parts[0]
     for part in parts[1:]:
         chunks = chunks.unionByName(part)
@@ -96,16 +115,16 @@ def _any_file(spark: SparkSession, root: str, glob: str) -> bool:
 def scan_tree(spark: SparkSession, root: str, out: str | None = None, **settings) -> tuple[DataFrame, DataFrame]:
     """Scan a folder; returns findings and reports.
 
-    The combined spans are written once to ``out`` (default: a folder below the shared checkpoint folder).
-    Findings, reports and every table over them read that copy, so detection runs only once and a lost
+    The list of files, with hashes, and then the combined spans are written once to ``out`` (default: a folder
+    below the shared checkpoint folder). Findings, reports and every table over them read those copies, so detection runs only once and a lost
     executor costs no more than its own tasks.
     """
     options = ScanOptions(**settings)
     out = out or shared_dir(spark)
-    files = scanned_files(spark, root, options)
-    chunks = tree_chunks(spark, root, options)
-    if options.drop_duplicates:
-        chunks = chunks.join(files.select("path"), "path", "left_semi")
+    listed = manifest(spark, root, out, options)
+    files = keep_first(listed) if options.drop_duplicates else listed
+    # also leaves out what readers find below ignored names
+    chunks = tree_chunks(spark, root, options).join(files.select("path"), "path", "left_semi")
     scan_chunks(
         chunks,
         min_confidence=options.min_confidence,

@@ -17,7 +17,6 @@ from veilscan.sources.files import WHOLE_FILE_BYTES
 
 # Limits of the sampling mode and leaves per chunk of JSON lines.
 MAX_BYTES = 10 * 1024 * 1024
-MAX_OBJECTS = 10_000
 LEAVES_PER_CHUNK = 10_000
 LINE_EXTENSIONS = (".jsonl", ".ndjson")
 
@@ -114,15 +113,17 @@ def json_line_chunks(spark: SparkSession, root: str, glob: str, max_objects: int
     )
 
 
-def json_line_batches(rows: DataFrame, max_objects: int = MAX_OBJECTS) -> DataFrame:
-    """Leaves of the first valid lines of each file in chunks of at least 10 000 leaves.
+def json_line_batches(rows: DataFrame, max_objects: int | None = None) -> DataFrame:
+    """Leaves of the valid lines of each file in chunks of at least 10 000 leaves.
 
     ``rows`` holds path, line_no and leaves. A chunk is closed by the line that fills it. Which line that
-    is depends on all lines before it, so the numbers of leaves of one file, at most ``max_objects`` of
-    them, are folded in one place; the leaves themselves are only joined to the result.
+    is depends on all lines before it, so the numbers of leaves of one file are folded in one place; the leaves
+    themselves are only joined to the result. ``max_objects`` keeps the first valid objects of each file.
     """
     rank = F.row_number().over(W.partitionBy("path").orderBy("line_no"))
-    first = rows.withColumn("rank", rank).filter(F.col("rank") <= max_objects)
+    first = rows.withColumn("rank", rank)
+    if max_objects is not None:
+        first = first.filter(F.col("rank") <= max_objects)
     sizes = first.groupBy("path").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", F.size("leaves").alias("n")))), lambda x: x["n"]).alias("n")
     )

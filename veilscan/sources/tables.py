@@ -157,12 +157,13 @@ def csv_chunks(files: DataFrame, max_bytes: int = WHOLE_FILE_BYTES, max_chunks:
     left out. It all happens within the row of the file, without a shuffle.
     """
     wanted = files.filter((F.col("kind") == "csv") & (F.col("size") <= max_bytes))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
+    # spreadsheets begin their exports with a byte order mark
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\A\x{FEFF}", "")
     sample = F.make_valid_utf8(F.substring("content", 1, SAMPLE_BYTES).cast("string"))
     parsed = (
         wanted.select("path", text.alias("text"), separator(sample, suffix(F.col("path"))).alias("sep"))
         .select("path", "sep", records(F.col("text"), F.col("sep")).alias("records"))
-        .filter(F.size("records") > 1)
+        .filter(F.size("records") > 0)
         .select("path", "sep", "records", fields(F.get("records", F.lit(0)), F.col("sep")).alias("names"))
         .select("path", "sep", "records", "names", F.transform("names", column_category).alias("categories"))
     )
@@ -170,22 +171,23 @@ def csv_chunks(files: DataFrame, max_bytes: int = WHOLE_FILE_BYTES, max_chunks:
     rows = F.array_compact(
         F.transform(body, lambda r: rendered_record(F.col("names"), F.col("categories"), fields(r, F.col("sep"))))
     )
-    rendered = parsed.select("path", F.array_join("names", " ").alias("header"), rows.alias("rows")).filter(
-        F.size("rows") > 0
-    )
+    # a file of a header alone is searched as well: its only line may be data
+    rendered = parsed.select("path", F.array_join("names", " ").alias("header"), rows.alias("rows"))
     return _row_batches(rendered, max_chunks)
 
 
 def _row_batches(rendered: DataFrame, max_chunks: int | None) -> DataFrame:
-    last = F.floor((F.size("rows") - 1) / ROWS_PER_CHUNK).cast("int")
+    last = F.greatest(F.floor((F.size("rows") - 1) / ROWS_PER_CHUNK).cast("int"), F.lit(0))
     if max_chunks is not None:
         last = F.least(last, F.lit(max_chunks - 1))
-    cut = rendered.select("path", "header", "rows", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    batch = F.slice("rows", F.col("chunk_no") * ROWS_PER_CHUNK + 1, F.lit(ROWS_PER_CHUNK))
-    return cut.select("path", "chunk_no", "header", batch.alias("batch")).select(
+    # cut first, so that each chunk carries its own rows alone
+    batches = F.transform(
+        F.sequence(F.lit(0), last), lambda n: F.slice("rows", n * ROWS_PER_CHUNK + 1, F.lit(ROWS_PER_CHUNK))
+    )
+    return rendered.select("path", "header", F.posexplode(batches).alias("chunk_no", "batch")).select(
         "path",
         F.col("chunk_no").cast("bigint").alias("chunk_no"),
-        F.concat_ws("\n", F.col("header"), F.array_join("batch", "\n")).alias("text"),
+        F.concat_ws("\n", F.col("header"), F.when(F.size("batch") > 0, F.array_join("batch", "\n"))).alias("text"),
         F.concat(
             F.lit("chunk="), F.col("chunk_no").cast("string"), F.lit(":rows="), F.size("batch").cast("string")
         ).alias("locator"),
@@ -216,7 +218,8 @@ def large_csv_heads(rows: DataFrame) -> DataFrame:
         .when(F.col("semicolons") > F.col("commas"), F.lit(";"))
         .otherwise(F.lit(","))
     )
-    named = heads.select("path", "header", "header_no", sep.alias("sep")).withColumn(
+    header = F.regexp_replace("header", r"\A\x{FEFF}", "").alias("header")
+    named = heads.select("path", header, "header_no", sep.alias("sep")).withColumn(
         "names", fields(F.regexp_replace("header", r"\r\z", ""), F.col("sep"))
     )
     return named.withColumn("categories", F.transform("names", column_category))

@@ -18,12 +18,15 @@ _BINARY = "path string, modificationTime timestamp, length bigint, content binar
 def stream_files(spark: SparkSession, root: str, extensions: tuple[str, ...], watermark: str = "7 days") -> DataFrame:
     """New files below ``root``; copies that arrive within the watermark of each other come once.
 
-    The watermark bounds the state. A copy that comes later than that is searched again.
+    The watermark bounds the state. It runs on the time a file is found, not on the file's own time, so that an old
+    file is searched like any other. A copy that comes later than the watermark is searched again.
     """
     files = (
         spark.readStream.format("binaryFile")
         .schema(_BINARY)
         .option("recursiveFileLookup", "true")
+        # the source itself would leave out files that are a week older than the newest one
+        .option("maxFileAge", "36500d")
         .option("pathGlobFilter", file_name_glob(extensions))
         .load(root)
         .select(
@@ -32,9 +35,10 @@ def stream_files(spark: SparkSession, root: str, extensions: tuple[str, ...], wa
             F.col("modificationTime").alias("mtime"),
             "content",
             content_hash(F.col("content")).alias("content_hash"),
+            F.current_timestamp().alias("found"),
         )
     )
-    unique = files.withWatermark("mtime", watermark).dropDuplicatesWithinWatermark(["content_hash"])
+    unique = files.withWatermark("found", watermark).dropDuplicatesWithinWatermark(["content_hash"]).drop("found")
     return describe(unique, root)
 
 
