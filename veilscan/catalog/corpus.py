@@ -37,9 +37,9 @@ _NAME = _pick(
 _DATE = f"lpad(CAST({K} % 28 + 1 AS STRING), 2, '0') || '.' || lpad(CAST({K} % 12 + 1 AS STRING), 2, '0') || '.' || CAST(1950 + {K} % 60 AS STRING)"
 
 _LETTERS = (
-    _pick(3, f"'Паспорт серии 52 17 № ' || {D6}", f"'документ, удостоверяющий личность: 4510 ' || {D6}", f"'Просто число 5217 ' || {D6} || ' без слов'"),
+    _pick(3, f"'Паспорт серии 52 17 № ' || {D6}", f"'документ, удостоверяющий личность: 4510 ' || {D6}", f"'на складе 5217 ' || {D6} || ' деталей'"),
     _pick(2, f"'СНИЛС: ' || {D3} || '-' || {E3} || '-' || {D3} || ' ' || {D2}", f"'код ' || {D9} || {D2} || ' в списке'"),
-    _pick(2, f"'ИНН организации: ' || {D10}", f"'запись ' || {D10} || ' из реестра'"),
+    _pick(2, f"'поставщик, ИНН ' || {D10}", f"'запись ' || {D10} || ' из реестра'"),
     _pick(2, f"'ИНН ' || {D10} || {D2} || ' физлица'", f"'строка ' || {D10} || {D2}"),
     _pick(2, f"'ОГРН ' || {D10} || {D3}", f"'номер ' || {D10} || {D3}"),
     f"'ОГРН ' || {D10} || {D3} || {D2}",
@@ -55,8 +55,8 @@ _LETTERS = (
     _pick(2, "'Место рождения: г. Казань\nдалее'", "'м.р. Тула, Тульская область; рост 180'"),
     _pick(3, f"'Проживает: г. Москва, ул. Ленина, д. ' || {D2} || ', кв. ' || {D3}", "'адрес регистрации: село Берёзовка'", f"'поехал на проспект Мира ' || {D2}"),
     _pick(2, f"'Почтовый адрес ' || {D6} || ', Тверь'", f"'заказ ' || {D6} || ' готов'"),
-    _pick(2, "'Согласие на обработку отпечатков пальцев'", "'биометрические данные и слепок голоса; голосовой слепок'"),
-    _pick(3, "'Диагноз: хроническое заболевание'", "'медицинская карта; группа крови 2, резус плюс'", "'без подиагноза'"),
+    _pick(2, "'сняты отпечатки пальцев для пропуска'", "'биометрические данные и слепок голоса; голосовой слепок'"),
+    _pick(3, "'в карточке записан диагноз и хроническое заболевание'", "'медицинская карта; группа крови 2, резус плюс'", "'без подиагноза'"),
     _pick(2, "'православный приход, католик и мусульманин'", "'буддистские книги'"),
     _pick(2, "'политические взгляды и член партии'", "'партийная принадлежность'"),
     "'этническое происхождение указано'",
