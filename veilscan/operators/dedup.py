@@ -73,19 +73,24 @@ def _sized_groups(files: DataFrame, max_bytes: int) -> DataFrame:
 
 def duplicate_summary(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
     """One row: scanned, skipped, unique, groups, copies and the megabytes they take."""
-    sizes = files.agg(
-        F.count_if(F.col("size") <= max_bytes).alias("scanned"),
-        F.count_if(F.col("size") > max_bytes).alias("skipped_too_large"),
+    large = F.col("size") > max_bytes
+    groups = files.groupBy(F.when(~large, F.col("content_hash")).alias("content_hash"), large.alias("large")).agg(
+        F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")
     )
-    extra = F.col("copies") - 1
-    groups = _sized_groups(files, max_bytes).agg(
-        F.count(F.lit(1)).alias("unique_files"),
+    hashed = ~F.col("large") & F.col("content_hash").isNotNull()
+    extra = F.when(hashed, F.col("copies") - 1)
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+    return groups.agg(
+        total(F.when(~F.col("large"), F.col("copies"))).alias("scanned"),
+        total(F.when(F.col("large"), F.col("copies"))).alias("skipped_too_large"),
+        F.count_if(hashed).alias("unique_files"),
         F.count_if(extra > 0).alias("duplicate_groups"),
-        F.coalesce(F.sum(extra), F.lit(0)).cast("bigint").alias("total_duplicates"),
+        total(extra).alias("total_duplicates"),
         F.round(F.coalesce(F.sum(F.col("size") * extra), F.lit(0)) / 1024**2, 2).alias("bytes_saved_mb"),
     )
-    # both sides are single rows
-    return sizes.crossJoin(groups)
 
 
 def largest_groups(

@@ -122,24 +122,36 @@ def _median(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def overview(files: DataFrame) -> DataFrame:
     """One row of totals, mean, median, shares and maximum of the sizes."""
-    sums = files.agg(
-        F.count(F.lit(1)).alias("total_files"),
-        _mb(F.coalesce(F.sum("size"), F.lit(0))).alias("total_size_mb"),
-        F.round(F.coalesce(F.avg("size"), F.lit(0)) / 1024, 2).alias("mean_size_kb"),
-        _mb(F.coalesce(F.max("size"), F.lit(0))).alias("max_size_mb"),
-        F.count_if(F.col("size") == 0).alias("empty_files"),
-    )
+    # one scan: totals and ranks both follow from the sizes and how often they occur
     counts = files.groupBy(F.col("size").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    totals = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("sized"),
+        F.coalesce(F.sum(F.col("value") * F.col("n")), F.lit(0)).alias("bytes"),
+        F.coalesce(F.max("value"), F.lit(0)).alias("max"),
+        F.coalesce(F.sum(F.when(F.col("value") == 0, F.col("n"))), F.lit(0)).alias("empty"),
+    )
+    names = ("files", "sized", "bytes", "max", "empty")
+    as_rows = totals.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).cast("bigint").alias("value")) for n in names])).alias("z"))
     ranks = {**_median_ranks(), "p95": _at_share(0.95), "p99": _at_share(0.99)}
-    stats = order_statistics(counts, [], ranks).agg(
-        F.round(F.coalesce(F.avg(F.when(F.col("stat").isin("low", "high"), F.col("value"))), F.lit(0)) / 1024, 2).alias(
-            "median_size_kb"
-        ),
-        F.round(F.coalesce(F.max(F.when(F.col("stat") == "p95", F.col("value"))), F.lit(0)) / 1024, 2).alias("p95_size_kb"),
-        _mb(F.coalesce(F.max(F.when(F.col("stat") == "p99", F.col("value"))), F.lit(0))).alias("p99_size_mb"),
+    stats = order_statistics(counts, [], ranks).select("stat", F.col("value").cast("bigint").alias("value"))
+
+    def stat(name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("stat") == name, F.col("value"))), F.lit(0))
+
+    mean = F.when(stat("sized") > 0, stat("bytes") / stat("sized")).otherwise(F.lit(0.0))
+    median = F.coalesce(F.avg(F.when(F.col("stat").isin(list(_MEDIAN)), F.col("value"))), F.lit(0))
+    return as_rows.select("z.*").unionByName(stats).agg(
+        stat("files").alias("total_files"),
+        _mb(stat("bytes")).alias("total_size_mb"),
+        F.round(mean / 1024, 2).alias("mean_size_kb"),
+        F.round(median / 1024, 2).alias("median_size_kb"),
+        F.round(stat("p95") / 1024, 2).alias("p95_size_kb"),
+        _mb(stat("p99")).alias("p99_size_mb"),
+        _mb(stat("max")).alias("max_size_mb"),
+        stat("empty").alias("empty_files"),
     )
-    # both sides are single rows
-    return sums.crossJoin(stats)
 
 
 def by_extension(files: DataFrame) -> DataFrame:
