@@ -5,7 +5,7 @@ k turns of every conversation get a rolling hash: a running sum of turn hashes t
 position, so equal beginnings have equal sums wherever they are logged. A conversation goes if its whole hash is that of a
 proper beginning of another; of equal ones the smallest id stays. What is left, the maximal conversations, is rendered.
 
-Only DataFrame functions are used. Beginnings are made distinct before they meet anything, so a first turn that every
+Only DataFrame functions are used; turns with their running sums are written once and read by each step. Beginnings are made distinct before they meet anything, so a first turn that every
 log shares is one row, and the anti-join compares each conversation with one row at most. Running sums are taken
 within runs of turn numbers and carried over from run to run, so a conversation with a large share of all rows is
 spread over many tasks, and no conversation is gathered: rendered turns stay rows, in order of ``position``. Two
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilscan.llm.shared import written
+
 #: Turn numbers of a run; running sums are taken within runs and carried over between them.
 RUN = 256
 #: Sums of up to 2**32 values below this stay in range.
@@ -81,7 +83,7 @@ def render(turns: DataFrame) -> Column:
 
 def collapse(turns: DataFrame) -> DataFrame:
     """Rendered turns of all maximal conversations: ``conv_id, position, n_turns, n_logs, rendered``."""
-    placed = positions(turns)
+    placed = written(positions(turns), "turns")
     kept = _inner(placed.select("conv_id", "position", "role", "text"), maximal(placed))
     return kept.select("conv_id", "position", "n_turns", "n_logs", render(kept).alias("rendered"))
 

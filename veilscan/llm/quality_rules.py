@@ -79,13 +79,13 @@ def measure(data: np.ndarray, offs: np.ndarray, lengths: list[int]) -> dict[str,
         "n_symbols": _totals(is_symbol[data], offs),
     }
 
-    # lines: cut at each \n and at the ends of the texts
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offs] = True
-    newline = np.flatnonzero(data == 10)
-    line_ends = np.union1d(newline, offs[1:])
-    line_starts = np.union1d(newline + 1, offs[:-1])
-    line_starts = line_starts[: len(line_ends)] if len(line_starts) > len(line_ends) else line_starts
+    # lines: from the start of a text or behind a \n up to the next one
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[offs] = True
+    begins[1:] |= data == 10
+    line_starts = np.flatnonzero(begins[:-1])
+    line_ends = np.append(line_starts[1:], len(data))[: len(line_starts)]
+    line_ends = line_ends - (data[line_ends - 1] == 10)
     word_at = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
     full = word_at[1] > word_at[0]
     line_starts, line_ends = line_starts[full], line_ends[full]

@@ -21,4 +21,5 @@ SQL = {
     "op2_chat_snapshots": chat_snapshots.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_jaccard_groups": jaccard_groups.SQL,
+    "op7_repeated_bytes": repeated_bytes.SQL,
 }
