@@ -8,7 +8,7 @@ further left in the same one. Strings are judged on the input.
    are dealt by their anchor's hash; only 26 bytes of hashes and places travel for each, none of text, and of equal
    runs in a batch one. Of equal runs all but the first are removed whole. A run with nothing to share is dropped: its anchor has no other
    run, or the ``REACH`` bytes around the anchor to either side differ from those of all others.
-2. **Shards.** The bytes of the runs that are left, where a repeat begins or ends, are dealt by anchor. In each task they are cut into
+2. **Shards.** The bytes of the runs that are left, where a repeat begins or ends, are dealt by anchor. In each task, the runs of some anchors at a time are cut into
    shards; every shard's suffixes are sorted by doubling, which gives its Burrows-Wheeler transform.
 3. **Merge.** The transforms are merged by refining their interleave: it says which shard the next suffix comes from, first in any
    order, then sorted by ever longer prefixes. A step reads, for each suffix in the present order, the bytes before it from
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ from veilscan.llm.rows import rewritten
 from veilscan.llm.shared import written
 
 LENGTH, GRAM = 100, 24
-#: Least bytes of a shard; a task has fewer than 256 shards.
-SHARD = 1 << 18
+#: Least bytes of a shard; fewer than 256 shards are merged. Bytes of anchors' runs that a task merges at a time.
+SHARD, MERGED = 1 << 18, 1 << 21
 _PLACE = 22
 _SEPARATOR = 0xFF
 
@@ -450,24 +451,32 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             for i in range(batch.num_rows):
                 text = data[offs[i] : offs[i + 1]]
                 for a, n, k in zip(*(batch.column(c)[i].values.to_pylist() for c in (3, 4, 5)), strict=True):
-                    rows.append((i, k % parts, a, text[a : a + n].tobytes()))
+                    rows.append((i, k % parts, k, a, text[a : a + n].tobytes()))
             if rows:
-                i, part, a, body = zip(*rows, strict=True)
+                i, part, key, a, body = zip(*rows, strict=True)
                 at = pa.array(i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(part, pa.int32()), pa.array(a, pa.int64()), pa.array(body, pa.binary())],
-                    ["id", "h", "part", "start", "body"],
-                )
+                columns = [pa.array(part, pa.int32()), pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], _SEGMENTS.names)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), _SEGMENTS)
+        table = pa.Table.from_batches(list(batches), _SEGMENTS).sort_by("key")
         if not table.num_rows:
             return
         ids, hashes = table["id"].to_numpy(), table["h"].to_numpy()
         order, new = _group_firsts(hashes, ids)
         rank = np.empty(len(ids), dtype=np.int64)
         rank[order] = np.cumsum(new) - 1
-        doc, place = repeats(table["body"].to_pylist(), rank, table["start"].to_numpy(), length)
+        start = table["start"].to_numpy()
+        # anchors have nothing to do with each other: some of them at a time
+        key = table["key"].to_numpy()
+        heads = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(table["body"]).to_numpy())])[heads]
+        cuts, found = [0], []
+        while cuts[-1] < len(heads) - 1:
+            cuts.append(min(max(int(np.searchsorted(size, size[cuts[-1]] + MERGED)), cuts[-1] + 1), len(heads) - 1))
+        for a, b in zip(heads[cuts[:-1]], heads[cuts[1:]], strict=True):
+            found.append(repeats(table["body"][a:b].to_pylist(), rank[a:b], start[a:b], length))
+        doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
         doc, start, end = _united(doc, place, place + length)
         one = order[new]
         cuts = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -480,13 +489,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     opened = whole.where("size(open_at) > 0").select("id", "h", "open_at", "open_size", "open_key")
     texts = docs.join(opened, ["id", "h"]).select("id", "h", "text", "open_at", "open_size", "open_key")
-    pieces = texts.mapInArrow(segments, "id long, h long, part int, start long, body binary").repartition(parts, "part")
+    pieces = texts.mapInArrow(segments, "id long, h long, part int, key long, start long, body binary").repartition(parts, "part")
     edges = pieces.mapInArrow(solve, "id long, h long, starts array<long>, ends array<long>")
     every = whole.where("size(starts) > 0").select("id", "h", "starts", "ends").unionByName(edges)
     return every.groupBy("id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
-_SEGMENTS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("body", pa.binary())])
+_SEGMENTS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("body", pa.binary())])
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -567,3 +576,19 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated bytes of every whole text of ``documents``."""
     found = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later),
+grouped AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM grouped GROUP BY doc_id, g),
+pieces AS (SELECT doc_id, a, b, substr(h, 2 * prior - 1, 2 * (a - prior)) AS p
+    FROM (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS prior FROM spans) JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n_spans, string_agg(p, '' ORDER BY a) AS front, max(b) AS rest FROM pieces GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(rest, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
