@@ -22,5 +22,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once and read from there."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
