@@ -123,11 +123,6 @@ def txt_yo_to_ye(spark, sf_dir):
     return letter_chunks(spark, sf_dir).select("path", "chunk_no", txt.lower_yo_to_ye(F.col("text")).alias("text"))
 
 
-@query("txt_normalize")
-def txt_normalize(spark, sf_dir):
-    return corpus.documents(spark, sf_dir).select("doc_id", F.sha2(txt.normalize_text(F.col("text")), 256).alias("text_hash"))
-
-
 @query("txt_strip_diacritics", "SELECT doc_id, sha256(strip_accents(text)) AS text_hash FROM documents")
 def txt_strip_diacritics(spark, sf_dir):
     return corpus.documents(spark, sf_dir).select("doc_id", F.sha2(txt.strip_diacritics(F.col("text")), 256).alias("text_hash"))
