@@ -9,14 +9,14 @@ its tokens are in the group's union. All links are found, whatever the data:
    universe (by hash) is counted for this: every batch sends each of its tokens once to the task of that hash range,
    merged over its rows, so a token in a third of all rows travels once per batch; the answer comes back as
    counts per row. Rows with equal sets (copies) are one set from then on.
-2. **Groups.** Of the rest, sets that share a minimum under one of a few hash functions are checked against the
-   smallest of them; linked ones get its label. Members of a group are connected, so pairs inside are of no interest.
+2. **Groups.** Of the rest, sets that share a minimum under one of a few hash functions are checked against the one
+   of them that shares most minima with other sets; linked ones get its label. Members of a group are connected, so pairs inside are of no interest.
 3. **Matrix.** Tokens are ordered by how many sets have them, rarest first. Two linking sets share at least L tokens
    among the first ``n - ceil(share * n) + L`` of each. The matrix holds those tokens and the groups that have
    them; tokens of one group alone are left out.
 4. **Bound and opening.** For a set and another group, the set's tokens in the group's union are counted; only
-   from L on (or its whole requirement, if smaller) the group is opened, and its members of fitting size are
-   compared token by token. Of two groups, the members of the smaller one ask.
+   from L on (or its whole requirement, if smaller) the group is opened: members whose size and sketch allow a
+   link (a lower bound of the tokens that only one of the two has) are compared token by token. Of two groups, the members of the smaller one ask.
 
 Components of all links give the result. Tokens are 64-bit hashes of word hashes; two different shingles of one pair of
 texts share one with probability near 2**-64 per pair of shingles. Equal sets are found by 128 bits of sums.
@@ -30,7 +30,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,9 @@ from veilscan.llm.shared import written
 SHINGLE = 5
 SHARE = Fraction(80, 100)
 #: Tokens that must be shared before a group is opened, and hash functions that propose groups.
-LEAST, HASHES = 3, 4
+LEAST, HASHES = 3, 12
+#: 64-bit words of a set's sketch.
+SKETCH = 16
 
 
 def token_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +73,16 @@ def token_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarra
     return tokens, np.searchsorted(texts, np.arange(len(counts) + 1))
 
 
+def _pieced(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``token_sets`` of a large slice, a small part of it in memory at a time."""
+    tokens, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    for _, _, part, cuts in W.slices(data, offs):
+        got, at = token_sets(part, cuts, size)
+        tokens.append(got)
+        counts.append(np.diff(at))
+    return np.concatenate(tokens), np.cumsum(np.concatenate(counts))
+
+
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     run = np.zeros(len(values) + 1, dtype=values.dtype)
     np.cumsum(values, out=run[1:])
@@ -97,7 +108,7 @@ def facts(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
         for batch in batches:
             data, offs = W.texts(batch.column(1))
             for first, end, part, cuts in W.slices(data, offs, 1 << 24):
-                got, at = token_sets(part, cuts, size)
+                got, at = _pieced(part, cuts, size)
                 n = np.diff(at)
                 spread = W.mix(got)
                 sums = [_sums(W.mix(got + np.uint64(k)), at).view(np.int64).tolist() for k in (1, 2)]
@@ -194,7 +205,11 @@ def _dense(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens(docs: DataFrame, size: int, hashes: int) -> DataFrame:
-    """``id, n, tokens`` (ascending array) and ``mins``, the smallest value of each hash function."""
+    """``id, n, tokens`` (ascending array), ``mins`` (the smallest value of each hash function) and ``sketch``.
+
+    The sketch holds for each of its bits whether an odd number of tokens falls on it. Two sketches differ in at most
+    as many bits as tokens are in one set alone.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,19 +225,33 @@ def _tokens(docs: DataFrame, size: int, hashes: int) -> DataFrame:
                     pa.array(np.diff(at)[full]),
                     pa.ListArray.from_arrays(pa.array(np.append(at[full], len(got)).astype(np.int32)), pa.array(got.view(np.int64))),
                     pa.FixedSizeListArray.from_arrays(pa.array(mins.reshape(-1).view(np.int64)), hashes).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(_sketches(got, at)[full].reshape(-1)), SKETCH).cast(pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "tokens", "mins"])
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "tokens", "mins", "sketch"])
+
+    return docs.mapInArrow(run, f"id {kind}, n long, tokens array<long>, mins array<long>, sketch array<long>")
+
 
-    return docs.mapInArrow(run, f"id {kind}, n long, tokens array<long>, mins array<long>")
+def _sketches(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``SKETCH`` 64-bit words per text."""
+    texts, width = len(at) - 1, SKETCH * 64
+    cell = np.repeat(np.arange(texts), np.diff(at)) * width + (W.mix(tokens + np.uint64(99)) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=texts * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(texts, SKETCH)
+
+
+def _near_enough(share: Fraction) -> str:
+    """Condition that sets ``na, sa`` and ``nb, sb`` must meet to link: sizes, and the bits in which the sketches differ."""
+    num, den = share.numerator, share.denominator
+    apart = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(SKETCH))
+    return f"na * {num} <= nb * {den} AND nb * {num} <= na * {den} AND ({apart}) * {den + num} <= (na + nb) * {den - num}"
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Of the pairs ``a, b``, those whose sets link. Sizes are compared before any tokens move."""
-    sizes = sets.select("id", "n")
-    a, b = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
-    fit = pairs.distinct().join(a, "a").join(b, "b").where(
-        f"na * {share.numerator} <= nb * {share.denominator} AND nb * {share.numerator} <= na * {share.denominator}"
-    )
+    """Of the pairs ``a, b``, those whose sets link. Sizes and sketches are compared before any tokens move."""
+    brief = sets.select("id", "n", "sketch")
+    a, b = brief.toDF("a", "na", "sa"), brief.toDF("_b", "nb", "sb")
+    fit = pairs.distinct().join(a, "a").join(b, (F.col("b") == F.col("_b")) & F.expr(_near_enough(share))).select("a", "b")
     kept = sets.select("id", "tokens")
     both = fit.join(kept.toDF("a", "ta"), "a").join(kept.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     common = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("c"), (F.size("ta") + F.size("tb")).cast("long").alias("t"))
@@ -237,35 +266,55 @@ def links(docs: DataFrame, size: int = SHINGLE, share: Fraction = SHARE, least:
     num, den = share.numerator, share.denominator
     sets = written(_tokens(docs, size, hashes), "token-sets")
 
-    # groups: every set that shares a minimum with a smaller id is compared with the smallest such id
+    # groups: sets that share a minimum are compared with the one of them that shares most minima with others,
+    # which stands in the middle of its near copies
     mins = sets.select("id", F.posexplode("mins").alias("k", "m"))
-    leaders = mins.groupBy("k", "m").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = mins.join(leaders, ["k", "m"]).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    counts = mins.groupBy("k", "m").agg(F.count("*").alias("c")).where("c > 1")
+    shared = mins.join(counts, ["k", "m"])
+    central = shared.groupBy("id").agg(F.sum("c").alias("mass"))
+    best = F.max_by("id", F.struct(F.col("mass"), -F.col("id"))).alias("lead")
+    leaders = shared.join(central, "id").groupBy("k", "m").agg(best)
+    near = mins.join(leaders, ["k", "m"]).where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     inner = written(_linked(near, sets, share), "links")
-    label = inner.groupBy("b").agg(F.min("a").alias("g")).withColumnRenamed("b", "id")
+    heads = inner.select(F.col("a").alias("b"), "a").distinct()
+    label = inner.unionByName(heads).groupBy("b").agg(F.min("a").alias("g")).withColumnRenamed("b", "id")
     up = label.select(F.col("id").alias("g"), F.col("g").alias("top"))
     label = label.join(up, "g", "left").select("id", F.coalesce("top", "g").alias("g"))
-    members = written(sets.select("id", "n").join(label, "id", "left").select("id", "n", F.coalesce("g", "id").alias("g")), "groups")
+    # the sketch folded to a quarter, which is a sketch as well
+    folds = [f"f{k}" for k in range(4)]
+    folded = [F.expr(" ^ ".join(f"sketch[{i}]" for i in range(k, SKETCH, 4))).alias(f"f{k}") for k in range(4)]
+    grouped = sets.select("id", "n", *folded).join(label, "id", "left").select("id", "n", F.coalesce("g", "id").alias("g"), *folds)
+    members = written(grouped, "groups")
 
     # prefixes: the rarest tokens of each set, tokens of one set alone only as a number
     rows = sets.select("id", F.explode("tokens").alias("token"))
     common = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = rows.join(common, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
-    length = f"n - CAST(ceil(n * {num} / {den}) AS BIGINT) + {least} - (n - size(found))"
-    prefix = ranked.join(members, "id").select(
-        "id", "n", "g", F.explode(F.expr(f"slice(found.token, 1, CAST(greatest(0, least(size(found), {length})) AS INT))")).alias("token")
+    own = F.col("n") - F.size("found")
+    length = f"n - CAST(ceil(n * {num} / {den}) AS BIGINT) + {least} - own"
+    prefix = ranked.join(members, "id").withColumn("own", own).select(
+        "id", "n", "g", "own", *folds, F.explode(F.expr(f"slice(found.token, 1, CAST(greatest(0, least(size(found), {length})) AS INT))")).alias("token")
     )
     prefix = written(prefix, "prefixes")
 
     # the matrix: tokens that more than one group has, with the groups
     sizes = members.groupBy("g").agg(F.count("*").alias("gn"))
-    cells = prefix.select("token", "g").distinct()
+    ones = [F.max(f).alias(f"o{f}") for f in folds]
+    cells = prefix.groupBy("token", "g").agg(F.min("own").alias("least"), F.max("n").alias("most"), *ones)
     wide = cells.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    matrix = cells.join(wide, "token").join(sizes, "g").select("token", F.col("g").alias("other"), F.col("gn").alias("on"))
-    asking = prefix.join(wide, "token").join(sizes, "g").select("token", "id", "n", "g", "gn")
-    hits = asking.join(matrix, "token").where("gn < on OR (gn = on AND g < other)").groupBy("id", "n", "other").agg(F.count("*").alias("hits"))
+    matrix = cells.join(wide, "token").join(sizes, "g").select("token", F.col("g").alias("other"), F.col("gn").alias("on"), "least", "most", *(f"o{f}" for f in folds))
+    asking = prefix.join(wide, "token").join(sizes, "g").select("token", "id", "n", "own", "g", "gn", *folds)
+    # tokens that one set alone has are in the difference of any two: too many of them rule a group out, as does the
+    # sketch of a group of one
+    apart = " + ".join(f"bit_count({f} ^ o{f})" for f in folds)
+    possible = f"greatest(own + least, IF(on = 1, {apart}, 0)) * {den + num} <= (n + most) * {den - num}"
+    asked = asking.join(matrix, (asking["token"] == matrix["token"]) & F.expr(f"(gn < on OR (gn = on AND g < other)) AND {possible}"))
+    hits = asked.groupBy("id", "n", "other").agg(F.count("*").alias("hits"))
     opened = hits.where(f"hits >= least({least}, CAST(ceil(n * {num} / {den}) AS BIGINT))").select("id", "other")
-    outer = opened.join(members.select(F.col("g").alias("other"), F.col("id").alias("b")), "other").select(F.col("id").alias("a"), "b")
+    brief = sets.select("id", "n", "sketch")
+    asks = opened.join(brief, "id").select(F.col("id").alias("a"), "other", F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    answers = members.select("id", "g").join(brief, "id").select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    outer = asks.join(answers, (F.col("other") == F.col("g")) & F.expr(_near_enough(share))).select("a", "b")
     return inner.unionByName(_linked(outer, sets, share))
 
 
@@ -285,6 +334,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     )
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, share: Fraction = SHARE) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its class; rows without an id stay if their class has no other."""
+    found = classes(docs, id_col, text_col, size, share).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    chosen = found.select(F.col(id_col).alias("_chosen")).distinct()
+    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi")
+
+
 def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every whole text of ``documents``."""
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
