@@ -19,6 +19,7 @@ other; null ids come first; an empty table gives an empty table; further columns
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ END = 1
 #: Ids between two checkpoints, ids of a block, and the longest code in bits.
 RUN, BLOCK, LONGEST = 64, 1 << 16, 18
 #: Words that a task remembers with their ids.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 # --- tokens -----------------------------------------------------------------------------------------------
@@ -81,40 +82,88 @@ class Words:
             out += ids
         return out
 
-    def ids_of(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each word."""
+    def ids_of(self, units: list[bytes], whole: list[bool]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each unit: a word, if ``whole``, else a part in lower case."""
         if len(self._ids) > REMEMBERED:
             self._ids.clear()
-        if len(self._parts) > REMEMBERED:
             self._parts.clear()
-        slow = []
-        for word in words:
-            if word not in self._ids:
-                text = word.decode()
+        known, model, mapped, slow = self._ids, self._model, self._mapped, []
+        for unit, word in zip(units, whole, strict=True):
+            if unit in known:
+                continue
+            if not word:
+                text = unit.decode("ascii") if unit.isascii() else unit.decode("latin-1").translate(mapped)
+                known[unit] = array("I", [t.id for t in model(text)]).tobytes()
+            else:
+                text = unit.decode()
                 if self._fast and self._plain(text) and "<|" not in text:
-                    self._ids[word] = self._pieces(text)
+                    known[unit] = self._pieces(text)
                 else:
-                    slow.append(word)
+                    slow.append(unit)
         if slow:
-            self._ids.update(zip(slow, self._whole([w.decode() for w in slow]), strict=True))
-        return [self._ids[w] for w in words]
+            known.update(zip(slow, self._whole([w.decode() for w in slow]), strict=True))
+        return [known[u] for u in units]
+
+    def split(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Units of words: bytes in lower case (of whole words as they are), their starts, the word each begins with, and which are whole."""
+        if not self._fast:
+            return data, starts, np.arange(len(starts)), np.ones(len(starts), dtype=bool)
+        before = np.concatenate([[np.uint8(32)], data[:-1]])
+        second = (before == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7)
+        first = np.zeros(len(data), dtype=bool)
+        first[:-1] = second[1:]
+        odd = ~(_KIND[data] > 0) & ~second & ~first | (data == 0x7C) & (before == 0x3C)
+        run = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(odd & ~W.SPACE[data], out=run[1:])
+        whole = run[ends] > run[starts]
+        kind = np.where(second | first, np.uint8(1), _KIND[data])
+        lowered = np.where(second & (data <= 0x9E), data + np.uint8(32), W.lower(data))
+        edge = np.zeros(len(data), dtype=bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        np.add.at(inside, starts[whole], 1)
+        np.add.at(inside, ends[whole], -1)
+        inside = np.cumsum(inside[:-1]).astype(bool)
+        edge &= ~inside & ~W.SPACE[data]
+        edge[starts] = True
+        at = np.flatnonzero(edge)
+        begins = np.searchsorted(at, starts)
+        flags = np.zeros(len(at), dtype=bool)
+        flags[begins[whole]] = True
+        return np.where(inside, data, lowered), at, begins, flags
+
+
+#: Kinds of bytes in words that are split here: letters, digits, marks; an apostrophe and the rest need the pattern.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[np.r_[0x41:0x5B, 0x61:0x7B]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x27] = 0
 
 
 def encode_slice(words: Words, data: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a slice, each with the end id, and where each text's ids start."""
     starts, ends, firsts = W.spans(data, offs)
-    cuts = np.zeros(len(starts) + 1, dtype=np.int64)
-    np.cumsum(ends - starts, out=cuts[1:])
-    body = np.ascontiguousarray(data[~W.SPACE[data]])
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(body)])
+    body, at, begins, whole = words.split(data, starts, ends)
+    # units follow each other without the white space
+    kept = ~W.SPACE[data]
+    shift = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(kept, out=shift[1:])
+    cuts = np.append(shift[at], shift[-1])
+    body = np.ascontiguousarray(body[kept])
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(body)])
     column = column.dictionary_encode()
-    coded = words.ids_of(column.dictionary.to_pylist()) + [end.to_bytes(4, "little")]
-    # the end id stands behind the last word of each text
-    codes = np.insert(column.indices.to_numpy().astype(np.int64), firsts[1:], len(coded) - 1)
+    codes = column.indices.to_numpy().astype(np.int64)
+    flags = np.zeros(len(column.dictionary), dtype=bool)
+    flags[codes[whole]] = True
+    coded = words.ids_of(column.dictionary.to_pylist(), flags.tolist()) + [end.to_bytes(4, "little")]
+    # the end id stands behind the last unit of each text
+    first_units = np.append(begins, len(at))[firsts]
+    codes = np.insert(codes, first_units[1:], len(coded) - 1)
     ids = np.frombuffer(b"".join([coded[c] for c in codes.tolist()]), dtype="<u4")
     run = np.zeros(len(codes) + 1, dtype=np.int64)
     np.cumsum(np.array([len(c) >> 2 for c in coded], dtype=np.int64)[codes], out=run[1:])
-    return ids, run[firsts + np.arange(len(firsts))]
+    return ids, run[first_units + np.arange(len(firsts))]
 
 
 def tokenise(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,8 +307,8 @@ def _counts(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            raw, _ = W.texts(batch.column(0))
-            total += np.bincount(raw.view(kind), minlength=size)
+            for _, _, part, _ in W.slices(*W.texts(batch.column(0)), 1 << 20):
+                total += np.bincount(part.view(kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["token", "n"])
 
@@ -285,11 +334,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: st
         """Code every row by itself before it moves: coded ids are the smallest form."""
         for batch in batches:
             raw, offs = W.texts(batch.column(1))
-            ids, at = raw.view(kind), offs // np.dtype(kind).itemsize
-            bits, starts, runs, run_starts = pack(ids, at, lengths, codes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at)), _binary(starts, bits), _binary(run_starts * 2, runs)], ["id", "n", "bits", "checkpoints"]
-            )
+            for first, stop, part, cuts in W.slices(raw, offs, 1 << 20):
+                at = cuts // np.dtype(kind).itemsize
+                bits, starts, runs, run_starts = pack(part.view(kind), at, lengths, codes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:stop], pa.array(np.diff(at)), _binary(starts, bits), _binary(run_starts * 2, runs)],
+                    ["id", "n", "bits", "checkpoints"],
+                )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Put coded rows together to blocks."""
