@@ -36,7 +36,7 @@ END = 1
 #: Ids between two checkpoints, ids of a block, and the longest code in bits.
 RUN, BLOCK, LONGEST = 64, 1 << 16, 18
 #: Words that a task remembers with their ids.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 # --- tokens -----------------------------------------------------------------------------------------------
@@ -174,7 +174,7 @@ def tokenise(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
         words = Words(path)
         for batch in batches:
             data, offs = W.texts(batch.column(1))
-            for first, stop, part, cuts in W.slices(data, offs, 1 << 22):
+            for first, stop, part, cuts in W.slices(data, offs, 1 << 23):
                 ids, at = encode_slice(words, part, cuts, end)
                 raw = ids.astype(kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:stop], _binary(at * raw.itemsize, raw)], ["id", "ids"])
