@@ -60,6 +60,25 @@ def test_licenses(make):
     assert license_scan.scan(make([])).count() == 0
 
 
+def test_long_licenses_with_repeated_phrases(make):
+    rng = np.random.default_rng(5)
+    phrases = ["of the License", "the Work or Derivative Works", "this License and the", "shall mean the"]
+    words = []
+    while len(words) < 1500:
+        words += [*(f"w{k}" for k in rng.integers(0, 300, 4)), *phrases[int(rng.integers(4))].split()]
+    light = list(words)
+    for k in range(100, 1400, 130):
+        light[k] = f"changed{k}"
+    del light[700], light[300]
+    light.insert(500, "added")
+    notice = license_scan.TEMPLATES["apache-2.0-notice"]
+    rows = [(1, "a b " + " ".join(words) + " c"), (2, "x " + " ".join(light)), (3, " ".join(words[:600])), (4, notice), (5, f"{notice} - {notice}")]
+    got = sorted(tuple(r)[:3] for r in license_scan.scan(make(rows), {"long": " ".join(words), "notice": notice}).collect())
+    assert got[0] == (1, "long", len(words)) and got[1][:2] == (2, "long") and 1480 < got[1][2] < 1490
+    n = len(license_scan.Index({"notice": notice}).words[0])
+    assert got[2:] == [(4, "notice", n), (5, "notice", n), (5, "notice", n)]
+
+
 def test_alignment_counts_matches():
     rng = np.random.default_rng(3)
     for _ in range(50):

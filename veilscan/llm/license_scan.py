@@ -2,12 +2,13 @@
 
 Templates are cut into words (letters and digits, without case); every window of ``WINDOW`` consecutive n-grams of a
 template puts its smallest hash into an inverted index, hash -> (template, place). Texts look up all their
-n-grams, so a text that holds a template's words holds all its fingerprints. Hits of one template on
-nearly one diagonal form a region; with enough of the template's fingerprints in it, the template is aligned with the
-words around, within a band of diagonals, and matched words, coverage and span are reported if coverage suffices.
+n-grams, so a text that holds a template's words holds all its fingerprints. Each diagonal with a hit and with enough
+of the template's fingerprints on the diagonals within the band is aligned with the words around, wherever in the text other
+hits lie, and matched words, coverage and span are reported if coverage suffices.
 
 The index depends on the templates alone (its size is checked) and goes with the task; texts are looked at one by one, in one
-narrow pass without a shuffle. Every occurrence in a text is reported.
+narrow pass without a shuffle. Every occurrence in a text is reported whose words lie within ``BAND`` diagonals of a hit; words moved
+further by insertions or deletions do not count as matched.
 
 Defined results: null and empty texts and an empty table give no rows; rows that repeat are reported each; an occurrence is
 given once per template, and occurrences of one template don't overlap; texts of any length are read in
@@ -16,7 +17,9 @@ whole; further columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -148,13 +151,42 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
     return best[1:]
 
 
-def _regions(doc: np.ndarray, template: np.ndarray, at: np.ndarray, diagonal: np.ndarray, sizes: np.ndarray, band: int) -> np.ndarray:
-    """Number of the region of each hit; hits are ordered by text, template and diagonal class, then place."""
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (
-        (doc[1:] != doc[:-1]) | (template[1:] != template[:-1]) | (np.abs(diagonal[1:] - diagonal[:-1]) > band) | (at[1:] - at[:-1] > sizes[template[1:]])
-    )
-    return np.cumsum(new) - 1
+def _supported(index: Index, doc: np.ndarray, template: np.ndarray, diagonal: np.ndarray, band: int, seeds: float) -> tuple[np.ndarray, np.ndarray]:
+    """For hits ordered by text, template and diagonal: hits within ``band`` diagonals, and whether those are enough to align."""
+    low, high = int(diagonal.min()) - band, int(diagonal.max()) + band
+    pair = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (template[1:] != template[:-1])))
+    key = pair * (high - low + 1) + diagonal - low
+    near = np.searchsorted(key, key + band, "right") - np.searchsorted(key, key - band, "left")
+    return near, near >= np.maximum(1, np.ceil(seeds * index.prints[template]))
+
+
+def _occurrences(
+    words: np.ndarray, text: np.ndarray, base: int, seeds: list[tuple[int, list[int]]], band: int, coverage: float
+) -> list[tuple[int, int, int]]:
+    """(matched words, first word, word after the last) of a template's occurrences in a text, in order.
+
+    Each diagonal of ``seeds`` comes with the words its hits begin at. A hit outside of all occurrences so far is aligned with the free
+    words around it.
+    """
+    least = coverage * len(words)
+    spans: list[tuple[int, int, int]] = []
+    for diagonal, hits in seeds:
+        failed = (-1, -1)
+        for hit in hits:
+            for _ in range(1):
+                k = bisect_right(spans, hit, key=itemgetter(0))
+                if k and hit < spans[k - 1][1]:
+                    break
+                low = max(0, diagonal - base - 2 * band, spans[k - 1][1] if k else 0)
+                high = min(len(text), diagonal - base + len(words) + 2 * band, spans[k][0] if k < len(spans) else len(text))
+                if (low, high) == failed or high - low < least or np.isin(words, text[low:high]).sum() < least:
+                    break
+                matched, a, b = align(words, text[low:high], diagonal - base - low, band)
+                if matched < least or not matched:
+                    failed = (low, high)
+                    break
+                spans.insert(bisect_right(spans, low + a, key=itemgetter(0)), (low + a, low + b, matched))
+    return [(matched, base + a, base + b) for a, b, matched in spans]
 
 
 def scan_slice(index: Index, data: np.ndarray, offs: np.ndarray, band: int, coverage: float, seeds: float) -> list[tuple[int, int, int, int, int]]:
@@ -169,30 +201,22 @@ def scan_slice(index: Index, data: np.ndarray, offs: np.ndarray, band: int, cove
     owner = W.owners(firsts)
     doc, template = owner[at], index.template[entry]
     diagonal = at - index.place[entry]
-    sizes = np.array([len(w) for w in index.words])
-    order = np.lexsort((diagonal, at, template, doc))
+    order = np.lexsort((at, diagonal, template, doc))
     doc, template, at, diagonal = doc[order], template[order], at[order], diagonal[order]
-    region = _regions(doc, template, at, diagonal, sizes, band)
-    first = np.flatnonzero(np.diff(region, prepend=-1))
-    counts = np.diff(np.append(first, len(region)))
-    enough = counts >= np.maximum(1, np.ceil(seeds * index.prints[template[first]]))
+    near, enough = _supported(index, doc, template, diagonal, band, seeds)
+    doc, template, at, diagonal, near = doc[enough], template[enough], at[enough], diagonal[enough], near[enough]
+    new = (doc[1:] != doc[:-1]) | (template[1:] != template[:-1])
+    pairs = np.flatnonzero(np.append(True, new)) if len(doc) else np.zeros(0, dtype=np.int64)
     out: list[tuple[int, int, int, int, int]] = []
-    chosen = first[enough].tolist()
-    done = (-1, -1, 0)
-    for k, after in zip(chosen, [*chosen[1:], -1], strict=True):
+    for k, after in zip(pairs.tolist(), [*pairs[1:].tolist(), len(doc)], strict=True):
         d, t, base = int(doc[k]), int(template[k]), int(firsts[doc[k]])
-        low = max(base, int(diagonal[k]) - 2 * band)
-        high = min(int(firsts[d + 1]), int(diagonal[k]) + len(index.words[t]) + 2 * band)
-        # neighbours of the same template keep their words
-        if done[:2] == (d, t):
-            low = max(low, done[2])
-        if after >= 0 and doc[after] == d and template[after] == t and diagonal[after] > diagonal[k]:
-            high = min(high, int(diagonal[after]))
-        matched, a, b = align(index.words[t], hashes[low:high], int(diagonal[k]) - low, band)
-        if matched < coverage * len(index.words[t]):
-            continue
-        out.append((d, t, matched, int(starts[low + a]), int(ends[low + b - 1])))
-        done = (d, t, low + b)
+        cuts = [k, *(k + 1 + np.flatnonzero(np.diff(diagonal[k:after]))).tolist(), after]
+        # the best seeded diagonals first, of equal ones the first in the text
+        ranked = sorted(zip(cuts, cuts[1:]), key=lambda c: (-min(int(near[c[0]]), int(index.prints[t])), c[0] - c[1], c[0]))
+        found = _occurrences(
+            index.words[t], hashes[base : int(firsts[d + 1])], base, [(int(diagonal[a]), (at[a:b] - base).tolist()) for a, b in ranked], band, coverage
+        )
+        out += [(d, t, matched, int(starts[a]), int(ends[b - 1])) for matched, a, b in found]
     return out
 
 
