@@ -79,6 +79,17 @@ def test_long_licenses_with_repeated_phrases(make):
     assert got[2:] == [(4, "notice", n), (5, "notice", n), (5, "notice", n)]
 
 
+def test_repeated_notices(make):
+    lines = ["All rights reserved.", "Released under the MIT License.", license_scan.TEMPLATES["cc-by-4.0"]]
+    rows = [(k, "\n".join([line] * 10)) for k, line in enumerate(lines)]
+    rows.append((3, "Released under the MIT. Released under the MIT License. under the MIT License"))
+    got = license_scan.scan(make(rows)).collect()
+    for k, line in enumerate(lines):
+        spans = sorted((r.span_start, r.span_end) for r in got if r.doc_id == k and r.coverage == 1.0)
+        assert spans == [(i * (len(line) + 1), i * (len(line) + 1) + len(line) - 1) for i in range(10)]
+    assert sorted(r.matched_words for r in got if r.doc_id == 3) == [4, 4, 5]
+
+
 def test_alignment_counts_matches():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -4,7 +4,7 @@ Templates are cut into words (letters and digits, without case); every window of
 template puts its smallest hash into an inverted index, hash -> (template, place). Texts look up all their
 n-grams, so a text that holds a template's words holds all its fingerprints. Each diagonal with a hit and with enough
 of the template's fingerprints on the diagonals within the band is aligned with the words around, wherever in the text other
-hits lie, and matched words, coverage and span are reported if coverage suffices.
+hits lie, and matched words, coverage and span are reported if coverage suffices. Hits that no reported span covers are aligned again.
 
 The index depends on the templates alone (its size is checked) and goes with the task; texts are looked at one by one, in one
 narrow pass without a shuffle. Every occurrence in a text is reported whose words lie within ``BAND`` diagonals of a hit; words moved
@@ -166,14 +166,14 @@ def _occurrences(
     """(matched words, first word, word after the last) of a template's occurrences in a text, in order.
 
     Each diagonal of ``seeds`` comes with the words its hits begin at. A hit outside of all occurrences so far is aligned with the free
-    words around it.
+    words around it, again and again until it is inside of one or nothing more is found.
     """
     least = coverage * len(words)
     spans: list[tuple[int, int, int]] = []
     for diagonal, hits in seeds:
         failed = (-1, -1)
         for hit in hits:
-            for _ in range(1):
+            while True:
                 k = bisect_right(spans, hit, key=itemgetter(0))
                 if k and hit < spans[k - 1][1]:
                     break
