@@ -362,6 +362,48 @@ def test_class_bits_are_a_distribution():
     assert np.exp(logs - alone).sum() == pytest.approx(1, abs=2e-3)
 
 
+def _even(**further):
+    """Tables of an empty corpus."""
+    n = sum(context_mixing.SLOTS)
+    logits, chances = context_mixing.logits_of(np.zeros(n), np.zeros(n))
+    none = np.zeros(0, np.uint64)
+    return context_mixing.Tables(logits, chances, np.ones(context_mixing.NODES), none, none.view(np.int64), True, 0, 0, **further)
+
+
+def test_short_texts_are_mixed_online():
+    word = np.full(40, 0x1234_5678_9ABC_DEF0, dtype=np.uint64)
+    sizes = np.array([5, 10, 20, 40])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    logs = context_mixing.mix_texts(_even(), np.tile(word, 2)[: at[-1]], at, np.zeros(at[-1], dtype=bool))
+    each = logs / sizes
+    # a word that comes again is cheaper each time, in texts of any length
+    assert (np.diff(each) > 0.05 * -each[:-1]).all()
+
+
+def test_weights_and_map_are_learned(make, odd_rows):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(40)]
+    follow = {w: rng.choice(vocabulary, 2) for w in vocabulary}
+
+    def text():
+        words = [str(rng.choice(vocabulary))]
+        while len(words) < 50:
+            words.append(str(rng.choice(follow[words[-1]])))
+        return " ".join(words)
+
+    tables, counts = context_mixing.learn(make([(i, text()) for i in range(400)] + odd_rows))
+    weights, curve = tables.first()
+    start, identity = _even().first()
+    assert weights.shape == start.shape and curve.shape == identity.shape and np.isfinite(weights).all()
+    assert ((curve > 0) & (curve < 1)).all() and not np.allclose(weights, start) and not np.allclose(curve, identity)
+    rows = make([(i, text()) for i in range(30)])
+    taught = sum(r.score for r in context_mixing.score(rows, tables, counts).collect())
+    tables.weights = tables.curve = None
+    assert taught > sum(r.score for r in context_mixing.score(rows, tables, counts).collect())
+    empty, _ = context_mixing.learn(make([]))
+    assert np.allclose(empty.first()[0], start) and np.allclose(empty.first()[1], identity)
+
+
 # --- shared parts and registered queries
 
 

@@ -4,8 +4,10 @@ A word is coded as ``BITS`` binary decisions, the bits of its class (a hash of t
 class. Each bit is predicted by several tables of counts, looked up by a hash of a context and of the bits
 so far: no context, the word before, the two words before, the last short word, and what the text itself has
 shown. The predictions, as logits, are mixed with weights that the position of the bit selects; the mixed
-probability is refined by an adaptive map. Weights, map and the text's own counts are adapted along each text,
-``RUN`` words at a time, starting anew with every text, so a score depends on the text and the tables alone.
+probability is refined by an adaptive map. Weights, map and the text's own counts are adapted along each text, after its first,
+second, fourth and eighth word and then every ``RUN`` words, starting anew with every text, so a score depends on the text and the
+tables alone. First weights and first map are learned: one training text of ``SHARE``, picked by its content, is mixed with what
+the other training texts say (Newton steps on the summed gradients, then the map), before its own counts are added to the tables.
 Within a class, a word has (c + 1) / (C + V + 1), with c its count and C, V the class's counts and distinct words; the rest
 is for words never seen. The sum over the text, in bits per byte or as log10, is a proper probability.
 
@@ -24,7 +26,7 @@ table gives an empty table; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +43,20 @@ NODES = 1 << BITS
 SLOTS = (NODES, 1 << 18, 1 << 18, 1 << 18)
 #: A word of so few bytes counts as short.
 SHORT = 3
-#: Words between two adaptations.
-RUN = 64
+#: Words between two adaptations, at most.
+RUN = 8
 #: Words that go with the tasks at most.
 TIER = 1 << 20
 #: Words whose counts a task holds before it hands them over.
 HELD = 1 << 19
 #: Texts mixed side by side.
-WIDE = 96
-#: First weights of the five predictions, step of their adaptation, strength of the map's first values.
+WIDE = 512
+#: Weights of the five predictions before any text is seen, step of their adaptation, strength of the map's values.
 WEIGHTS = (0.15, 0.15, 0.1, 0.45, 0.35)
 RATE, MAP_STRENGTH = 0.002, 30.0
+#: One of so many training texts teaches weights and map, in so many steps; what WEIGHTS count against it.
+SHARE, STEPS, PRIOR = 16, 2, 50.0
+_GRID = np.linspace(-8, 8, 33).astype(np.float32)
 _END = np.uint64(0xC2B2AE3D27D4EB4F)
 _CELLS = 4096
 
@@ -105,6 +110,14 @@ class Tables:
     complete: bool
     total: int
     distinct: int
+    #: First weights (predictions x bits) and first map (bits x grid); None: WEIGHTS and the identity.
+    weights: np.ndarray | None = None
+    curve: np.ndarray | None = None
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        weights = np.tile(np.array(WEIGHTS)[:, None], (1, BITS)) if self.weights is None else self.weights
+        curve = np.tile(1 / (1 + np.exp(-_GRID)), (BITS, 1)) if self.curve is None else self.curve
+        return weights.astype(np.float32), curve.astype(np.float32)
 
 
 def logits_of(zeros: np.ndarray, ones: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -124,68 +137,88 @@ def logits_of(zeros: np.ndarray, ones: np.ndarray) -> tuple[list[np.ndarray], np
 
 def mix_texts(tables: Tables, hashes: np.ndarray, at: np.ndarray, short: np.ndarray) -> np.ndarray:
     """Natural log of the probability of all class bits of each text."""
+    out = np.zeros(len(at) - 1)
+    for group, classes, ctx, first, sizes in _groups(hashes, at, short):
+        out[group] = _mix_group(tables, classes, ctx, first, sizes)
+    return out
+
+
+def _groups(hashes: np.ndarray, at: np.ndarray, short: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Numbers of the texts that go side by side, classes and contexts of all tokens, first token and size of each of these texts."""
     classes = (hashes >> np.uint64(64 - BITS)).astype(np.int32)
     ctx = contexts(hashes, at, short)
     sizes = np.diff(at)
-    out = np.zeros(len(sizes))
     order = np.argsort(sizes, kind="stable")
     for k in range(0, len(order), WIDE):
         group = order[k : k + WIDE]
-        out[group] = _mix_group(tables, classes, ctx, at[:-1][group], sizes[group])
-    return out
+        yield group, classes, ctx, at[:-1][group], sizes[group]
 
 
-def _mix_group(tables: Tables, classes: np.ndarray, ctx: list[np.ndarray], first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Texts side by side, ascending by size, ``RUN`` words at a time."""
+def _runs(
+    tables: Tables, classes: np.ndarray, ctx: list[np.ndarray], first: np.ndarray, sizes: np.ndarray
+) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Texts side by side, ascending by size, some words at a time: the first text that goes on, the five logits, the bits, which are words.
+
+    The texts' own counts are adapted between runs.
+    """
     texts = len(first)
-    total = np.zeros(texts)
-    weights = np.tile(np.array(WEIGHTS, dtype=np.float32)[:, None, None], (1, texts, BITS))
-    grid = np.linspace(-8, 8, 33).astype(np.float32)
-    curve = np.tile(1 / (1 + np.exp(-grid)), (texts, BITS, 1)).astype(np.float32)
     seen = np.zeros((texts, NODES), dtype=np.float32)
     ones = np.zeros((texts, NODES), dtype=np.float32)
-    for start in range(0, int(sizes.max(initial=0)), RUN):
+    start, longest = 0, int(sizes.max(initial=0))
+    while start < longest:
+        run = min(RUN, max(1, start))
         live = int(np.searchsorted(sizes, start, "right"))
-        n = texts - live
-        place = first[live:, None] + np.minimum(start + np.arange(RUN), sizes[live:, None] - 1)
-        valid = (start + np.arange(RUN) < sizes[live:, None]).reshape(-1)
+        place = first[live:, None] + np.minimum(start + np.arange(run), sizes[live:, None] - 1)
+        mask = start + np.arange(run) < sizes[live:, None]
         place = place.reshape(-1)
         own = classes[place]
         nodes, where = slots(own, [c[place] for c in ctx])
         bit = class_bits(own)
-        row = np.repeat(np.arange(live, texts), RUN)
+        row = np.repeat(np.arange(live, texts), run)
         cell = row[:, None] * NODES + nodes
         chance = (ones.reshape(-1)[cell] + 2 * tables.chances[nodes]) / (seen.reshape(-1)[cell] + 2)
         inputs = [t[w] for t, w in zip(tables.logits, where, strict=True)]
         inputs.append(np.log(chance / (1 - chance)))
-        shape = (n, RUN, BITS)
-        inputs = [x.reshape(shape) for x in inputs]
-        z = sum(x * w[live:, None, :] for x, w in zip(inputs, weights, strict=True))
-        np.clip(z, -7.99, 7.99, out=z)
-        p = 1 / (1 + np.exp(-z))
-        # the adaptive map: what the text's bits turned out to be at such a probability
-        step = (z + 8) * 2
-        low = step.astype(np.int32)
-        part = step - low
-        entry = (np.arange(live, texts)[:, None, None] * BITS + np.arange(BITS)) * 33 + low
-        flat = curve.reshape(-1)
+        shape = (texts - live, run, BITS)
+        yield live, [x.reshape(shape) for x in inputs], bit.reshape(shape), mask
+        valid = mask.reshape(-1)
+        cell = cell[valid].reshape(-1)
+        np.add.at(seen.reshape(-1), cell, np.float32(1))
+        np.add.at(ones.reshape(-1), cell, bit[valid].reshape(-1).astype(np.float32))
+        start += run
+
+
+def _squash(inputs: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mixed logits, their probabilities, and the place in the map: point below and the part of the way to the next."""
+    z = sum(x * w for x, w in zip(inputs, weights, strict=True))
+    np.clip(z, -7.99, 7.99, out=z)
+    step = (z + 8) * 2
+    low = step.astype(np.int32)
+    return z, 1 / (1 + np.exp(-z)), low, step - low
+
+
+def _mix_group(tables: Tables, classes: np.ndarray, ctx: list[np.ndarray], first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Texts side by side, ascending by size, with weights and a map for each."""
+    texts = len(first)
+    total = np.zeros(texts)
+    weights, curve = tables.first()
+    weights = np.repeat(weights[:, None, :], texts, axis=1)
+    flat = np.tile(curve.reshape(-1), texts)
+    for live, inputs, bit, mask in _runs(tables, classes, ctx, first, sizes):
+        _, p, low, part = _squash(inputs, [w[live:, None, :] for w in weights])
+        # the adaptive map: what bits turned out to be at such a probability
+        entry = (np.arange(live, texts)[:, None, None] * BITS + np.arange(BITS)) * len(_GRID) + low
         mapped = flat[entry] * (1 - part) + flat[entry + 1] * part
-        bit = bit.reshape(shape)
         final = 0.5 * (p + mapped)
         logs = np.log(np.where(bit, final, 1 - final))
-        mask = valid.reshape(n, RUN)
         total[live:] += (logs.sum(axis=2, dtype=np.float64) * mask).sum(axis=1)
         # adapt
         miss = (bit - p) * mask[:, :, None]
         for x, w in zip(inputs, weights, strict=True):
             w[live:] += RATE * (miss * x).sum(axis=1)
-        near = (entry + (part > 0.5))[mask]
-        hits = np.bincount(near.reshape(-1), minlength=flat.size)
-        right = np.bincount(near.reshape(-1), weights=bit[mask].reshape(-1), minlength=flat.size)
-        flat += ((right - hits * flat) / (hits + MAP_STRENGTH)).astype(np.float32)
-        cell = cell[valid].reshape(-1)
-        np.add.at(seen.reshape(-1), cell, np.float32(1))
-        np.add.at(ones.reshape(-1), cell, bit.reshape(-1, BITS)[valid].reshape(-1).astype(np.float32))
+        near = (entry + (part > 0.5))[mask].reshape(-1)
+        # an entry that several bits of a run meet moves by the sum of their steps, at most RUN / (MAP_STRENGTH + 1) of the way
+        np.add.at(flat, near, ((bit[mask].reshape(-1) - flat[near]) / (MAP_STRENGTH + 1)).astype(np.float32))
     return total
 
 
@@ -262,11 +295,66 @@ def _summed(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return cells[0], cells[1]
 
 
+def _lessons(docs: DataFrame, tables: Tables) -> np.ndarray:
+    """Sums over all texts, per bit: gradient and curvature of the weights, bits and ones at each point of the map."""
+    n, grid = len(WEIGHTS), len(_GRID)
+    size = BITS * (n + n * n + 2 * grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, bend, points = np.zeros((BITS, n)), np.zeros((BITS, n, n)), np.zeros((2, BITS * grid))
+        weights, _ = tables.first()
+        for batch in batches:
+            data, offs = W.texts(batch.column(0))
+            for _, _, part, where in W.slices(data, offs):
+                for _, *group in _groups(*tokens(part, where)):
+                    for _, inputs, bit, mask in _runs(tables, *group):
+                        _, p, low, way = _squash(inputs, [w[None, None, :] for w in weights])
+                        x = np.stack(inputs)[:, mask].astype(np.float64)
+                        bit, p = bit[mask], p[mask].astype(np.float64)
+                        slope += np.einsum("ikb,kb->bi", x, bit - p)
+                        flat = np.ascontiguousarray(x.transpose(2, 0, 1))
+                        bend += (flat * (p * (1 - p)).T[:, None, :]) @ flat.transpose(0, 2, 1)
+                        near = (np.arange(BITS) * grid + (low + (way > 0.5))[mask]).reshape(-1)
+                        points[0] += np.bincount(near, minlength=BITS * grid)
+                        points[1] += np.bincount(near, weights=bit.reshape(-1), minlength=BITS * grid)
+        sums = np.concatenate([slope.reshape(-1), bend.reshape(-1), points.reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(sums)], ["k", "v"])
+
+    table = docs.select("text").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[table["k"].to_numpy()] = table["v"].to_numpy()
+    return out
+
+
+def _taught(docs: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """First weights and first map, from texts that the tables have not seen."""
+    n, grid = len(WEIGHTS), len(_GRID)
+    for _ in range(STEPS):
+        sums = _lessons(docs, tables)
+        slope, bend = sums[: BITS * n].reshape(BITS, n), sums[BITS * n : BITS * (n + n * n)].reshape(BITS, n, n)
+        weights = tables.first()[0].T.astype(np.float64)
+        pull = slope - PRIOR * (weights - np.array(WEIGHTS))
+        weights = weights + np.linalg.solve(bend + PRIOR * np.eye(n), pull[:, :, None])[:, :, 0]
+        # sums of floats depend on their order in the last digits
+        tables = replace(tables, weights=np.round(weights.T, 5))
+    points = _lessons(docs, tables)[BITS * (n + n * n) :].reshape(2, BITS, grid)
+    identity = 1 / (1 + np.exp(-_GRID.astype(np.float64)))
+    return tables.first()[0], (points[1] + MAP_STRENGTH * identity) / (points[0] + MAP_STRENGTH)
+
+
 def learn(docs: DataFrame, text_col: str = "text") -> tuple[Tables, DataFrame]:
     """Tables for the tasks, and the counts of all words (``h``, ``c``)."""
-    gathered = written(_gather(docs.select(F.col(text_col).alias("text"))), "gathered")
+    texts = docs.select(F.col(text_col).alias("text"))
+    # by content, so that copies are on one side
+    teaches = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0, F.lit(False))
+    others, teachers = texts.where(~teaches), texts.where(teaches)
+    parts = [_gather(part).withColumn("teaches", F.lit(flag)) for part, flag in ((others, False), (teachers, True))]
+    gathered = written(parts[0].unionByName(parts[1]), "gathered")
     counts = written(gathered.where("block = -1").groupBy("h").agg(F.sum("c").alias("c")), "counts")
-    logits, chances = logits_of(*_summed(gathered.where("block >= 0")))
+    cells = [np.stack(_summed(gathered.where("block >= 0").where(F.col("teaches") == flag))) for flag in (False, True)]
+    none = np.zeros(0, dtype=np.uint64)
+    weights, curve = _taught(teachers, Tables(*logits_of(*cells[0]), np.ones(NODES), none, none.view(np.int64), True, 0, 0))
+    logits, chances = logits_of(*(cells[0] + cells[1]))
     classes = counts.groupBy(F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()
     mass = np.ones(NODES)
     mass[classes["k"].to_numpy()] += classes["c"].to_numpy() + classes["v"].to_numpy()
@@ -282,7 +370,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Tables, DataFrame]:
     words = tier["h"].to_numpy().view(np.uint64)
     order = np.argsort(words, kind="stable")
     total, distinct = int(sum(classes["c"].to_pylist())), int(sum(classes["v"].to_pylist()))
-    return Tables(logits, chances, mass, words[order], tier["c"].to_numpy()[order], len(words) == distinct, total, distinct), counts
+    return Tables(logits, chances, mass, words[order], tier["c"].to_numpy()[order], len(words) == distinct, total, distinct, weights, curve), counts
 
 
 # --- scores -----------------------------------------------------------------------------------------------------
