@@ -291,6 +291,15 @@ def test_bpe(make, odd_rows):
     assert byte_bpe.encode(make([]), public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_white_space_between_texts():
+    entries = [bytes([k]) for k in range(256)] + [b"  ", b"ab", b"   "]
+    plain = tiktoken.Encoding("runs", pat_str=public_tokenizers.PATTERN, mergeable_ranks={e: k for k, e in enumerate(entries)}, special_tokens={})
+    texts = ["ab  ", "ab", "", " ", "\n ", "", "ab   ", "   ", " ab", "ab  "]
+    data, offs = W.texts(pa.array(texts))
+    ids, at = byte_bpe.Codec(entries, public_tokenizers.PATTERN).encode(data, offs)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain.encode_ordinary(t) for t in texts]
+
+
 # --- 9 decontamination
 
 

@@ -138,8 +138,8 @@ class Codec:
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[:-1] = data == 32
         cut[:-1][:-1] &= ~space[1:]
-        if len(data):
-            cut[len(data) - 1] = False
+        # the last byte of a text has no next one: what follows is another text
+        cut[offs[1:] - 1] = False
         high = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum(data >= 0x80, out=high[1:])
         for i in np.flatnonzero(high[offs[1:]] > high[offs[:-1]]):
