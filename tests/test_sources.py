@@ -10,7 +10,7 @@ from veilscan.operators import dedup
 from veilscan.operators import profile as prf
 from veilscan.plans.scan import scan_tree, tree_chunks, ScanOptions
 from veilscan.session import shared_dir
-from veilscan.sources import sinks
+from veilscan.sources import sinks, tables as tab
 from veilscan.sources.files import list_files
 from veilscan.sources.tables import parquet_schemas
 from veilscan.streaming.stream import scanned_so_far, start_scan, stream_files
@@ -158,6 +158,22 @@ def test_parquet_schemas(spark, tree):
     assert [(r["column_no"], r["column"]) for r in rows] == [(0, "Email"), (1, "ok")] * 10
 
 
+def test_schemas_of_long_headers_and_documents(spark):
+    names = [f"column_{k}_{'x' * 40}" for k in range(3000)]
+    document = '{"first": "' + "y" * 3_000_000 + '", "second": {"a": [1]}, "third": null}'
+    listed = '[{"inner": "' + "z" * 100_000 + '", "last": 1}, {"other": 2}]'
+    line = '{"one": "' + "w" * 100_000 + '", "two": 2}\n{"later": 1}\n'
+    rows = [("/a.csv", ";".join(names) + "\n1;2\n"), ("/b.json", document), ("/c.json", listed), ("/d.jsonl", line), ("/e.json", document[:-1])]
+    files = spark.createDataFrame([(p, len(t), bytearray(t.encode())) for p, t in rows], "path string, size long, content binary")
+    got = tab.csv_schemas(files).orderBy("column_no").collect()
+    assert [r.column for r in got] == names and {r.delimiter for r in got} == {";"}
+    keys = sorted((r.path, r.key_no, r.key) for r in tab.json_schemas(files).where("key_no IS NOT NULL").collect())
+    assert keys == [
+        ("/b.json", 0, "first"), ("/b.json", 1, "second"), ("/b.json", 2, "third"),
+        ("/c.json", 0, "inner"), ("/c.json", 1, "last"), ("/d.jsonl", 0, "one"), ("/d.jsonl", 1, "two"),
+    ]
+
+
 def test_html(spark):
     pages = {
         "<p>a</p><p>b &amp;lt; c</p>": "a b &lt; c",

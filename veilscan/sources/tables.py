@@ -252,22 +252,20 @@ def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int =
     return top.unionByName(body)
 
 
-# How many files of a format the profile looks into, and how much of each.
+# How many files of a format the profile looks into.
 CSV_FILES, JSON_FILES, PARQUET_FILES = 25, 15, 10
-HEAD_BYTES = 64 * 1024
 JSON_KEYS = 30
 
 
 def _largest(files: DataFrame, extensions: tuple[str, ...], n: int) -> DataFrame:
-    """The largest files of a format, with the start of their content as text."""
+    """The largest files of a format, with their whole content as text."""
     picked = files.filter(suffix(F.col("path")).isin(list(extensions))).orderBy(F.desc("size"), "path").limit(n)
-    head = F.make_valid_utf8(F.substring("content", F.lit(1), F.lit(HEAD_BYTES)).cast("string"))
-    return picked.select("path", "size", head.alias("head"))
+    return picked.select("path", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
 
 def csv_schemas(files: DataFrame, n: int = CSV_FILES) -> DataFrame:
     """Header columns of the largest delimited files, one row per column; the separator is that of the header."""
-    first = F.regexp_extract("head", r"\A([^\r\n]*)", 1)
+    first = F.regexp_extract("body", r"\A([^\r\n]*)", 1)
     count = {s: F.length(first) - F.length(F.replace(first, F.lit(s), F.lit(""))) for s in SEPARATORS}
     sep = F.when((count[";"] > count[","]) & (count[";"] >= count["\t"]), F.lit(";")).when(
         count["\t"] > count[","], F.lit("\t")
@@ -283,7 +281,7 @@ def csv_schemas(files: DataFrame, n: int = CSV_FILES) -> DataFrame:
 def json_schemas(files: DataFrame, n: int = JSON_FILES) -> DataFrame:
     """Top keys of the largest JSON files: of the object, the first object of a list, or the first line."""
     lined = suffix(F.col("path")) != ".json"
-    text = F.when(lined, F.substring_index("head", "\n", 1)).otherwise(F.col("head"))
+    text = F.when(lined, F.substring_index("body", "\n", 1)).otherwise(F.col("body"))
     heads = _largest(files, (".json", ".jsonl", ".ndjson"), n).select("path", "size", lined.alias("lined"), text.alias("text"))
     whole = F.json_object_keys("text")
     first = F.when(~F.col("lined"), F.json_object_keys(F.get_json_object("text", "$[0]")))
