@@ -44,10 +44,17 @@ def lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each text the number of the first word (one more at the end)."""
-    word = ~SPACE[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
+def spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each text the number of the first word (one more at the end).
+
+    ``space`` tells for each byte whether it stands between words.
+    """
+    return runs(~space[data], offs)
+
+
+def runs(word: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``spans``, of the maximal runs of True bytes within texts."""
+    edge = np.zeros(len(word) + 1, dtype=bool)
     edge[offs] = True
     first = word & edge[:-1]
     first[1:] |= word[1:] & ~word[:-1]
@@ -79,6 +86,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, each followed by ``gap`` zeros, and where each starts (one more at the end)."""
+    lengths = ends - starts
+    cuts = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(lengths + gap, out=cuts[1:])
+    out = np.zeros(int(cuts[-1]), dtype=np.uint8)
+    inside = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out[np.arange(len(inside)) + np.repeat(gap * np.arange(len(starts)), lengths)] = data[inside]
+    return out, cuts
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as an Arrow array of strings."""
+    out, cuts = packed(data, starts, ends)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(out))
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
     """Running polynomial sums: entry i covers the first i values."""
     out = np.zeros(len(values) + 1, dtype=np.uint64)
