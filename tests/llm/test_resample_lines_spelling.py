@@ -140,8 +140,9 @@ def test_line_filter_has_no_false_negatives(spark, line_rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAST_BITS", 1 << 16)
     docs = spark.createDataFrame(line_rows, "id long, text string").repartition(7)
     seen = line_dedup.twice_seen(docs.select("text"), 20)
-    found = {r.key for r in line_dedup.suspects(docs, seen, 20).collect()}
-    counts = Counter(k for _, t in line_rows for k in {ascii_lower(x.strip(SPACES)) for x in (t or "").split("\n")} if len(k) >= 20)
+    found = {bytes(r.key) for r in line_dedup.suspects(docs, seen, 20).collect()}
+    own = [{ascii_lower(x.strip(SPACES)) for x in (t or "").split("\n")} for _, t in line_rows]
+    counts = Counter(hashlib.blake2b(k.encode(), digest_size=16).digest() for some in own for k in some if len(k) >= 20)
     assert {k for k, n in counts.items() if n > 1} <= found
     assert len(found) < 0.5 * len(counts)
 

@@ -9,9 +9,9 @@ A line's key is the line without white space at both ends and with A-Z lowered.
 2. The filter of twice-seen bits goes to all tasks. Its size follows the bytes of the texts up to ``MOST_BITS`` (64 MB), which
    bounds what is broadcast. Beyond that it fills up and lets more lines through that are then found to be single: more rows are
    shuffled, up to one for each line, and the result stays exact.
-3. Keys that pass, as whole strings, are counted by key (partial sums first), which confirms repeats exactly and chooses the
-   document that keeps them. Documents then meet the keys they lose: keys that hold more than 1/4096 of those rows, fewer than
-   4096, by a broadcast of digests, so that a line in a third of all documents is no hot join key, all others by a shuffle.
+3. Keys that pass are counted by their cryptographic digests of 128 bits (partial sums first), which confirms repeats exactly and
+   chooses the document that keeps them. Documents then meet the keys they lose: keys that hold more than 1/4096 of those rows, fewer than
+   4096, by a broadcast, so that a line in a third of all documents is no hot join key, all others by a shuffle.
 4. Documents are joined with the hashes of the lines they lose and rewritten.
 
 Defined results: a null or empty text is one empty line; lines that repeat inside a document count once for it; each row counts as
@@ -25,14 +25,16 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+
+from xxhash import xxh3_64_intdigest
 
-from veilscan.llm import words as W
 from veilscan.llm.shared import written
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -40,56 +42,32 @@ MIN_CHARS, MIN_DOCS = 20, 3
 PROBES, BYTES_A_BIT, LEAST_BITS, MOST_BITS = 2, 16, 1 << 20, 1 << 29
 #: Bits of a segment, 128 KB.
 SEGMENT = 1 << 20
+#: Hashes that a task holds before it packs their bits.
+HELD = 1 << 20
 #: Keys that hold more than this part of the compared rows are joined by a broadcast; there are fewer of them than that.
 HOT_PART = 4096
 
 
-class Lines:
-    """Lines of a slice of texts: the owner, place, key and hash of each."""
-
-    def __init__(self, data: np.ndarray, offs: np.ndarray, min_chars: int):
-        # a text of n line ends has n + 1 lines, each from behind a line end (or the start) to the next
-        line_end = np.flatnonzero(data == 10)
-        n_texts = len(offs) - 1
-        ends_of = np.searchsorted(offs, line_end, "right") - 1
-        self.n_lines = np.bincount(ends_of, minlength=n_texts) + 1
-        self.firsts = np.zeros(n_texts + 1, dtype=np.int64)
-        np.cumsum(self.n_lines, out=self.firsts[1:])
-        total = int(self.firsts[-1])
-        self.owner = np.repeat(np.arange(n_texts), self.n_lines)
-        self.ends = np.empty(total, dtype=np.int64)
-        last = np.zeros(total, dtype=bool)
-        last[self.firsts[1:] - 1] = True
-        self.ends[~last], self.ends[last] = line_end, offs[1:]
-        self.starts = np.empty(total, dtype=np.int64)
-        head = np.zeros(total, dtype=bool)
-        head[self.firsts[:-1]] = True
-        self.starts[head] = offs[:-1]
-        self.starts[~head] = line_end + 1
-        # the key: from the first to the last byte that is no white space
-        solid = np.flatnonzero(~W.SPACE[data])
-        first, end = np.searchsorted(solid, self.starts), np.searchsorted(solid, self.ends)
-        some = end > first
-        self.key_starts, self.key_ends = self.starts.copy(), self.starts.copy()
-        self.key_starts[some], self.key_ends[some] = solid[first[some]], solid[end[some] - 1] + 1
-        points = np.zeros(len(data) + 1, dtype=np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-        self.long = np.flatnonzero(points[self.key_ends] - points[self.key_starts] >= min_chars)
-        self.lowered = W.lower(data)
-        sums = W.prefix(self.lowered.astype(np.uint64) + np.uint64(1))
-        self.hashes = W.span_hash(sums, self.key_starts[self.long], self.key_ends[self.long])
-
-    def distinct(self) -> np.ndarray:
-        """Places in ``long`` of one line for each key of each text."""
-        owner = self.owner[self.long]
-        order = np.lexsort((self.hashes, owner))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (self.hashes[order][1:] != self.hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        return order[new]
-
-    def keys(self, which: np.ndarray) -> pa.Array:
-        at = self.long[which]
-        return W.strings(self.lowered, self.key_starts[at], self.key_ends[at])
+WHITE = b" \t\n\v\f\r"
+#: Bytes that go on with a code point.
+_INNER = bytes(range(0x80, 0xC0))
+
+
+def is_long(key: bytes, min_chars: int) -> bool:
+    """Whether a key has ``min_chars`` code points; most are decided by their bytes alone."""
+    n = len(key)
+    return n >= min_chars and (n >= 4 * min_chars or len(key.translate(None, _INNER)) >= min_chars)
+
+
+def keys(text: bytes | None, min_chars: int) -> list[bytes | None]:
+    """The key of each line of a text, None for short ones; bytes are lowered and stripped as ASCII."""
+    found = (line.strip(WHITE).lower() for line in (text or b"").split(b"\n"))
+    return [k if is_long(k, min_chars) else None for k in found]
+
+
+def _as_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    for part in range(0, len(column), 256):
+        yield from column.slice(part, 256).cast(pa.binary()).to_pylist()
 
 
 def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -117,20 +95,25 @@ def seen_bits(texts: DataFrame, bits: int, min_chars: int) -> DataFrame:
     """Merged filters of all texts: ``segment`` and ``twice``, packed places of bits that two keys or more have set."""
     segment = min(bits, SEGMENT)
 
+    def packed(hashes: list[int]) -> Iterator[pa.RecordBatch]:
+        places = np.sort(probes(np.array(hashes, dtype=np.uint64), bits), axis=None)
+        new = np.ones(len(places), dtype=bool)
+        new[1:] = places[1:] != places[:-1]
+        for kind, found in ((False, places[new]), (True, np.unique(places[~new]))):
+            edge = np.searchsorted(found, np.arange(0, bits + 1, segment))
+            which = np.flatnonzero(np.diff(edge))
+            own = [pack(found[edge[k] : edge[k + 1]] - k * segment) for k in which]
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([kind] * len(which), pa.bool_()), pa.array(own, pa.binary())], ["segment", "twice", "places"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[int] = []
         for batch in batches:
-            for _, _, part, cuts in W.slices(*W.texts(batch.column(0)), most=1 << 24):
-                lines = Lines(part, cuts, min_chars)
-                places = np.sort(probes(lines.hashes[lines.distinct()], bits), axis=None)
-                new = np.ones(len(places), dtype=bool)
-                new[1:] = places[1:] != places[:-1]
-                again = np.unique(places[~new])
-                once = places[new]
-                for kind, found in ((False, once), (True, again)):
-                    edge = np.searchsorted(found, np.arange(0, bits + 1, segment))
-                    which = np.flatnonzero(np.diff(edge))
-                    packed = [pack(found[edge[k] : edge[k + 1]] - k * segment) for k in which]
-                    yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([kind] * len(which), pa.bool_()), pa.array(packed, pa.binary())], ["segment", "twice", "places"])
+            for text in _as_bytes(batch.column(0)):
+                hashes += map(xxh3_64_intdigest, {k for k in keys(text, min_chars) if k is not None})
+                if len(hashes) >= HELD:
+                    yield from packed(hashes)
+                    hashes = []
+        yield from packed(hashes)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
@@ -170,44 +153,42 @@ def twice_seen(texts: DataFrame, min_chars: int) -> np.ndarray:
 
 def suspects(source: DataFrame, seen: np.ndarray, min_chars: int) -> DataFrame:
     """``id``, ``h`` and ``key`` of the distinct keys of each row that the filter holds."""
-    spark = source.sparkSession
-    shared = spark.sparkContext.broadcast(zlib.compress(seen.tobytes(), 1))
+    shared = source.sparkSession.sparkContext.broadcast(zlib.compress(seen.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8)
         for batch in batches:
-            ids = batch.column(0)
-            for first, end, part, cuts in W.slices(*W.texts(batch.column(1)), most=1 << 22):
-                lines = Lines(part, cuts, min_chars)
-                one = lines.distinct()
-                places = probes(lines.hashes[one], 8 * len(bitmap))
-                one = one[((bitmap[places >> 3] >> (places & 7)) & 1).all(axis=1)]
-                own = lines.owner[lines.long[one]]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first).take(pa.array(own)), pa.array(lines.hashes[one].view(np.int64)), lines.keys(one).cast(pa.string())], ["id", "h", "key"]
-                )
-
-    return source.mapInArrow(run, StructType([source.schema["id"], StructField("h", LongType()), StructField("key", StringType())]))
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                owner, own = [], []
+                for k, text in enumerate(_as_bytes(part.column(1))):
+                    some = {x for x in keys(text, min_chars) if x is not None}
+                    owner += [k] * len(some)
+                    own += some
+                hashes = np.array([xxh3_64_intdigest(x) for x in own], dtype=np.uint64)
+                places = probes(hashes, 8 * len(bitmap))
+                again = np.flatnonzero(((bitmap[places >> 3] >> (places & 7)) & 1).all(axis=1))
+                digests = pa.array([blake2b(own[i], digest_size=16).digest() for i in again], pa.binary())
+                ids = part.column(0).take(pa.array(np.array(owner, dtype=np.int64)[again]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes[again].view(np.int64)), digests], ["id", "h", "key"])
+
+    return source.mapInArrow(run, StructType([source.schema["id"], StructField("h", LongType()), StructField("key", BinaryType())]))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The lines that documents lose: ``id`` and ``lost``, the 64-bit hashes of their keys one after another."""
+    """The lines that documents lose: ``id`` and ``lost``, the 64-bit hashes of their keys."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = twice_seen(source.select("text"), min_chars)
     found = written(suspects(source, seen, min_chars), "line-suspects")
-    # exact: whole keys are compared; a key's digest stands for it from here on
-    digest = F.unhex(F.md5("key"))
     confirmed = written(
-        found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select(digest.alias("key"), "n", "keeper"),
-        "line-repeats",
+        found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs), "line-repeats"
     )
     often = max(1, confirmed.agg(F.sum("n")).first()[0] or 0) / HOT_PART
-    held = found.select("id", "h", digest.alias("key"))
-    both = held.join(F.broadcast(confirmed.where(F.col("n") > often).withColumnRenamed("keeper", "hot_keeper").withColumnRenamed("n", "hot_n")), "key", "left")
+    both = found.join(F.broadcast(confirmed.where(F.col("n") > often).withColumnRenamed("keeper", "hot_keeper").withColumnRenamed("n", "hot_n")), "key", "left")
     hot = both.where("hot_n is not null").select("id", "h", F.col("hot_keeper").alias("keeper"))
     rest = both.where("hot_n is null").select("id", "h", "key").join(confirmed.where(F.col("n") <= often), "key").select("id", "h", "keeper")
     lost = hot.unionByName(rest).where("keeper is not null and not (id <=> keeper)")
-    return lost.groupBy("id").agg(F.array_join(F.collect_set(F.hex("h")), ",").alias("lost"))
+    return lost.groupBy("id").agg(F.collect_set("h").alias("lost"))
 
 
 def without_repeats(
@@ -229,11 +210,10 @@ def without_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, lists = batch.column(text_at), batch.column(len(names))
-            for first, end, part, cuts in W.slices(*W.texts(column), most=1 << 22):
-                texts, n_lines, n_dropped = _cut(part, cuts, lists.slice(first, end - first), min_chars)
-                texts = pa.array(texts, pa.string(), mask=column.slice(first, end - first).is_null().to_numpy(zero_copy_only=False))
-                columns = [texts if i == text_at else batch.column(i).slice(first, end - first) for i in range(len(names))]
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                texts, n_lines, n_dropped = _cut(part.column(text_at), part.column(len(names)), min_chars)
+                columns = [texts if i == text_at else part.column(i) for i in range(len(names))]
                 if counts:
                     columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
@@ -241,27 +221,24 @@ def without_repeats(
     return joined.mapInArrow(run, StructType(fields))
 
 
-def _cut(data: np.ndarray, offs: np.ndarray, lists: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cut(column: pa.Array, lost: pa.Array, min_chars: int) -> tuple[pa.Array, list[int], list[int]]:
     """Texts without the lines whose key's hash is listed for them, lines before, lines dropped."""
-    lines = Lines(data, offs, min_chars)
-    drop = np.zeros(len(lines.owner), dtype=bool)
-    owner = lines.owner[lines.long]
-    edge = np.searchsorted(owner, np.arange(len(offs)))
-    for k, raw in enumerate(lists.to_pylist()):
-        if raw:
-            gone = np.array([int(x, 16) for x in raw.split(",")], dtype=np.uint64)
-            own = slice(edge[k], edge[k + 1])
-            drop[lines.long[own]] = np.isin(lines.hashes[own], gone)
-    raw = data.tobytes()
-    n_dropped = np.add.reduceat(drop, lines.firsts[:-1]) if len(drop) else np.zeros(0, np.int64)
-    out = np.empty(len(offs) - 1, dtype=object)
-    for k in range(len(offs) - 1):
-        if not n_dropped[k]:
-            out[k] = raw[offs[k] : offs[k + 1]]
-        else:
-            at = np.flatnonzero(~drop[lines.firsts[k] : lines.firsts[k + 1]]) + lines.firsts[k]
-            out[k] = b"\n".join(raw[lines.starts[i] : lines.ends[i]] for i in at)
-    return out, lines.n_lines, n_dropped.astype(np.int64)
+    texts, n_lines, n_dropped = [], [], []
+    for text, gone in zip(_as_bytes(column), lost.to_pylist(), strict=True):
+        lines = (text or b"").split(b"\n")
+        n_lines.append(len(lines))
+        if gone:
+            some = set(gone)
+            own = keys(text, min_chars)
+            lines = [line for line, k in zip(lines, own, strict=True) if k is None or _signed(xxh3_64_intdigest(k)) not in some]
+            text = b"\n".join(lines)
+        texts.append(text)
+        n_dropped.append(n_lines[-1] - len(lines))
+    return pa.array(texts, pa.binary()).cast(pa.string()), n_lines, n_dropped
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
