@@ -34,8 +34,8 @@ from veilscan.llm.shared import written
 MIN_CHARS, MIN_COUNT, RATIO, PLANTED = 6, 5, 5, 199
 #: Words of a block, and cells of the largest three-dimensional array that is compared at once.
 BLOCK, CELLS = 1024, 1 << 21
-#: Words of a block of small groups.
-SMALL = 96
+#: Words of a block of small groups, and words for each comparing task.
+SMALL, TASK_WORDS = 96, 20_000
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +228,9 @@ def tiles(words: DataFrame) -> DataFrame:
 
 def near_words(words: DataFrame) -> DataFrame:
     """``word``, ``near``, ``near_n``: every word with each word that is one edit away; ``words`` has ``word`` and ``n``, each word once."""
-    dealt = tiles(words).repartition("tile").sortWithinPartitions("short", "tile", "side")
+    # comparing costs far more than moving, so the number of tasks follows the words and is not coalesced
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, words.count() // TASK_WORDS)
+    dealt = tiles(words).repartition(tasks, "tile").sortWithinPartitions("short", "tile", "side")
     return dealt.mapInArrow(compare, "word string, near string, near_n long")
 
 
