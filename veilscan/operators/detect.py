@@ -18,6 +18,8 @@ from veilscan.schema import CATEGORIES, SPANS
 MARKER = "[[PII_DIRECT:"
 CONTEXT_WINDOW = 60
 MIN_CONFIDENCE = 0.6
+# Columns of rows that are windows of a larger text; null where a row is a whole text.
+OWN_FROM, OWN_TO, FILE_MARKED, FILE_RESIDUES = "own_from", "own_to", "file_marked", "file_residues"
 
 # What a text must hold before any detector of the family can hit. Each test is a necessary
 # condition: three digits close together, a Cyrillic letter, or both.
@@ -155,10 +157,12 @@ def _inn(text: Column, hits: Column) -> Column:
     return F.transform(hits, candidate)
 
 
-def _bank_account(text: Column, hits: Column, nine_digits: Column) -> Column:
+def _bank_account(text: Column, hits: Column, nine_digits: Column, known: Column | None = None) -> Column:
     # a BIK takes part by its residue only, so ten values stand for any number of them
     biks = F.filter(nine_digits, lambda s: check.bik_check(s["value"]))
     residues = F.array_distinct(F.transform(biks, lambda s: check.bik_residue(s["value"])))
+    if known is not None:
+        residues = F.array_union(residues, F.coalesce(known, F.array().cast("array<int>")))
 
     def candidates(known: Column) -> Column:
         def candidate(s: Column) -> Column:
@@ -366,11 +370,14 @@ def _all(tests: Sequence[Column]) -> Column:
 
 
 @lru_cache(maxsize=64)
-def _stages(text: str, radius: int, names: tuple[str, ...]) -> _Stages:
+def _stages(text: str, radius: int, names: tuple[str, ...], windows: bool = False) -> _Stages:
     """Build the expressions once and use them again: they have thousands of nodes, each a round trip."""
     column = F.col(text)
     used = [BY_NAME[n] for n in names]
     gates = {g: _GATES[g](column) for g in _GATES if g == "marked" or any(g in d.gates for d in used)}
+    if windows:
+        # a mark anywhere in the file counts for all its windows
+        gates["marked"] = gates["marked"] | F.coalesce(F.col(FILE_MARKED), F.lit(False))
 
     def basic(d: Detector) -> list[Column]:
         return ([] if d.tables else [~F.col("_gate_marked")]) + [F.col(f"_gate_{g}") for g in d.gates]
@@ -405,10 +412,14 @@ def _stages(text: str, radius: int, names: tuple[str, ...]) -> _Stages:
 
     none = F.array().cast(_CANDIDATES)
     order = {p: i for i, p in enumerate(wanted)}
-    parts = [
-        F.when(allowed(d), d.rule(column, *[F.get(F.col("_hits"), F.lit(order[p])) for p in d.patterns]).cast(_CANDIDATES))
-        for d in used
-    ]
+
+    def candidates(d: Detector) -> Column:
+        hits_of = [F.get(F.col("_hits"), F.lit(order[p])) for p in d.patterns]
+        if windows and d.name == "bank_account":
+            return _bank_account(column, *hits_of, known=F.col(FILE_RESIDUES))
+        return d.rule(column, *hits_of)
+
+    parts = [F.when(allowed(d), candidates(d).cast(_CANDIDATES)) for d in used]
     found = _finished(F.concat(*[F.coalesce(p, none) for p in parts]), radius)
     return _Stages(gates, lowered, odd_case, words, hits, found, first_of_equal(F.col("_found")))
 
@@ -422,10 +433,12 @@ def with_spans(
 ) -> DataFrame:
     """Add ``spans``: every candidate of every detector, boosted and resolved, before the cut.
 
-    All detectors share one narrow pass over the scan. ``detectors`` picks some by name.
+    All detectors share one narrow pass over the scan. ``detectors`` picks some by name. Rows that are windows of a
+    larger text (see ``sources.windows``) keep the spans that start in the part they own; offsets count from the window's beginning.
     """
     names = tuple(BY_NAME) if detectors is None else tuple(detectors)
-    s = _stages(text, context_window, names)
+    windows = {OWN_FROM, OWN_TO, FILE_MARKED, FILE_RESIDUES} <= set(df.columns)
+    s = _stages(text, context_window, names, windows)
     # one step per stage: Catalyst keeps them apart because later ones use a column more than once
     out = df.select("*", *[test.alias(f"_gate_{g}") for g, test in s.gates.items()])
     if s.words:
@@ -433,7 +446,12 @@ def with_spans(
         out = out.select("*", s.lowered.alias("_lowered"), s.odd_case.alias("_odd_case"))
         out = out.select(*kept, *[test.alias(f"_word_{n}") for n, test in s.words.items()])
     out = out.select("*", s.hits.alias("_hits")).select(*df.columns, s.found.alias("_found"))
-    return out.select(*df.columns, s.resolved.alias("spans"))
+    spans = s.resolved
+    if windows:
+        owned = F.filter(F.col("spans"), lambda x: (x["start"] >= F.col(OWN_FROM)) & (x["start"] < F.col(OWN_TO)))
+        whole = out.select(*df.columns, spans.alias("spans"))
+        return whole.withColumn("spans", F.when(F.col(OWN_FROM).isNull(), F.col("spans")).otherwise(owned))
+    return out.select(*df.columns, spans.alias("spans"))
 
 
 def detect(

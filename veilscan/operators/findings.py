@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from veilscan.functions.masking import mask_value, sha256_hex
 from veilscan.functions.regex import strip
 from veilscan.functions.text import rows_from_locator
-from veilscan.operators.detect import CONTEXT_WINDOW, MIN_CONFIDENCE, explode_spans, with_spans
+from veilscan.operators.detect import (
+    CONTEXT_WINDOW,
+    FILE_MARKED,
+    FILE_RESIDUES,
+    MIN_CONFIDENCE,
+    OWN_FROM,
+    OWN_TO,
+    explode_spans,
+    with_spans,
+)
 
 def first_seen(chunk_no: Column, span_no: Column) -> Column:
     """Order of appearance as one number.
@@ -40,19 +49,24 @@ def scan_chunks(
     """One row per file, category and distinct value, plus rows without a category.
 
     ``chunks`` holds path, chunk_no, text, locator and, if a source reports them, error; a row with an error
-    has no text of its own. The sizes of
+    has no text of its own. Windows of larger texts count for the part they own. The sizes of
     all chunks ride along, so a single pass and a single shuffle serve findings and reports. Equal
     values are combined before the shuffle, so a file with very many findings does not make one task hot.
     ``extra_spans`` adds spans of the same chunks that another detector found (see ``entities``).
     """
     error = F.col("error") if "error" in chunks.columns else F.lit(None).cast("string")
+    own = [c for c in (OWN_FROM, OWN_TO, FILE_MARKED, FILE_RESIDUES) if c in chunks.columns]
+    length = F.length("text")
+    if own:
+        length = F.coalesce(F.col(OWN_TO) - F.col(OWN_FROM), length)
     measured = chunks.select(
         "path",
         "chunk_no",
         "text",
         error.alias("error"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("text_length"),
+        F.coalesce(length, F.lit(0)).cast("bigint").alias("text_length"),
         rows_from_locator(F.col("locator")).alias("rows_processed"),
+        *own,
     )
     found = with_spans(measured, context_window=context_window)
     kept = ["path", "chunk_no", "error", "text_length", "rows_processed"]

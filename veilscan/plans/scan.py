@@ -12,7 +12,8 @@ from veilscan.operators.dedup import content_hash, keep_first
 from veilscan.operators.findings import findings, scan_chunks
 from veilscan.operators.reports import file_reports
 from veilscan.session import shared_dir
-from veilscan.sources.documents import html_chunks, large_text_chunks, text_chunks
+from veilscan.sources.delimited import large_csv_chunks
+from veilscan.sources.documents import html_chunks, text_chunks
 from veilscan.sources.files import (
     WHOLE_FILE_BYTES,
     Decoder,
@@ -23,7 +24,8 @@ from veilscan.sources.files import (
     with_actual_kind,
 )
 from veilscan.sources.json import LINE_EXTENSIONS, json_chunks, json_line_chunks
-from veilscan.sources.tables import csv_chunks, large_csv_chunks, parquet_chunks
+from veilscan.sources.tables import csv_chunks, parquet_chunks
+from veilscan.sources.windows import text_windows
 
 # Kinds that this package reads itself; others need a decoder of the caller.
 READ_KINDS = ("text", "csv", "html", "json", "parquet")
@@ -87,7 +89,7 @@ def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFra
     csv_glob = file_name_glob(extensions_of("csv"))
     parts = [
         text_chunks(files_of("text"), limit),
-        large_text_chunks(spark, root, text_glob, limit),
+        text_windows(spark, root, text_glob, limit),
         # documents of other kinds may be web pages in truth
         html_chunks(files_of("html", *SNIFFED_KINDS)),
         csv_chunks(files_of("csv"), limit),
@@ -100,10 +102,10 @@ def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFra
         parts.append(parquet_chunks(spark, root, **reader))
     chunks = parts[0]
     for part in parts[1:]:
-        chunks = chunks.unionByName(part)
+        chunks = chunks.unionByName(part, allowMissingColumns=True)
     chunks = chunks.withColumn("error", F.lit(None).cast("string"))
     if options.decoders:
-        chunks = chunks.unionByName(decoded_chunks(files_of(*options.decoders), options.decoders))
+        chunks = chunks.unionByName(decoded_chunks(files_of(*options.decoders), options.decoders), allowMissingColumns=True)
     return chunks
 
 

@@ -13,11 +13,15 @@ _AS_LATIN = _HIGH_BYTES.decode("latin-1")
 _AS_CYRILLIC = _HIGH_BYTES.decode("cp1251", errors="replace")
 
 
+def decode_as(content: Column, utf8: Column) -> Column:
+    """Bytes as UTF-8 where ``utf8`` holds, else as the Cyrillic Windows code page."""
+    cyrillic = F.translate(F.decode(content, "ISO-8859-1"), _AS_LATIN, _AS_CYRILLIC)
+    return F.when(utf8, content.cast("string")).otherwise(cyrillic)
+
+
 def decode_text(content: Column) -> Column:
     """Bytes as UTF-8 where that is valid, else as the Cyrillic Windows code page."""
-    as_utf8 = content.cast("string")
-    cyrillic = F.translate(F.decode(content, "ISO-8859-1"), _AS_LATIN, _AS_CYRILLIC)
-    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(cyrillic)
+    return decode_as(content, F.is_valid_utf8(content.cast("string")))
 
 
 def whole_file_chunks(files: DataFrame, text: Column, locator: str) -> DataFrame:
@@ -37,20 +41,23 @@ def line_number() -> Column:
     return F.col("_metadata.file_block_start") + in_task
 
 
-def lines(spark: SparkSession, root: str, glob: str, above: int = -1) -> DataFrame:
+def lines(spark: SparkSession, root: str, glob: str, above: int = -1, line_end: str | None = None) -> DataFrame:
     """Lines of all files that match a glob and are larger than ``above``, in splits.
 
-    The size is tested before lines are numbered, so Spark leaves smaller files out of the scan.
+    The size is tested before lines are numbered, so Spark leaves smaller files out of the scan. With a ``line_end`` lines
+    end there alone, so that they give back every byte of the file; else at CR, LF or both.
     """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if line_end is not None:
+        reader = reader.option("lineSep", line_end)
     return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(root)
+        reader.text(root)
         .filter(F.col("_metadata.file_size") > above)
         .select(
             file_path().alias("path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             line_number().alias("line_no"),
+            F.col("_metadata.file_size").alias("size"),
             "value",
         )
     )
@@ -62,20 +69,6 @@ def text_chunks(files: DataFrame, max_bytes: int = WHOLE_FILE_BYTES) -> DataFram
     return whole_file_chunks(wanted, decode_text(F.col("content")), "full")
 
 
-def large_text_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Plain text files that are too large to hold in one value, one chunk per line."""
-    return (
-        lines(spark, root, glob, min_bytes)
-        .filter(F.col("value") != "")
-        .select(
-            "path",
-            F.col("line_no").alias("chunk_no"),
-            decode_text(F.col("value").cast("binary")).alias("text"),
-            F.lit("line").alias("locator"),
-        )
-    )
-
-
 def html_chunks(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Visible text of web pages; ``max_chars`` reads only their beginning."""
     page = decode_text(F.col("content"))

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from veilscan.functions import patterns
 from veilscan.functions.files import suffix
 from veilscan.functions.regex import first_rule
-from veilscan.sources.documents import lines
 from veilscan.sources.files import WHOLE_FILE_BYTES, file_path
 
 # Rows per chunk, size of the separator sample, rows of a Parquet sample.
@@ -194,64 +193,6 @@ def _row_batches(rendered: DataFrame, max_chunks: int | None) -> DataFrame:
     )
 
 
-def large_csv_heads(rows: DataFrame) -> DataFrame:
-    """Header and separator of files read in splits, from the lines that cover the first 8192 bytes."""
-    order = W.partitionBy("path").orderBy("line_no")
-    # a sample holds at most 8193 lines; the rank limit is applied before the shuffle as well
-    first = (
-        rows.filter((F.col("block_start") == 0))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= SAMPLE_BYTES + 1)
-        .withColumn("before", F.sum(F.octet_length("value") + 1).over(order) - F.octet_length("value") - 1)
-        .filter(F.col("before") < SAMPLE_BYTES)
-    )
-    seen = F.substring(F.col("value"), F.lit(1), (F.lit(SAMPLE_BYTES) - F.col("before")).cast("int"))
-    count = {s: F.sum(F.length(seen) - F.length(F.replace(seen, F.lit(s), F.lit("")))) for s in (";", ",")}
-    heads = first.groupBy("path").agg(
-        F.min_by("value", "line_no").alias("header"),
-        F.min("line_no").alias("header_no"),
-        count[";"].alias("semicolons"),
-        count[","].alias("commas"),
-    )
-    sep = (
-        F.when(suffix(F.col("path")) == ".tsv", F.lit("\t"))
-        .when(F.col("semicolons") > F.col("commas"), F.lit(";"))
-        .otherwise(F.lit(","))
-    )
-    header = F.regexp_replace("header", r"\A\x{FEFF}", "").alias("header")
-    named = heads.select("path", header, "header_no", sep.alias("sep")).withColumn(
-        "names", fields(F.regexp_replace("header", r"\r\z", ""), F.col("sep"))
-    )
-    return named.withColumn("categories", F.transform("names", column_category))
-
-
-def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Delimited files too large to hold in one value, read in splits, one chunk per row.
-
-    Quoted fields may not hold line ends here. The heads are one row per large file; Spark broadcasts them
-    when they are small and splits the large files of a shuffled join otherwise.
-    """
-    rows = lines(spark, root, glob, min_bytes)
-    heads = large_csv_heads(rows)
-    cells = fields(F.regexp_replace("value", r"\r\z", ""), F.col("sep"))
-    body = (
-        rows.filter(F.col("value") != "")
-        .join(heads, "path")
-        .filter(F.col("line_no") > F.col("header_no"))
-        .select(
-            "path",
-            F.col("line_no").alias("chunk_no"),
-            rendered_record(F.col("names"), F.col("categories"), cells).alias("text"),
-            F.lit("row:rows=1").alias("locator"),
-        )
-        .filter(F.col("text").isNotNull())
-    )
-    top = heads.select(
-        "path", F.col("header_no").alias("chunk_no"), F.array_join("names", " ").alias("text"), F.lit("header").alias("locator")
-    )
-    return top.unionByName(body)
-
-
 # How many files of a format the profile looks into.
 CSV_FILES, JSON_FILES, PARQUET_FILES = 25, 15, 10
 JSON_KEYS = 30
