@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilscan.functions.html import html_text
 from veilscan.operators import dedup
 from veilscan.operators import profile as prf
+from veilscan.plans import scan
 from veilscan.plans.scan import scan_tree, tree_chunks, ScanOptions
 from veilscan.session import shared_dir
 from veilscan.sources import sinks, tables as tab
@@ -64,7 +65,7 @@ def _pdf_decoder():
 
 @pytest.mark.parametrize("limit", [64 * 1024 * 1024, 10])
 def test_chunks_of_all_formats(spark, tree, limit):
-    """With a low limit the same files go through the splittable readers."""
+    """With a low limit the same files go through the splittable readers, with the same result."""
     options = ScanOptions(whole_file_bytes=limit, decoders={"pdf": _pdf_decoder()} if limit > 10 else {})
     rows = tree_chunks(spark, tree, options).collect()
     texts = {}
@@ -75,18 +76,16 @@ def test_chunks_of_all_formats(spark, tree, limit):
     tabs = ["phone note", "[[PII_DIRECT:phone:89102456318]]; note=ok"]
     assert texts["l.jsonl"] == ["e=l1@w.ru", "e=l2@w.ru"]
     assert texts["t.parquet"] == ["Email ok", "Email=p@q.ru; ok=True", "ok=False"]
+    assert texts["sub dir+x/t.csv"] == ["\n".join(table)] and texts["sub dir+x/t.tsv"] == ["\n".join(tabs)]
+    assert texts["bom.csv"] == ["email n\n[[PII_DIRECT:email:b@m.ru]]; n=1"]
+    assert texts["one.csv"] == ["ivan.petrov@mail.ru +7 910 123-45-67"]
+    assert texts["old.txt"] == ["Диагноз: здоров"]
     if limit > 10:
-        assert texts["sub dir+x/t.csv"] == ["\n".join(table)] and texts["sub dir+x/t.tsv"] == ["\n".join(tabs)]
-        assert texts["bom.csv"] == ["email n\n[[PII_DIRECT:email:b@m.ru]]; n=1"]
-        assert texts["one.csv"] == ["ivan.petrov@mail.ru +7 910 123-45-67"]
-        assert texts["old.txt"] == ["Диагноз: здоров"]
         assert texts["page.pdf"] == ["тел. +7 910 245-63-18"]
         assert texts["d.json"] == ["a.b[0]=1\na.b[3]=True\nmail=q@w.ru"]
         assert texts["bad.json"] == ['{"mail": q@w.ru']
         assert texts["real.pdf"] == ["mail in@pdf.ru", None]
         assert [r["error"] for r in rows if r["path"].endswith("real.pdf") and r["error"]] == ["extract_error: bad page"]
-    else:
-        assert texts["sub dir+x/t.csv"] == table and texts["sub dir+x/t.tsv"] == tabs
 
 
 def test_scan_and_sinks(spark, tree, tmp_path):
@@ -124,6 +123,22 @@ def test_large_and_ignored_files(spark, tree):
     assert found.filter(F.col("path").contains("lost+found")).count() == 0
 
 
+def test_findings_do_not_depend_on_the_limit(spark, tree, monkeypatch):
+    """Copies go and the same is found when nothing is read whole; also when copies are too many to be broadcast."""
+
+    def found(limit):
+        rows, reports = scan_tree(spark, tree, shared_dir(spark), whole_file_bytes=limit)
+        kinds = {r.path: r.kind for r in reports.collect()}
+        got = sorted(tuple(r) for r in rows.collect() if kinds[r.path] in ("text", "csv", "parquet"))
+        return got, sorted(p for p, k in kinds.items() if k in ("text", "csv", "parquet"))
+
+    whole = found(64 * 1024 * 1024)
+    assert found(0) == whole and len(whole[0]) > 8
+    assert not any(p.endswith("copy.txt") for p in whole[1])
+    monkeypatch.setattr(scan, "BROADCAST_COPIES", 0)
+    assert found(0) == whole
+
+
 def test_stream_takes_old_files(spark, tmp_path):
     import os
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.files import SNIFFED_KINDS, extensions_of
-from veilscan.operators.dedup import content_hash, keep_first
+from veilscan.operators.dedup import content_hash, duplicate_map, keep_first
 from veilscan.operators.findings import findings, scan_chunks
 from veilscan.operators.reports import file_reports
 from veilscan.session import shared_dir
@@ -21,12 +21,17 @@ from veilscan.sources.files import (
     decoded_chunks,
     describe,
     file_name_glob,
+    not_ignored,
+    relative_path,
     with_actual_kind,
 )
+from veilscan.sources.hashes import large_hashes
 from veilscan.sources.json import LINE_EXTENSIONS, json_chunks, json_line_chunks
 from veilscan.sources.tables import csv_chunks, parquet_chunks
 from veilscan.sources.windows import text_windows
 
+# Copies whose paths are broadcast, about 100 bytes each.
+BROADCAST_COPIES = 100_000
 # Kinds that this package reads itself; others need a decoder of the caller.
 READ_KINDS = ("text", "csv", "html", "json", "parquet")
 NO_READER, TOO_LARGE, COMPRESSED = "no_reader_for_format", "too_large_to_read_whole", "compressed_file"
@@ -63,15 +68,16 @@ def _unread(options: ScanOptions) -> Column:
 def manifest(spark: SparkSession, root: str, out: str, options: ScanOptions) -> DataFrame:
     """All files with their facts, actual kind, content hash and the reason why one is not read, written to ``out``.
 
-    The content of every file up to ``whole_file_bytes`` is read once, for its hash and its kind; larger ones are
-    only listed, and what is not selected by size never reaches the reader.
+    The content of every file up to ``whole_file_bytes`` is read once, for its hash and its kind. Of the larger ones those that
+    share their size with another are read in splits for a hash; the others can have no copies.
     """
     limit = options.whole_file_bytes
     small = with_actual_kind(describe(binary_files(spark, root).filter(F.col("size") <= limit), root))
     hashed = small.withColumn("content_hash", content_hash(F.col("content"))).drop("content")
     large = describe(binary_files(spark, root).drop("content").filter(F.col("size") > limit), root)
-    # files too large to hold in one value are not hashed and so all stay
-    files = hashed.unionByName(large.withColumn("content_hash", F.lit(None).cast("string")))
+    hashes = large_hashes(spark, root, large, limit) if options.drop_duplicates else None
+    large = large.join(hashes, "path", "left") if hashes is not None else large.withColumn("content_hash", F.lit(None).cast("string"))
+    files = hashed.unionByName(large)
     files.withColumn("error", _unread(options)).write.mode("overwrite").parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
@@ -125,15 +131,22 @@ def scan_tree(spark: SparkSession, root: str, out: str | None = None, **settings
     out = out or shared_dir(spark)
     listed = manifest(spark, root, out, options)
     files = keep_first(listed) if options.drop_duplicates else listed
-    # also leaves out what readers find below ignored names
-    chunks = tree_chunks(spark, root, options).join(files.select("path"), "path", "left_semi")
-    scan_chunks(
+    chunks = tree_chunks(spark, root, options).filter(not_ignored(relative_path(F.col("path"), root)))
+    copies = duplicate_map(listed).select("path") if options.drop_duplicates else None
+    few = copies is not None and copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    if few:
+        chunks = chunks.join(F.broadcast(copies), "path", "left_anti")
+    spans = scan_chunks(
         chunks,
         min_confidence=options.min_confidence,
         context_window=options.context_window,
         masking=options.masking,
         store_value_hash=options.store_value_hash,
-    ).write.mode("overwrite").parquet(f"{out}/scanned")
+    )
+    if copies is not None and not few:
+        # texts never meet by path: beyond that many copies they are searched, and their few spans are left out
+        spans = spans.join(copies, "path", "left_anti")
+    spans.write.mode("overwrite").parquet(f"{out}/scanned")
     files.select("path", "size", "mtime", "ext", "mime", "kind", "error").write.mode("overwrite").parquet(f"{out}/files")
     scanned = spark.read.parquet(f"{out}/scanned")
     listed = spark.read.parquet(f"{out}/files")
