@@ -13,7 +13,7 @@ from veilscan.plans.scan import scan_tree, tree_chunks, ScanOptions
 from veilscan.session import shared_dir
 from veilscan.sources import sinks, tables as tab
 from veilscan.sources.files import list_files
-from veilscan.sources.tables import parquet_schemas
+from veilscan.sources.parquet import mixed_parquet_chunks, parquet_footers, parquet_schemas
 from veilscan.streaming.stream import scanned_so_far, start_scan, stream_files
 from veilscan.operators.findings import findings
 
@@ -168,9 +168,30 @@ def test_stream_equals_batch(spark, tree):
     assert sorted((r["category"], r["occurrences"]) for r in streamed) == [("email", 1), ("fio", 1)]
 
 
-def test_parquet_schemas(spark, tree):
-    rows = parquet_schemas(spark, [f"{tree}/t.parquet"] * 12).collect()
-    assert [(r["column_no"], r["column"]) for r in rows] == [(0, "Email"), (1, "ok")] * 10
+@pytest.mark.parametrize("limit", [64 * 1024 * 1024, 0])
+def test_parquet_files_of_different_schemas(spark, tmp_path, limit):
+    tables = {
+        "a": pa.table({"Id": [1, 2], "mail": ["a@b.ru", None]}),
+        "b [1]": pa.table({"Id": ["x"], "extra": [True]}),
+        "c": pa.table({"Id": [3], "mail": ["c@d.ru"]}),
+        "d": pa.table({"Id": [3], "id": ["twice"]}),
+    }
+    for name, table in tables.items():
+        pq.write_table(table, tmp_path / f"{name}.parquet")
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 nothing PAR1")
+    footers = parquet_footers(spark, str(tmp_path), limit)
+    rows = mixed_parquet_chunks(spark, footers).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.chunk_no):
+        got.setdefault(r.path.rsplit("/", 1)[-1].removesuffix(".parquet"), []).append(r.text or r.error.split(":")[0])
+    assert got.pop("broken") == got.pop("d") == ["unhandled"]
+    assert got == {"a": ["Id mail", "Id=1; mail=a@b.ru", "Id=2"], "b [1]": ["Id extra", "Id=x; extra=True"], "c": ["Id mail", "Id=3; mail=c@d.ru"]}
+    columns = [(r.column_no, r.column) for r in parquet_schemas(footers, 2).orderBy("path", "column_no").collect()]
+    assert columns == [(0, "Id"), (1, "mail"), (0, "Id"), (1, "extra")]
+    found, reports = scan_tree(spark, str(tmp_path), shared_dir(spark), whole_file_bytes=limit)
+    errors = {r.path.rsplit("/", 1)[-1]: (r.error or "").split(":")[0] for r in reports.collect()}
+    assert errors["broken.parquet"] == errors["d.parquet"] == "unhandled" and errors["a.parquet"] == ""
+    assert found.count() == 2
 
 
 def test_schemas_of_long_headers_and_documents(spark):

@@ -31,6 +31,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, Query]:
     """All registered queries."""
-    from veilscan.catalog import detection, profile, reports, scalars, sources  # noqa: F401
+    from veilscan.catalog import detection, profile, reports, scalars, sources, trees  # noqa: F401
 
     return QUERIES

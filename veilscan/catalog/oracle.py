@@ -265,6 +265,15 @@ def _bank_card() -> str:
     FROM (SELECT * FROM ({hits(pattern)}) WHERE s = 0 OR NOT regexp_matches(substr(text, s, 1), '[0-9]')))"""
 
 
+def _driver_license() -> str:
+    """As with bank cards; else two letters and the first six of more digits would hide what begins behind them."""
+    pattern = r"(?:[0-9]{2}\s?[0-9]{2}\s?[0-9]{6}|[А-ЯA-Z]{2}\s?[0-9]{6})(?:[^0-9]|$)"
+    _, _, category, base, _ = RULES["driver_license"]
+    return f"""SELECT path, chunk_no, {ORDER.index('driver_license')} AS det, {category} AS category, v, s, e, CAST({base} AS DOUBLE) AS base, text
+  FROM (SELECT path, chunk_no, text, s, regexp_replace(v, '[^0-9]$', '') AS v, s + length(regexp_replace(v, '[^0-9]$', '')) AS e
+    FROM (SELECT * FROM ({hits(pattern)}) WHERE s = 0 OR NOT regexp_matches(substr(text, s, 1), '[0-9]')))"""
+
+
 def _birth_place() -> str:
     pattern = r"(?i)(?:место\s+рождения|м\.р\.)[\s:;]+([А-ЯЁ][а-яёА-ЯЁ0-9\s\,\.\-]+)"
     return f"""SELECT path, chunk_no, {ORDER.index('birth_place')} AS det, 'birth_place' AS category, trim(p, ' \n') AS v,
@@ -294,7 +303,7 @@ def _mrz() -> str:
 def detector(name: str) -> str:
     from veilscan.schema import CATEGORIES
 
-    special = {"marker": lambda: _marker(CATEGORIES), "cvv": _cvv, "bank_card": _bank_card, "birth_place": _birth_place, "mrz": _mrz}
+    special = {"marker": lambda: _marker(CATEGORIES), "cvv": _cvv, "bank_card": _bank_card, "driver_license": _driver_license, "birth_place": _birth_place, "mrz": _mrz}
     return special[name]() if name in special else _generic(name)
 
 

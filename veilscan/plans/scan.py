@@ -27,7 +27,8 @@ from veilscan.sources.files import (
 )
 from veilscan.sources.hashes import large_hashes
 from veilscan.sources.json import LINE_EXTENSIONS, json_chunks, json_line_chunks
-from veilscan.sources.tables import csv_chunks, parquet_chunks
+from veilscan.sources.parquet import mixed_parquet_chunks, parquet_footers
+from veilscan.sources.tables import csv_chunks
 from veilscan.sources.windows import text_windows
 
 # Copies whose paths are broadcast, about 100 bytes each.
@@ -82,9 +83,9 @@ def manifest(spark: SparkSession, root: str, out: str, options: ScanOptions) ->
     return spark.read.parquet(f"{out}/manifest")
 
 
-def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
-    """Chunks of all supported files below a folder. Each format goes through its own reader."""
-    limit = options.whole_file_bytes
+def tree_chunks(spark: SparkSession, root: str, options: ScanOptions, out: str | None = None) -> DataFrame:
+    """Chunks of all supported files below a folder. Each format goes through its own reader; small tables go to ``out``."""
+    limit, out = options.whole_file_bytes, out or shared_dir(spark)
 
     def files_of(*kinds: str) -> DataFrame:
         # only the extensions of a reader are listed for it, so the content of other files is not read
@@ -103,23 +104,19 @@ def tree_chunks(spark: SparkSession, root: str, options: ScanOptions) -> DataFra
         json_chunks(files_of("json"), limit),
         json_line_chunks(spark, root, file_name_glob(LINE_EXTENSIONS)),
     ]
-    if _any_file(spark, root, file_name_glob((".parquet",))):
-        reader = {"recursiveFileLookup": "true", "pathGlobFilter": file_name_glob((".parquet",)), "mergeSchema": "true"}
-        parts.append(parquet_chunks(spark, root, **reader))
+    # read once: the plan holds one scan for each schema
+    footers = parquet_footers(spark, root, limit)
+    footers.write.mode("overwrite").parquet(f"{out}/footers")
+    parquet = mixed_parquet_chunks(spark, spark.read.parquet(f"{out}/footers"))
     chunks = parts[0]
     for part in parts[1:]:
         chunks = chunks.unionByName(part, allowMissingColumns=True)
-    chunks = chunks.withColumn("error", F.lit(None).cast("string"))
+    chunks = chunks.withColumn("error", F.lit(None).cast("string")).unionByName(parquet, allowMissingColumns=True)
     if options.decoders:
         chunks = chunks.unionByName(decoded_chunks(files_of(*options.decoders), options.decoders), allowMissingColumns=True)
     return chunks
 
 
-def _any_file(spark: SparkSession, root: str, glob: str) -> bool:
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return bool(listing.load(root).select("length").take(1))
-
-
 def scan_tree(spark: SparkSession, root: str, out: str | None = None, **settings) -> tuple[DataFrame, DataFrame]:
     """Scan a folder; returns findings and reports.
 
@@ -131,7 +128,7 @@ def scan_tree(spark: SparkSession, root: str, out: str | None = None, **settings
     out = out or shared_dir(spark)
     listed = manifest(spark, root, out, options)
     files = keep_first(listed) if options.drop_duplicates else listed
-    chunks = tree_chunks(spark, root, options).filter(not_ignored(relative_path(F.col("path"), root)))
+    chunks = tree_chunks(spark, root, options, out).filter(not_ignored(relative_path(F.col("path"), root)))
     copies = duplicate_map(listed).select("path") if options.drop_duplicates else None
     few = copies is not None and copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
     if few:

@@ -6,7 +6,6 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,9 +229,3 @@ def json_schemas(files: DataFrame, n: int = JSON_FILES) -> DataFrame:
     return heads.select(
         "path", "size", F.posexplode_outer(F.slice(keys, 1, JSON_KEYS)).alias("key_no", "key")
     )
-
-
-def parquet_schemas(spark: SparkSession, paths: Sequence[str], n: int = PARQUET_FILES) -> DataFrame:
-    """Columns of some Parquet files, from their footers."""
-    rows = [(p, i, c) for p in list(paths)[:n] for i, c in enumerate(spark.read.parquet(p).columns)]
-    return spark.createDataFrame(rows, "path string, column_no int, column string")
