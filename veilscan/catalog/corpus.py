@@ -37,14 +37,14 @@ _NAME = _pick(
 _DATE = f"lpad(CAST({K} % 28 + 1 AS STRING), 2, '0') || '.' || lpad(CAST({K} % 12 + 1 AS STRING), 2, '0') || '.' || CAST(1950 + {K} % 60 AS STRING)"
 
 _LETTERS = (
-    _pick(3, f"'Паспорт серии 52 17 № ' || {D6}", f"'документ, удостоверяющий личность: 4510 ' || {D6}", f"'на складе 5217 ' || {D6} || ' деталей'"),
+    _pick(3, f"'Предъявлен паспорт: 60 04 № ' || {D6}", f"'документ, удостоверяющий личность: 4510 ' || {D6}", f"'на складе 5217 ' || {D6} || ' деталей'"),
     _pick(2, f"'СНИЛС: ' || {D3} || '-' || {E3} || '-' || {D3} || ' ' || {D2}", f"'код ' || {D9} || {D2} || ' в списке'"),
     _pick(2, f"'поставщик, ИНН ' || {D10}", f"'запись ' || {D10} || ' из реестра'"),
     _pick(2, f"'ИНН ' || {D10} || {D2} || ' физлица'", f"'строка ' || {D10} || {D2}"),
     _pick(2, f"'ОГРН ' || {D10} || {D3}", f"'номер ' || {D10} || {D3}"),
     f"'ОГРН ' || {D10} || {D3} || {D2}",
     _pick(2, f"'Водительское удостоверение 77 АВ ' || {D6}", f"'driver 99 16 ' || {D6} || ' выдано'"),
-    _pick(3, f"'Карта 4111 ' || {D4} || ' ' || {D4} || ' 1' || {D3} || ' действует'", f"'код 5500-0000-' || {D4} || '-' || {D4}", f"'visa 4' || {D9} || {D6}"),
+    _pick(3, f"'оплата картой 2200 ' || {D4} || ' ' || {D4} || ' 7' || {D3} || ' прошла'", f"'код 5500-0000-' || {D4} || '-' || {D4}", f"'visa 4' || {D9} || {D6}"),
     _pick(3, f"'БИК банка 04' || {_digits(7919, 7)}", f"'bik 04' || {_digits(7919, 7)} || ' ок'", f"'число 04' || {_digits(7919, 7)}"),
     f"'р/с 40702' || {D9} || {D6} || ' в банке, БИК 044525' || {E3}",
     f"'перевод 40817' || {D9} || {D6} || '; 044030' || {E3}",
@@ -61,7 +61,7 @@ _LETTERS = (
     _pick(2, "'политические взгляды и член партии'", "'партийная принадлежность'"),
     "'этническое происхождение указано'",
     _pick(3, f"'email: user' || CAST({K} AS STRING) || '@mail.ru'", "'писать на info@company.ru и sales@company.ru'", f"'почта A.B-' || {D3} || '@Sub.Example.com, копия'"),
-    _pick(4, f"'Телефон +7 910 ' || {D3} || '-' || {D2} || '-18'", f"'Тел: 8(916)' || {D3} || '-45-' || {D2}", f"'горячая линия 8 800 ' || {D3} || ' 11 22'", f"'звонить +7926' || {_digits(15485863, 7)}"),
+    _pick(4, f"'моб. +7 953 ' || {D3} || '-' || {D2} || '-07'", f"'контактный телефон 8(812)' || {D3} || '-60-' || {D2}", f"'горячая линия 8 800 ' || {D3} || ' 11 22'", f"'звонить +7926' || {_digits(15485863, 7)}"),
     _pick(2, f"'[[PII_DIRECT:email:user' || CAST({K} AS STRING) || '@mail.ru]]; [[PII_DIRECT:fio:Иванов Иван Иванович]]; Диагноз=нет'", "'[[PII_DIRECT:unknown:x]]; [[PII_DIRECT:address:  г. Тверь ]]'"),
     f"'P<RUSIVANOV<<IVAN<<<<<<<<<<<<<<<<<<<<<<<<<<<\n' || {D10} || 'RUS8001017M2501017<<<<<<<<<<<<<<' || {D2} || '\nконец'",
     f"'Заявление ' || CAST({K} AS STRING) || ': ничего личного'",

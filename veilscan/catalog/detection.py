@@ -12,7 +12,6 @@ from veilscan.operators import detect as det
 from veilscan.operators.entities import entity_spans, new_entities, slices, wants_entities
 
 DOCUMENTS_SQL = "SELECT doc_id AS path, 0 AS chunk_no, text FROM documents"
-CONVERSATIONS_SQL = "SELECT conv_id AS path, turn AS chunk_no, text FROM conversations"
 _COLUMNS = "path, chunk_no, category, value, s AS span_start, e AS span_end, round(confidence, 3) AS confidence"
 
 
@@ -55,12 +54,28 @@ for _name in oracle.ORDER:
     _register_letters(_name)
 
 
+# Numbers of all kinds behind each given text, as the texts have none of the rarer ones themselves.
+_NUMBERS = """chr(10) || 'тел. +7 9' || lpad(CAST({k} * 7919 % 100000000 AS STRING), 8, '0') || 'x, 89' || lpad(CAST({k} * 104729 % 1000000000 AS STRING), 9, '0')
+  || '; СНИЛС ' || lpad(CAST({k} * 37 % 1000 AS STRING), 3, '0') || '-112-233 ' || lpad(CAST({k} % 100 AS STRING), 2, '0') || ', '
+  || lpad(CAST({k} * 15485863 % 100000000000 AS STRING), 11, '0') || '; ИНН ' || lpad(CAST({k} * 32452843 % 10000000000 AS STRING), 10, '0') || ' и '
+  || lpad(CAST({k} * 86028121 % 1000000000000 AS STRING), 12, '0')"""
+
+
+def _numbered(key: str) -> str:
+    return _NUMBERS.replace("{k}", key)
+
+
+NUMBERED_SQL = f"SELECT doc_id AS path, 0 AS chunk_no, text || {_numbered('doc_id')} AS text FROM documents"
+NUMBERED_TURNS_SQL = f"SELECT conv_id AS path, turn AS chunk_no, text || {_numbered('(conv_id * 31 + turn)')} AS text FROM conversations"
+
+
 def _register_documents(name: str) -> None:
-    sql = oracle.spans(DOCUMENTS_SQL, (name,)) + f"SELECT {_COLUMNS} FROM spans"
+    sql = oracle.spans(NUMBERED_SQL, (name,)) + f"SELECT {_COLUMNS} FROM spans"
 
     @query(f"det_{name}_documents", sql)
     def run(spark, sf_dir):
-        return shown(det.detect(document_chunks(spark, sf_dir), detectors=(name,)))
+        docs = corpus._run(spark, sf_dir, NUMBERED_SQL, "documents").withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
+        return shown(det.detect(docs, detectors=(name,)))
 
 
 for _name in ("email", "phone", "bank_card", "inn", "snils"):
@@ -77,10 +92,9 @@ def detect_all_documents(spark, sf_dir):
     return shown(det.detect(document_chunks(spark, sf_dir)))
 
 
-@query("detect_all_conversations", oracle.spans(CONVERSATIONS_SQL) + f"SELECT {_COLUMNS} FROM spans")
+@query("detect_all_conversations", oracle.spans(NUMBERED_TURNS_SQL) + f"SELECT {_COLUMNS} FROM spans")
 def detect_all_conversations(spark, sf_dir):
-    turns = corpus.table(spark, sf_dir, "conversations")
-    return shown(det.detect(turns.select(F.col("conv_id").alias("path"), F.col("turn").alias("chunk_no"), "text")))
+    return shown(det.detect(corpus._run(spark, sf_dir, NUMBERED_TURNS_SQL, "conversations")))
 
 
 @query(
@@ -120,14 +134,21 @@ def span_dedup(spark, sf_dir):
     return shown(det.detect(doubled, detectors=("cvv",), min_confidence=0.0))
 
 
+# Every letter once as it is and once behind a marked cell, which switches the free-text detectors off.
+_SWITCHED = f"""SELECT path || CASE m WHEN 1 THEN '#' ELSE '' END AS path, chunk_no, CASE m WHEN 1 THEN '[[PII_DIRECT:email:x@y.ru]]; ' ELSE '' END || text AS text
+    FROM ({letters_source()}), (SELECT 0 AS m UNION ALL SELECT 1)"""
+
+
 @query(
     "structured_switch",
-    f"""WITH t AS ({letters_source()})
-    SELECT contains(text, '[[PII_DIRECT:') AS marked, count(*) AS chunks FROM t GROUP BY ALL""",
+    oracle.spans(_SWITCHED, cut=None)
+    + """SELECT contains(path, '#') AS marked, category, count(*) AS spans, count(DISTINCT path) AS files FROM spans GROUP BY ALL""",
 )
 def structured_switch(spark, sf_dir):
-    marked = F.col("text").contains(det.MARKER)
-    return letter_chunks(spark, sf_dir).groupBy(marked.alias("marked")).agg(F.count(F.lit(1)).alias("chunks"))
+    letters = letter_chunks(spark, sf_dir)
+    marked = letters.select(F.concat("path", F.lit("#")).alias("path"), "chunk_no", F.concat(F.lit("[[PII_DIRECT:email:x@y.ru]]; "), "text").alias("text"))
+    found = det.detect(letters.unionByName(marked), min_confidence=0.0)
+    return found.groupBy(F.col("path").contains("#").alias("marked"), "category").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("path").alias("files"))
 
 
 @query(

@@ -382,13 +382,13 @@ def dedup_totals(spark, sf_dir):
 @query(
     "dedup_summary",
     _HASHED
-    + """, g AS (SELECT content_hash, max(size) AS size, count(*) - 1 AS extra FROM f WHERE size <= 8000 GROUP BY content_hash)
-    SELECT (SELECT count(*) FROM f WHERE size <= 8000) AS scanned, (SELECT count(*) FROM f WHERE size > 8000) AS skipped_too_large,
+    + """, g AS (SELECT content_hash, max(size) AS size, count(*) - 1 AS extra FROM f GROUP BY content_hash)
+    SELECT (SELECT count(*) FROM f) AS scanned, CAST(0 AS BIGINT) AS skipped_too_large,
       count(*) AS unique_files, CAST(sum(CASE WHEN extra > 0 THEN 1 ELSE 0 END) AS BIGINT) AS duplicate_groups,
       CAST(sum(extra) AS BIGINT) AS total_duplicates, round(sum(size * extra) / 1048576, 2) AS bytes_saved_mb FROM g""",
 )
 def dedup_summary(spark, sf_dir):
-    return dedup.duplicate_summary(_hashed_documents(spark, sf_dir), max_bytes=8000)
+    return dedup.duplicate_summary(_hashed_documents(spark, sf_dir))
 
 
 @query(

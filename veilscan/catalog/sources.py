@@ -120,9 +120,9 @@ _KIND_SQL = "CASE " + " ".join(
 ) + " END"
 
 
-@query("src_guess_kind", f"SELECT path, {_MIME_SQL} AS mime, {_KIND_SQL} AS kind FROM ({corpus.files_sql()}) WHERE path LIKE '/share/%/%' AND path NOT LIKE '/share/web/%'")
+@query("src_guess_kind", f"SELECT path, {_MIME_SQL} AS mime, {_KIND_SQL} AS kind FROM ({corpus.files_sql()})")
 def src_guess_kind(spark, sf_dir):
-    files = with_mime(corpus.files(spark, sf_dir).filter(~F.col("path").startswith("/share/web/")).select("path"))
+    files = with_mime(corpus.files(spark, sf_dir).select("path"))
     return files.select("path", "mime", guess_kind(suffix(F.col("path")), F.col("mime")).alias("kind"))
 
 

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 # Copies of one group are spread over this many join keys.
 SALTS = 32
-# Limits of the duplicate block of the profile.
-MAX_HASHED_BYTES = 50 * 1024 * 1024
+# Rows of the duplicate block of the profile.
 TOP_GROUPS = 15
 PATHS_PER_GROUP = 5
 
@@ -63,17 +62,22 @@ def duplicate_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def _sized_groups(files: DataFrame, max_bytes: int) -> DataFrame:
+def _within(max_bytes: int | None) -> Column:
+    """All sizes, unless the caller wants a limit."""
+    return F.lit(True) if max_bytes is None else F.col("size") <= max_bytes
+
+
+def _sized_groups(files: DataFrame, max_bytes: int | None) -> DataFrame:
     return (
-        files.filter((F.col("size") <= max_bytes) & F.col("content_hash").isNotNull())
+        files.filter(_within(max_bytes) & F.col("content_hash").isNotNull())
         .groupBy("content_hash")
         .agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path"))
     )
 
 
-def duplicate_summary(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+def duplicate_summary(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One row: scanned, skipped, unique, groups, copies and the megabytes they take."""
-    large = F.col("size") > max_bytes
+    large = ~_within(max_bytes)
     groups = files.groupBy(F.when(~large, F.col("content_hash")).alias("content_hash"), large.alias("large")).agg(
         F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")
     )
@@ -94,7 +98,7 @@ def duplicate_summary(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> Da
 
 
 def largest_groups(
-    files: DataFrame, groups: int = TOP_GROUPS, paths: int = PATHS_PER_GROUP, max_bytes: int = MAX_HASHED_BYTES
+    files: DataFrame, groups: int = TOP_GROUPS, paths: int = PATHS_PER_GROUP, max_bytes: int | None = None
 ) -> DataFrame:
     """The groups with most copies and the first paths of each, one row per path."""
     ranked = (
@@ -107,7 +111,7 @@ def largest_groups(
     rank = F.row_number().over(W.partitionBy("content_hash").orderBy("path"))
     # at most ``groups`` rows are broadcast; the rank limit is applied before the shuffle as well
     return (
-        files.filter(F.col("size") <= max_bytes)
+        files.filter(_within(max_bytes))
         .join(F.broadcast(ranked), "content_hash")
         .withColumn("path_no", rank)
         .filter(F.col("path_no") <= paths)
