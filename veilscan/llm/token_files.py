@@ -20,11 +20,11 @@ other; null ids come first; an empty table gives an empty table; further columns
 from __future__ import annotations
 
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Ids between two checkpoints, ids of a block, and the longest code in bits.
 RUN, BLOCK, LONGEST = 64, 1 << 16, 18
+#: Ids of a file, about 20 MB.
+FILE_TOKENS = 1 << 24
 #: Words that a task remembers with their ids.
 REMEMBERED = 700_000
 
@@ -318,6 +320,13 @@ def _counts(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     return out
 
 
+def _bounds(tokens: DataFrame, files: int) -> list:
+    """The largest id of each file but the last, from the column of ids alone."""
+    ranges = tokens.select("id").repartitionByRange(files, "id")
+    tops = ranges.groupBy(F.spark_partition_id().alias("file")).agg(F.max("id").alias("top")).orderBy("file")
+    return [r.top for r in tops.collect() if r.top is not None][:-1]
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts to the folder ``path``, in ascending order of the id column."""
     from tokenizers import Tokenizer
@@ -325,26 +334,30 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: st
     spark = docs.sparkSession
     size, kind = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1), _width(tokenizer)
     tokens = written(tokenise(docs, tokenizer, end, id_col, text_col), "tokens")
-    lengths = code_lengths(_counts(tokens, size, kind))
+    counts = _counts(tokens, size, kind)
+    lengths = code_lengths(counts)
     codes = canonical(lengths)
     id_kind = tokens.schema["id"].dataType.simpleString()
     fields = "file int, block int, doc_ids array<{0}>, doc_tokens array<long>, n_tokens long, bits binary, checkpoints binary".format(id_kind)
 
+    bounds = _bounds(tokens, max(spark.sparkContext.defaultParallelism, int(counts.sum()) // FILE_TOKENS))
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Code every row by itself before it moves: coded ids are the smallest form."""
         for batch in batches:
             raw, offs = W.texts(batch.column(1))
+            files = pa.array([0 if x is None else bisect_left(bounds, x) for x in batch.column(0).to_pylist()], pa.int32())
             for first, stop, part, cuts in W.slices(raw, offs, 1 << 20):
                 at = cuts // np.dtype(kind).itemsize
                 bits, starts, runs, run_starts = pack(part.view(kind), at, lengths, codes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:stop], pa.array(np.diff(at)), _binary(starts, bits), _binary(run_starts * 2, runs)],
-                    ["id", "n", "bits", "checkpoints"],
+                    [files[first:stop], batch.column(0)[first:stop], pa.array(np.diff(at)), _binary(starts, bits), _binary(run_starts * 2, runs)],
+                    ["file", "id", "n", "bits", "checkpoints"],
                 )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Put coded rows together to blocks."""
-        file, block, n = TaskContext.get().partitionId(), 0, 0
+        file, block, n = 0, 0, 0
         docs, counts, bits, checkpoints = [], [], [], []
 
         def close() -> pa.RecordBatch:
@@ -354,8 +367,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: st
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
-            id_type = batch.column(0).type
-            for doc, count, body, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            id_type = batch.column(1).type
+            for own, doc, count, body, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != file:
+                    if docs:
+                        yield close()
+                    docs, counts, bits, checkpoints, n, file, block = [], [], [], [], 0, own, 0
                 docs.append(doc)
                 counts.append(count)
                 bits.append(body)
@@ -367,8 +384,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: st
         if docs:
             yield close()
 
-    coded = tokens.mapInArrow(code, f"id {id_kind}, n long, bits binary, checkpoints binary")
-    ordered = coded.repartitionByRange("id").sortWithinPartitions("id", "n", "bits")
+    coded = tokens.mapInArrow(code, f"file int, id {id_kind}, n long, bits binary, checkpoints binary")
+    # rows know their file, so nothing is coded only to be sampled for ranges
+    ordered = coded.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("file", "id", "n", "bits")
     ordered.mapInArrow(blocks, fields).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
