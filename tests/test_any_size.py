@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilscan.operators.findings import findings, scan_chunks
-from veilscan.sources import delimited, windows
+from veilscan.sources import delimited, json_lines, windows
 from veilscan.sources import documents as docs
 from veilscan.sources import tables as tab
 from veilscan.sources.files import binary_files, describe
@@ -159,3 +159,42 @@ def test_text(spark, text_files, split_size, size, core):
     for r in sorted(chunks.collect(), key=lambda r: r.chunk_no):
         texts[r.path] = texts.get(r.path, "") + r.text[r.own_from : r.own_to]
     assert texts == {r.path: r.text for r in whole.collect()}
+
+
+def _line_chunks(sizes, most):
+    """Which lines each chunk has, one after another."""
+    out, now, held = [], [], 0
+    for k, n in enumerate(sizes):
+        now.append(k)
+        held += n
+        if held >= most:
+            out.append(now)
+            now, held = [], 0
+    return out + ([now] if now else [])
+
+
+@pytest.mark.parametrize("size, few", [(4096, True), (65_536, False), (128 * 1024 * 1024, True)])
+def test_json_lines(spark, tmp_path, split_size, monkeypatch, size, few):
+    rng = random.Random(8)
+    want = {}
+    for k, n in enumerate((5000, 1, 900)):
+        sizes = [rng.choice([0, 1, 1, 2, 7, 30 if k else 3]) for _ in range(n)]
+        texts = [[f"k{i}={j}" for i in range(m)] for j, m in enumerate(sizes)]
+        raw = ["{" + ", ".join(f'"k{i}": {j}' for i in range(m)) + "}" for j, m in enumerate(sizes)]
+        (tmp_path / f"f{k}.jsonl").write_text("\n".join(x + rng.choice(["", "\n", "\nbroken", "\n{"]) for x in raw))
+        chunks = ["\n".join(x for j in own for x in texts[j]) for own in _line_chunks(sizes, 100)]
+        want |= {(f"f{k}.jsonl", c): text for c, text in enumerate(chunks) if text}
+    if not few:
+        monkeypatch.setattr(json_lines, "BROADCAST_PARTS", 0)
+    split_size(size)
+    got = json_lines.json_line_chunks(spark, str(tmp_path), "*.jsonl", 100).collect()
+    assert {(r.path.rsplit("/", 1)[-1], r.chunk_no): r.text for r in got} == want and len(got) == len(want)
+
+
+def test_a_million_lines_in_one_file(spark):
+    """Several parts and hundreds of chunks; the sizes of a file never meet in one row."""
+    rows = spark.range(1_000_000).select(
+        F.lit("/one").alias("path"), F.col("id").alias("line_no"), F.array_repeat(F.lit("a=1"), (F.col("id") % 7).cast("int")).alias("leaves")
+    )
+    got = json_lines.json_line_batches(rows, part_lines=1 << 16).select("chunk_no", F.size(F.split("text", "\n")).alias("n")).collect()
+    assert [n for _, n in sorted((r.chunk_no, r.n) for r in got)] == [sum(k % 7 for k in own) for own in _line_chunks([k % 7 for k in range(1_000_000)], 10_000)]

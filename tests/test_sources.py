@@ -74,7 +74,7 @@ def test_chunks_of_all_formats(spark, tree, limit):
     assert texts["a.txt"] == ["ФИО: Иванов Иван Иванович, почта a@b.ru"]
     table = ["id email full_name", 'id=1; [[PII_DIRECT:email:x@y.ru]]; [[PII_DIRECT:fio:Петрова "А" Анна]]', "id=2"]
     tabs = ["phone note", "[[PII_DIRECT:phone:89102456318]]; note=ok"]
-    assert texts["l.jsonl"] == ["e=l1@w.ru", "e=l2@w.ru"]
+    assert texts["l.jsonl"] == ["e=l1@w.ru\ne=l2@w.ru"]
     assert texts["t.parquet"] == ["Email ok", "Email=p@q.ru; ok=True", "ok=False"]
     assert texts["sub dir+x/t.csv"] == ["\n".join(table)] and texts["sub dir+x/t.tsv"] == ["\n".join(tabs)]
     assert texts["bom.csv"] == ["email n\n[[PII_DIRECT:email:b@m.ru]]; n=1"]

@@ -12,6 +12,7 @@ from veilscan.session import spread
 from veilscan.sources import documents as docs
 from veilscan.sources import files as src
 from veilscan.sources import json as js
+from veilscan.sources import json_lines as jsl
 from veilscan.sources import tables as tab
 
 _GAP = "﷐"
@@ -271,20 +272,31 @@ def src_json_chunks(spark, sf_dir):
     return js.json_chunks(files)
 
 
+# Orders as JSON lines of 1 to 4 leaves, in files of 120 000 lines; one line in ten is broken, some are empty objects.
+_LINES = """SELECT CAST(floor(o_orderkey / 120000) AS BIGINT) AS file_no, o_orderkey AS line_no,
+  CASE WHEN o_orderkey % 10 = 3 THEN '{"broken": ' WHEN o_orderkey % 10 = 4 THEN '{}' ELSE '{"id": ' || CAST(o_orderkey AS STRING)
+    || CASE WHEN o_orderkey % 10 < 3 THEN '' ELSE ', "at": {"status": "' || o_orderstatus || '", "list": [1, "x"]}' END || '}' END AS raw FROM orders"""
+# The chunk of a line follows from all lines before it, which a recursive walk from chunk to chunk finds.
+_LINE_LEAVES = """SELECT '/jsonl/' || file_no AS path, line_no, CASE WHEN line_no % 10 = 4 THEN 0 WHEN line_no % 10 < 3 THEN 1 ELSE 4 END AS n,
+  CASE WHEN line_no % 10 <> 4 THEN 'id=' || line_no || CASE WHEN line_no % 10 < 3 THEN '' ELSE chr(10) || 'at.status=' || o_orderstatus || chr(10) || 'at.list[0]=1' || chr(10) || 'at.list[1]=x' END END AS text
+  FROM (SELECT CAST(floor(o_orderkey / 120000) AS BIGINT) AS file_no, o_orderkey AS line_no, o_orderstatus FROM orders) WHERE line_no % 10 <> 3"""
+
+
 @query(
     "src_json_line_batches",
-    """SELECT '/jsonl/' || CAST(floor(event_id / 500) AS BIGINT) AS path, CAST(0 AS BIGINT) AS chunk_no,
-      string_agg('k=' || (props::JSON ->> 'k'), chr(10) ORDER BY event_id) AS text, 'jsonl_batch' AS locator FROM events
-    GROUP BY CAST(floor(event_id / 500) AS BIGINT)""",
+    f"""WITH RECURSIVE leaves AS ({_LINE_LEAVES}),
+    summed AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY line_no) AS upto FROM leaves),
+    walk AS (SELECT path, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS HUGEINT) AS before, (SELECT min(upto) FROM summed s WHERE s.path = p.path AND s.upto >= 10000) AS until FROM (SELECT DISTINCT path FROM leaves) p
+      UNION ALL SELECT path, chunk_no + 1, until, (SELECT min(upto) FROM summed s WHERE s.path = w.path AND s.upto >= w.until + 10000) FROM walk w WHERE until IS NOT NULL)
+    SELECT s.path, chunk_no, md5(string_agg(text, chr(10) ORDER BY line_no)) AS digest, 'jsonl_batch' AS locator
+    FROM summed s JOIN walk w ON s.path = w.path AND upto > before AND (until IS NULL OR upto <= until) WHERE n > 0 GROUP BY s.path, chunk_no""",
 )
 def src_json_line_batches(spark, sf_dir):
-    events = corpus.table(spark, sf_dir, "events")
-    rows = events.select(
-        F.concat(F.lit("/jsonl/"), F.floor(F.col("event_id") / 500).cast("string")).alias("path"),
-        F.col("event_id").alias("line_no"),
-        js.flatten_json(F.col("props")).alias("leaves"),
+    """Several chunks to a file, the lines in parts of 4096."""
+    rows = corpus._run(spark, sf_dir, _LINES, "orders").select(
+        F.concat(F.lit("/jsonl/"), F.col("file_no").cast("string")).alias("path"), "line_no", js.flatten_json(F.col("raw")).alias("leaves")
     )
-    return js.json_line_batches(rows)
+    return jsl.json_line_batches(rows, part_lines=4096).select("path", "chunk_no", F.md5("text").alias("digest"), "locator")
 
 
 def _paragraphs(content: bytes):

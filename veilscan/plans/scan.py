@@ -26,7 +26,8 @@ from veilscan.sources.files import (
     with_actual_kind,
 )
 from veilscan.sources.hashes import large_hashes
-from veilscan.sources.json import LINE_EXTENSIONS, json_chunks, json_line_chunks
+from veilscan.sources.json import LINE_EXTENSIONS, json_chunks
+from veilscan.sources.json_lines import json_line_chunks
 from veilscan.sources.parquet import mixed_parquet_chunks, parquet_footers
 from veilscan.sources.tables import csv_chunks
 from veilscan.sources.windows import text_windows

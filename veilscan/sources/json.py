@@ -1,4 +1,4 @@
-"""JSON documents and JSON lines as chunks of ``path=value`` leaves."""
+"""JSON documents as chunks of ``path=value`` leaves."""
 
 from __future__ import annotations
 
@@ -6,18 +6,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.functions.files import suffix
-from veilscan.sources.documents import lines
 from veilscan.sources.files import WHOLE_FILE_BYTES
 
-# Limits of the sampling mode and leaves per chunk of JSON lines.
-MAX_BYTES = 10 * 1024 * 1024
-LEAVES_PER_CHUNK = 10_000
+# Fixed values.
 LINE_EXTENSIONS = (".jsonl", ".ndjson")
 
 
@@ -52,9 +48,44 @@ def _leaves(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# An object of plain strings, whole numbers, truth values and nulls: what most lines of logs and tables are.
+_STRING = r'"([^"\\\x00-\x1f]*+)"'
+_SCALAR = r'("[^"\\\x00-\x1f]*+"|true|false|null|0|-?[1-9][0-9]{0,999}+)'
+_BLANK = r"[ \t\n\r]*+"
+_MEMBER = f"{_STRING}{_BLANK}:{_BLANK}{_SCALAR}"
+_FLAT = rf"\A{_BLANK}\{{{_BLANK}(?:{_MEMBER}{_BLANK}(?:,{_BLANK}{_MEMBER}{_BLANK})*+)?+\}}{_BLANK}\z"
+# The JVM's regular expressions recurse over repeated groups, so longer texts take the general way.
+_FLAT_CHARS = 20_000
+
+
+def _flat_leaves(text: Column) -> Column:
+    """Leaves of a flat object, by built-in functions alone; null for everything else."""
+    keys = F.regexp_extract_all(text, F.lit(_MEMBER), F.lit(1))
+    values = F.regexp_extract_all(text, F.lit(_MEMBER), F.lit(2))
+
+    def leaf(key: Column, value: Column) -> Column:
+        shown = (
+            F.when(value == "true", F.lit("True"))
+            .when(value == "false", F.lit("False"))
+            .when(value.startswith('"'), F.substring(value, F.lit(2), F.length(value) - 2))
+            .otherwise(value)
+        )
+        return F.when(~value.isin("null", '""'), F.concat(key, F.lit("="), shown))
+
+    simple = (F.length(text) <= _FLAT_CHARS) & text.rlike(_FLAT)
+    # of equal keys the last value counts, which the general way takes care of
+    single = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(simple, F.when(single, F.array_compact(F.zip_with(keys, values, leaf))))
+
+
 def flatten_json(text: Column) -> Column:
-    """Leaves of a document of unknown shape; null when it does not parse."""
-    return _leaves(text)
+    """Leaves of a document of unknown shape; null when it does not parse.
+
+    Flat objects never leave the JVM. Documents of any depth, in the order in which they are written, need a parser that
+    keeps that order, and go through one in batches.
+    """
+    flat = _flat_leaves(text)
+    return F.coalesce(flat, _leaves(F.when(flat.isNull(), text)))
 
 
 def flatten_struct(schema: T.DataType, value: Column, path: str = "") -> list[Column]:
@@ -90,65 +121,3 @@ def json_chunks(files: DataFrame, max_bytes: int = WHOLE_FILE_BYTES, cut_bytes:
         F.coalesce(F.array_join("leaves", "\n"), F.col("raw")).alias("text"),
         F.when(F.col("leaves").isNull(), F.lit("raw_json")).otherwise(F.lit("json_root")).alias("locator"),
     )
-
-
-def json_line_chunks(spark: SparkSession, root: str, glob: str, max_objects: int | None = None) -> DataFrame:
-    """JSON lines, one chunk per valid line, read in splits.
-
-    ``max_objects`` keeps the first valid objects of each file; the rank limit works before the shuffle.
-    """
-    rows = (
-        lines(spark, root, glob)
-        .select("path", "line_no", flatten_json(F.trim("value")).alias("leaves"))
-        .filter(F.col("leaves").isNotNull())
-    )
-    if max_objects is not None:
-        rank = F.row_number().over(W.partitionBy("path").orderBy("line_no"))
-        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= max_objects).drop("rank")
-    return rows.filter(F.size("leaves") > 0).select(
-        "path",
-        F.col("line_no").alias("chunk_no"),
-        F.array_join("leaves", "\n").alias("text"),
-        F.lit("jsonl_line").alias("locator"),
-    )
-
-
-def json_line_batches(rows: DataFrame, max_objects: int | None = None) -> DataFrame:
-    """Leaves of the valid lines of each file in chunks of at least 10 000 leaves.
-
-    ``rows`` holds path, line_no and leaves. A chunk is closed by the line that fills it. Which line that
-    is depends on all lines before it, so the numbers of leaves of one file are folded in one place; the leaves
-    themselves are only joined to the result. ``max_objects`` keeps the first valid objects of each file.
-    """
-    rank = F.row_number().over(W.partitionBy("path").orderBy("line_no"))
-    first = rows.withColumn("rank", rank)
-    if max_objects is not None:
-        first = first.filter(F.col("rank") <= max_objects)
-    sizes = first.groupBy("path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.size("leaves").alias("n")))), lambda x: x["n"]).alias("n")
-    )
-    zero = F.struct(F.lit(0).alias("held"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        held = acc["held"] + n
-        full = held >= LEAVES_PER_CHUNK
-        return F.struct(
-            F.when(full, F.lit(0)).otherwise(held).alias("held"),
-            F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"),
-            F.concat(acc["out"], F.array(acc["chunk"])).alias("out"),
-        )
-
-    placed = sizes.select("path", F.posexplode(F.aggregate("n", zero, step)["out"]).alias("at", "chunk_no"))
-    keyed = placed.select("path", (F.col("at") + 1).alias("rank"), F.col("chunk_no").cast("bigint").alias("chunk_no"))
-    return (
-        first.join(keyed, ["path", "rank"])
-        .groupBy("path", "chunk_no")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "leaves"))).alias("parts"))
-        .select(
-            "path",
-            "chunk_no",
-            F.array_join(F.flatten(F.transform("parts", lambda x: x["leaves"])), "\n").alias("text"),
-            F.lit("jsonl_batch").alias("locator"),
-        )
-        .filter(F.col("text") != "")
-    )
