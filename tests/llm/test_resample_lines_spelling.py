@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veilscan.llm import crc, importance_resampling, line_dedup, spelling_variants
+from veilscan.llm import crc, importance_resampling, line_dedup, repeated_bytes, spelling_variants
 from veilscan.llm import words as W
 
 SPACES = " \t\n\v\f\r"
@@ -245,3 +245,19 @@ def test_word_spans():
     starts, ends, firsts = spelling_variants.word_spans(data, offs)
     got = W.strings(data, starts, ends).to_pylist()
     assert [got[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)] == [re.findall("[A-Za-zÀ-ÿ]+", t) for t in texts]
+
+
+# --- names that operators use themselves
+
+
+def test_cut_with_clashing_columns(spark):
+    passage = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, f"{k} {passage} {k}", 10 * k, 20 * k, [k], "x", k, "y") for k in range(3)]
+    kind = "doc_id long, text string, _id long, _h long, _starts array<int>, _ends string, id long, h string"
+    docs = spark.createDataFrame(rows, kind)
+    got = {r.doc_id: r for r in repeated_bytes.without_repeats(docs).collect()}
+    assert got[0].text == rows[0][1] and got[2].text.split()[0] == "2" and passage not in got[2].text
+    for row in rows:
+        assert tuple(got[row[0]])[2:] == row[2:]
+    lines = line_dedup.without_repeats(docs.withColumn("lost", docs.h).withColumn("key", docs.h), min_docs=2)
+    assert [tuple(r)[2:] for r in lines.orderBy("doc_id").collect()] == [(*r[2:], "y", "y") for r in rows]

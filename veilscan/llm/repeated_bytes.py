@@ -21,11 +21,13 @@ Equality of anchors and runs is by 64-bit hashes; what the merge finds is compar
 
 Defined results: null counts as the empty text; texts shorter than ``LENGTH`` stay whole, and a text of any length is read in
 whole; a null id comes before all others; of rows with one id the one with the smaller text hash comes first, and rows equal in id
-and text are one document, each with its result; an empty table gives an empty table; further columns are not read.
+and text are one document, each with its result; ids are whole numbers, others an error; an empty table gives an empty
+table; further columns are not read, or carried along whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -543,11 +545,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with every text cut; a character goes if all its bytes do, so texts stay valid. Null texts stay null."""
-    found = spans(keyed(docs, id_col, text_col), length, gram).select(
-        F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")
-    )
-    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("_h")]
-    joined = docs.join(found, own, "left").drop("_id", "_h")
+    # names that no column of the caller has
+    fresh = {c: f"_{uuid.uuid4().hex}_{c}" for c in ("id", "h", "starts", "ends")}
+    found = spans(keyed(docs, id_col, text_col), length, gram).select(*(F.col(c).alias(name) for c, name in fresh.items()))
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col(fresh["id"]), F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col(fresh["h"])]
+    joined = docs.join(found, own, "left").drop(fresh["id"], fresh["h"])
 
     def rewrite(batch: pa.RecordBatch) -> pa.Array:
         data, offs = W.texts(batch.column(0))
@@ -569,7 +571,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         text = text.cast(pa.string())
         return pa.array(text.to_pylist(), pa.string(), mask=np.asarray(batch.column(0).is_null())) if batch.column(0).null_count else text
 
-    return rewritten(joined, text_col, ["_starts", "_ends"], rewrite)
+    return rewritten(joined, text_col, [fresh["starts"], fresh["ends"]], rewrite)
 
 
 def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
