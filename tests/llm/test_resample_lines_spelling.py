@@ -256,7 +256,7 @@ def test_cut_with_clashing_columns(spark):
     kind = "doc_id long, text string, _id long, _h long, _starts array<int>, _ends string, id long, h string"
     docs = spark.createDataFrame(rows, kind)
     got = {r.doc_id: r for r in repeated_bytes.without_repeats(docs).collect()}
-    assert got[0].text == rows[0][1] and got[2].text.split()[0] == "2" and passage not in got[2].text
+    assert got[0].text == rows[0][1] and got[2].text == "22"
     for row in rows:
         assert tuple(got[row[0]])[2:] == row[2:]
     lines = line_dedup.without_repeats(docs.withColumn("lost", docs.h).withColumn("key", docs.h), min_docs=2)
