@@ -143,16 +143,22 @@ def test_stream_takes_old_files(spark, tmp_path):
     import os
 
     def run():
-        files = stream_files(spark, str(tmp_path), (".txt",), "1 second")
+        files = stream_files(spark, str(tmp_path), (".txt",))
         return files.select("path", F.lit(0).cast("bigint").alias("chunk_no"), F.col("content").cast("string").alias("text"), F.lit("full").alias("locator"))
 
     out = shared_dir(spark)
-    (tmp_path / "new.txt").write_text("a@b.ru")
+    (tmp_path / "new.txt").write_text("anna@b.ru")
     start_scan(run(), f"{out}/spans", f"{out}/cp").awaitTermination()
     (tmp_path / "old.txt").write_text("c@d.ru")
     os.utime(tmp_path / "old.txt", (1_000_000_000, 1_000_000_000))
     start_scan(run(), f"{out}/spans", f"{out}/cp").awaitTermination()
     assert findings(scanned_so_far(spark, f"{out}/spans")).count() == 2
+    # a copy is not searched, however late it comes, and no value is written as it is
+    (tmp_path / "late.txt").write_text("anna@b.ru")
+    start_scan(run(), f"{out}/spans", f"{out}/cp").awaitTermination()
+    assert sorted(r["occurrences"] for r in findings(scanned_so_far(spark, f"{out}/spans")).collect()) == [1, 1]
+    stored = spark.read.parquet(f"{out}/spans")
+    assert "value" not in stored.columns and not any("anna@b.ru" in str(r) for r in stored.collect())
 
 
 def test_stream_equals_batch(spark, tree):
