@@ -162,3 +162,30 @@ def test_hidden_hashes_and_context(spark):
     rows = fnd.findings(fnd.scan_chunks(chunks, store_value_hash=False, masking="hash_only")).collect()
     assert len(rows) == 2 and {r["value_hash"] for r in rows} == {""}
     assert all(r["value_masked"].startswith("sha256:") for r in rows)
+
+
+def test_summary_and_profile_read_their_input_once(spark):
+    """One scan and one exchange for all report tables; sizes of files are counted once."""
+    from veilscan.operators import profile as prf
+    from veilscan.sources.sinks import summary
+
+    schema = "path string, extension string, category_counts map<string,bigint>, protection_level string, error string"
+    rows = [("/a", ".txt", {"fio": 2, "phone": 1}, "УЗ-4", None), ("/b", "", {}, None, "broken"), ("/c", ".txt", {"fio": 1}, "УЗ-4", None)]
+    reports = spark.createDataFrame(rows, schema)
+    got = {(r.metric, r.key): r.value for r in summary(reports).collect()}
+    assert got == {
+        ("total_files", ""): 3, ("files_with_pii", ""): 2, ("errors", ""): 1, ("protection_level_counts", "УЗ-4"): 2,
+        ("protection_level_counts", "Без ПДн"): 1, ("category_counts", "fio"): 3, ("category_counts", "phone"): 1,
+        ("format_counts", "txt"): 2, ("format_counts", "(без расш.)"): 1,
+    }
+    empty = {r.metric: r.value for r in summary(reports.limit(0)).collect()}
+    assert empty == {"total_files": 0, "files_with_pii": 0, "errors": 0}
+    plan = summary(reports)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Generate") == 1
+
+    files = spark.createDataFrame([("/r/a.txt", 5), ("/r/b.txt", 7), ("/r/c.csv", 100)], "path string, size long").withColumn("mtime", F.current_timestamp())
+    facts = prf.file_facts(files, "/r")
+    sizes = prf.size_table(facts)
+    assert prf.overview(facts, sizes).first() == prf.overview(facts).first()
+    assert "LogicalRDD" not in prf.by_extension(facts, sizes)._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[:3] for r in prf.by_extension(facts, sizes).collect()] == [(".txt", "Текстовые", 2), (".csv", "Таблицы", 1)]

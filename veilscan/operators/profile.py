@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from veilscan.functions import patterns
 from veilscan.functions.files import OTHER_GROUP, extension_label, format_group
 from veilscan.functions.regex import first_rule, java
+from veilscan.session import shared_dir
 
 MB = 1024**2
 
@@ -120,10 +121,17 @@ def _median(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.filter(F.col("stat").isin(list(_MEDIAN))).groupBy(*keys).agg(F.avg("value").alias("median"))
 
 
-def overview(files: DataFrame) -> DataFrame:
-    """One row of totals, mean, median, shares and maximum of the sizes."""
-    # one scan: totals and ranks both follow from the sizes and how often they occur
-    counts = files.groupBy(F.col("size").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def size_table(files: DataFrame) -> DataFrame:
+    """How often each size occurs per extension, written once: the files are read a single time for all that follows from it."""
+    counts = files.groupBy("ext", "format_group", F.col("size").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_dir(files.sparkSession)}/sizes"
+    counts.write.parquet(path)
+    return files.sparkSession.read.schema(counts.schema).parquet(path)
+
+
+def overview(files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """One row of totals, mean, median, shares and maximum of the sizes; ``sizes`` is the ``size_table`` of the files, if it is there."""
+    counts = (size_table(files) if sizes is None else sizes).groupBy("value").agg(F.sum("n").alias("n"))
     known = F.when(F.col("value").isNotNull(), F.col("n"))
     totals = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
@@ -154,9 +162,9 @@ def overview(files: DataFrame) -> DataFrame:
     )
 
 
-def by_extension(files: DataFrame) -> DataFrame:
+def by_extension(files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Count, megabytes, median and maximum per extension, most files first."""
-    sizes = files.groupBy("ext", "format_group", F.col("size").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = size_table(files) if sizes is None else sizes
     sums = sizes.groupBy("ext", "format_group").agg(
         F.sum("n").alias("files"),
         _mb(F.sum(F.col("value") * F.col("n"))).alias("size_mb"),

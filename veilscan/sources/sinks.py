@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.operators import reports as rpt
-from veilscan.schema import REPORTS
+from veilscan.schema import NO_LEVEL, REPORTS
 
 
 def write_report_csv(reports: DataFrame, path: str) -> None:
@@ -28,25 +28,24 @@ def write_report_json(reports: DataFrame, findings: DataFrame, path: str) -> Non
 
 
 def summary(reports: DataFrame) -> DataFrame:
-    """Long form of the summary: metric, key and value."""
-    totals = rpt.totals(reports).select(
-        F.explode(
-            F.create_map(
-                *[x for c in ("total_files", "files_with_pii", "errors") for x in (F.lit(c), F.col(c))]
-            )
-        ).alias("metric", "value")
+    """Long form of the summary: metric, key and value. All tables come from one scan and one exchange of partial sums."""
+
+    def entry(metric: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), key.alias("key"), value.cast("bigint").alias("value"))
+
+    none, one = F.lit(""), F.lit(1)
+    entries = F.array(
+        entry("total_files", none, one),
+        entry("files_with_pii", none, (F.size("category_counts") > 0).cast("int")),
+        entry("errors", none, (F.coalesce(F.col("error"), none) != "").cast("int")),
+        entry("protection_level_counts", F.coalesce("protection_level", F.lit(NO_LEVEL)), one),
+        entry("format_counts", rpt.format_name(F.col("extension")), one),
     )
-    parts = [totals.select("metric", F.lit("").alias("key"), "value")]
-    for metric, table, key, value in (
-        ("protection_level_counts", rpt.by_level(reports), "protection_level", "files"),
-        ("category_counts", rpt.by_category(reports), "category", "findings"),
-        ("format_counts", rpt.by_format(reports), "format", "files"),
-    ):
-        parts.append(table.select(F.lit(metric).alias("metric"), F.col(key).alias("key"), F.col(value).alias("value")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    found = F.transform(F.map_entries("category_counts"), lambda e: entry("category_counts", e["key"], e["value"]))
+    # a table without files still has its totals
+    zero = reports.sparkSession.createDataFrame([(m, "", 0) for m in ("total_files", "files_with_pii", "errors")], "metric string, key string, value bigint")
+    rows = reports.select(F.explode(F.concat(entries, found)).alias("e")).select("e.*").unionByName(zero)
+    return rows.groupBy("metric", "key").agg(F.sum("value").alias("value"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
