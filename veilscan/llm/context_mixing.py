@@ -184,7 +184,7 @@ def _runs(
         valid = mask.reshape(-1)
         cell = cell[valid].reshape(-1)
         np.add.at(seen.reshape(-1), cell, np.float32(1))
-        np.add.at(ones.reshape(-1), cell, bit[valid].reshape(-1).astype(np.float32))
+        np.add.at(ones.reshape(-1), cell[bit[valid].reshape(-1)], np.float32(1))
         start += run
 
 
@@ -193,8 +193,8 @@ def _squash(inputs: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.nda
     z = sum(x * w for x, w in zip(inputs, weights, strict=True))
     np.clip(z, -7.99, 7.99, out=z)
     step = (z + 8) * 2
-    low = step.astype(np.int32)
-    return z, 1 / (1 + np.exp(-z)), low, step - low
+    below = np.floor(step)
+    return z, 1 / (1 + np.exp(-z)), below.astype(np.int32), step - below
 
 
 def _mix_group(tables: Tables, classes: np.ndarray, ctx: list[np.ndarray], first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
