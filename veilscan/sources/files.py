@@ -7,6 +7,7 @@ that begin with a dot or an underscore, and lists symbolic links as what they po
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ from veilscan.schema import CHUNKS
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 UNSUPPORTED = "unsupported_format"
+# Chunks of a decoder that a task holds at a time.
+CHUNKS_HELD = 64
 
 
 def file_path() -> Column:
@@ -94,18 +97,24 @@ def decoded_chunks(files: DataFrame, decoders: dict[str, Decoder]) -> DataFrame:
     the failure stay and the last row carries ``error``. ``files`` holds path, kind and content.
     """
 
+    def chunks(path: str, kind: str, content: bytes) -> Iterator[tuple]:
+        n = 0
+        try:
+            for text, locator in decoders[kind](content):
+                yield path, n, text, locator, None
+                n += 1
+        except ValueError as exc:
+            yield path, n, None, "", f"extract_error: {exc}"
+        except Exception as exc:  # noqa: BLE001 - a broken file must not end the job
+            yield path, n, None, "", f"unhandled: {type(exc).__name__}: {exc}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, kind, content in zip(batch["path"], batch["kind"], batch["content"]):
-                rows = []
-                try:
-                    for n, (text, locator) in enumerate(decoders[kind](bytes(content))):
-                        rows.append((path, n, text, locator, None))
-                except ValueError as exc:
-                    rows.append((path, len(rows), None, "", f"extract_error: {exc}"))
-                except Exception as exc:  # noqa: BLE001 - a broken file must not end the job
-                    rows.append((path, len(rows), None, "", f"unhandled: {type(exc).__name__}: {exc}"))
-                yield pd.DataFrame(rows, columns=["path", "chunk_no", "text", "locator", "error"])
+                rows = chunks(path, kind, bytes(content))
+                # some chunks at a time: a file may have any number of them
+                while part := list(islice(rows, CHUNKS_HELD)):
+                    yield pd.DataFrame(part, columns=["path", "chunk_no", "text", "locator", "error"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNKS.fields)
     wanted = files.filter(F.col("kind").isin(list(decoders))).select("path", "kind", "content")

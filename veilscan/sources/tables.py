@@ -198,9 +198,17 @@ JSON_KEYS = 30
 
 
 def _largest(files: DataFrame, extensions: tuple[str, ...], n: int) -> DataFrame:
-    """The largest files of a format, with their whole content as text."""
-    picked = files.filter(suffix(F.col("path")).isin(list(extensions))).orderBy(F.desc("size"), "path").limit(n)
-    return picked.select("path", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
+    """The largest files of a format, with their whole content as text; no other content is read.
+
+    The paths and sizes of ``n`` files come to the driver; readers of whole files leave out other sizes before they open them.
+    """
+    wanted = suffix(F.col("path")).isin(list(extensions))
+    picked = files.select("path", "size").filter(wanted).orderBy(F.desc("size"), "path").limit(n).collect()
+    same_size = F.lit(False)
+    for size in sorted({r.size for r in picked}):
+        same_size = same_size | (F.col("size") == size)
+    found = files.filter(same_size & F.col("path").isin([r.path for r in picked]))
+    return found.select("path", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
 
 def csv_schemas(files: DataFrame, n: int = CSV_FILES) -> DataFrame:
