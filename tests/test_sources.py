@@ -139,6 +139,16 @@ def test_findings_do_not_depend_on_the_limit(spark, tree, monkeypatch):
     assert found(0) == whole
 
 
+def test_files_that_spark_does_not_list(spark, tmp_path):
+    """A caller's listing brings hidden and empty files into the reports."""
+    for name, text in ((".env", "mail=a@b.ru"), ("_draft.txt", "x"), ("empty.txt", ""), ("seen.txt", "a@b.ru")):
+        (tmp_path / name).write_text(text)
+    listing = spark.createDataFrame([(f"file:{p}", p.stat().st_size) for p in tmp_path.iterdir()], "path string, size long").withColumn("mtime", F.current_timestamp())
+    _, reports = scan_tree(spark, str(tmp_path), shared_dir(spark), listing=listing)
+    got = {r.path.rsplit("/", 1)[-1]: (r.error, r.size) for r in reports.collect()}
+    assert got == {".env": ("unsupported_format", 11), "_draft.txt": ("hidden_file", 1), "empty.txt": (None, 0), "seen.txt": (None, 6)}
+
+
 def test_stream_takes_old_files(spark, tmp_path):
     import os
 

@@ -36,7 +36,7 @@ from veilscan.sources.windows import text_windows
 BROADCAST_COPIES = 100_000
 # Kinds that this package reads itself; others need a decoder of the caller.
 READ_KINDS = ("text", "csv", "html", "json", "parquet")
-NO_READER, TOO_LARGE, COMPRESSED = "no_reader_for_format", "too_large_to_read_whole", "compressed_file"
+NO_READER, TOO_LARGE, COMPRESSED, NOT_LISTED = "no_reader_for_format", "too_large_to_read_whole", "compressed_file", "hidden_file"
 _COMPRESSED = (".gz", ".bz2", ".xz", ".z", ".br", ".zst")
 
 
@@ -51,6 +51,8 @@ class ScanOptions:
     drop_duplicates: bool = True
     whole_file_bytes: int = WHOLE_FILE_BYTES
     decoders: dict[str, Decoder] = field(default_factory=dict)
+    #: Path, size and mtime of all files, from a caller whose store can list what Spark's readers leave out.
+    listing: DataFrame | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
 
 
@@ -80,6 +82,12 @@ def manifest(spark: SparkSession, root: str, out: str, options: ScanOptions) ->
     hashes = large_hashes(spark, root, large, limit) if options.drop_duplicates else None
     large = large.join(hashes, "path", "left") if hashes is not None else large.withColumn("content_hash", F.lit(None).cast("string"))
     files = hashed.unionByName(large)
+    if options.listing is not None:
+        # names that begin with a dot or an underscore, and empty files: they are in the reports, though not searched
+        listed = describe(options.listing.select("path", "size", "mtime"), root)
+        unseen = listed.join(files.select("path"), "path", "left_anti").withColumn("content_hash", F.lit(None).cast("string"))
+        hidden = F.when(F.col("size") > 0, F.lit(NOT_LISTED))
+        files = files.unionByName(unseen.withColumn("error", F.coalesce("error", hidden)))
     files.withColumn("error", _unread(options)).write.mode("overwrite").parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
