@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from veilscan.llm import crc, importance_resampling, line_dedup, repeated_bytes, spelling_variants
+from veilscan.llm import context_mixing as cm
 from veilscan.llm import words as W
 
 SPACES = " \t\n\v\f\r"
@@ -261,3 +262,61 @@ def test_cut_with_clashing_columns(spark):
         assert tuple(got[row[0]])[2:] == row[2:]
     lines = line_dedup.without_repeats(docs.withColumn("lost", docs.h).withColumn("key", docs.h), min_docs=2)
     assert [tuple(r)[2:] for r in lines.orderBy("doc_id").collect()] == [(*r[2:], "y", "y") for r in rows]
+
+
+# --- 10 the mixer, one text and one bit after another
+
+
+def mixed_plainly(tables, hashes, ctx):
+    """Natural log of the probability of the class bits of one text, as the operator's description has it."""
+    bits = cm.BITS
+    weights, curve = (x.astype(float) for x in tables.first())
+    seen, ones, total, start = {}, {}, 0.0, 0
+    while start < len(hashes):
+        run = range(start, min(start + min(cm.RUN, max(1, start)), len(hashes)))
+        moves, steps, marks = [], [], []
+        for t in run:
+            klass = int(hashes[t]) >> (64 - bits)
+            for b in range(bits):
+                bit = klass >> (bits - 1 - b) & 1
+                node = (1 << b) | (klass >> (bits - b))
+                spread = (node * 40503) & 0xFFFFFFFF
+                where = [node]
+                for table in (1, 2):
+                    where.append(((int(ctx[table - 1][t]) & 0xFFFFFFFF) ^ spread ^ (spread >> 9)) & (cm.SLOTS[table] - 1))
+                where.append((int(ctx[2][t]) >> 58 << bits) | node)
+                chance = (ones.get(node, 0) + 2 * float(tables.chances[node])) / (seen.get(node, 0) + 2)
+                x = [float(tables.logits[k][w]) for k, w in enumerate(where)] + [math.log(chance / (1 - chance))]
+                z = min(7.99, max(-7.99, sum(a * w for a, w in zip(x, weights[:, b], strict=True))))
+                p = 1 / (1 + math.exp(-z))
+                low = math.floor((z + 8) * 2)
+                part = (z + 8) * 2 - low
+                final = 0.5 * (p + curve[b, low] * (1 - part) + curve[b, low + 1] * part)
+                total += math.log(final if bit else 1 - final)
+                moves.append((b, [cm.RATE * (bit - p) * a for a in x]))
+                at = low + (part > 0.5)
+                steps.append((b, at, (bit - curve[b, at]) / (cm.MAP_STRENGTH + 1)))
+                marks.append((node, bit))
+        for b, move in moves:
+            weights[:, b] += move
+        for b, at, step in steps:
+            curve[b, at] += step
+        for node, bit in marks:
+            seen[node], ones[node] = seen.get(node, 0) + 1, ones.get(node, 0) + bit
+        start = run.stop
+    return total
+
+
+def test_mixing_side_by_side_equals_one_after_another():
+    rng = np.random.default_rng(12)
+    logits, chances = cm.logits_of(*rng.integers(0, 30, (2, sum(cm.SLOTS))))
+    nothing = np.zeros(0, dtype=np.uint64)
+    tables = cm.Tables(logits, chances, np.ones(cm.NODES), nothing, nothing.view(np.int64), True, 0, 0)
+    words = [f"w{k}" * (k % 4 + 1) for k in range(40)]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (0, 1, 2, 7, 30, 75)]
+    offs = np.cumsum([0, *map(len, texts)])
+    hashes, at, short = cm.tokens(np.frombuffer(b"".join(texts), dtype=np.uint8), offs)
+    ctx = cm.contexts(hashes, at, short)
+    got = cm.mix_texts(tables, hashes, at, short)
+    want = [mixed_plainly(tables, hashes[a:b], [c[a:b] for c in ctx]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == pytest.approx(want, rel=2e-5)
