@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veilscan.llm import crc, importance_resampling, line_dedup, repeated_bytes, spelling_variants
+from veilscan.llm import crc, importance_resampling, license_scan, line_dedup, repeated_bytes, spelling_variants
 from veilscan.llm import context_mixing as cm
 from veilscan.llm import words as W
 
@@ -320,3 +320,54 @@ def test_mixing_side_by_side_equals_one_after_another():
     got = cm.mix_texts(tables, hashes, at, short)
     want = [mixed_plainly(tables, hashes[a:b], [c[a:b] for c in ctx]) for a, b in zip(at[:-1], at[1:], strict=True)]
     assert got == pytest.approx(want, rel=2e-5)
+
+
+# --- 1 licenses, against all places of all texts
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *row]
+        for k, y in enumerate(b):
+            row[k] = row[k + 1] + 1 if x == y else max(row[k - 1] if k else 0, row[k + 2])
+        row = [0, *row[: len(b)]]
+    return row[-1]
+
+
+def test_longest_common_subsequence():
+    assert _lcs("abcde", "xbdye") == 3 and _lcs("", "a") == 0 and _lcs("aab", "ab") == 2
+
+
+def test_licenses_at_every_place(make):
+    """Copies with some words replaced: every place where enough words agree is found, and what is found is no more than agrees."""
+    rng = np.random.default_rng(21)
+    templates = {k: re.findall("[^\\W_]+", t.lower()) for k, t in license_scan.TEMPLATES.items()}
+    rows, planted = [], []
+    for k in range(60):
+        words = [f"n{x}" for x in rng.integers(0, 500, int(rng.integers(0, 60)))]
+        for name in rng.choice(list(templates), int(rng.integers(0, 4)), replace=False):
+            copy = list(templates[name])
+            for at in rng.choice(len(copy), int(rng.integers(0, 1 + len(copy) // 12)), replace=False):
+                copy[at] = f"other{at}"
+            planted.append((k, str(name), len(words), copy))
+            words += [*copy, *(f"n{x}" for x in rng.integers(0, 500, 20))]
+        rows.append((k, " ".join(words)))
+    got = license_scan.scan(make(rows)).collect()
+    places = {}
+    for r in got:
+        text = rows[r.doc_id][1]
+        own = text[r.span_start : r.span_end].split()
+        assert r.coverage >= license_scan.COVERAGE and r.matched_words == round(r.coverage * len(templates[r.license]))
+        assert r.matched_words <= _lcs(templates[r.license], own)
+        first = len(text[: r.span_start].split())
+        places.setdefault((r.doc_id, r.license), []).append((first, first + len(own), r.matched_words))
+    for k, name, at, copy in planted:
+        same = sum(a == b for a, b in zip(copy, templates[name], strict=True))
+        over = [m for a, b, m in places.get((k, name), []) if a < at + len(copy) and b > at]
+        assert over and max(over) >= same, (k, name)
+    # nothing is found where no place of the text agrees well enough
+    for r in got:
+        words, own = rows[r.doc_id][1].split(), templates[r.license]
+        best = max(sum(a == b for a, b in zip(words[p:], own)) for p in range(len(words)))
+        assert best >= 0.5 * license_scan.COVERAGE * len(own)
