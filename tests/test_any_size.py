@@ -63,22 +63,22 @@ def delimited_files(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("size", [300, 65536, 128 * 1024 * 1024])
+@pytest.mark.parametrize("size", [1000, 65536, 128 * 1024 * 1024])
 def test_delimited(spark, delimited_files, split_size, size, monkeypatch):
-    if size == 300:
+    if size == 1000:
         monkeypatch.setattr(delimited, "BROADCAST_SPLITS", 0)
     whole = describe(binary_files(spark, delimited_files), delimited_files)
-    keep = ~F.col("path").contains("long.csv") if size == 300 else F.lit(True)
+    keep = ~F.col("path").contains("long.csv") if size == 1000 else F.lit(True)
     want = {(r.path, r.chunk_no): (r.locator, r.text) for r in tab.csv_chunks(whole).where(keep).collect()}
     split_size(size)
-    got = delimited.large_csv_chunks(spark, delimited_files, "f*" if size == 300 else "*", -1).collect()
+    got = delimited.large_csv_chunks(spark, delimited_files, "f*" if size == 1000 else "*", -1).collect()
     got = {(r.path, r.chunk_no): (r.locator, r.text) for r in got}
-    if size == 300:
+    if size == 1000:
         want = {k: v for k, v in want.items() if "/f" in k[0]}
     assert got.keys() == want.keys()
     for key, value in want.items():
         assert got[key] == value, key
-    if size != 300:
+    if size != 1000:
         assert [n for p, n in sorted(got) if p.endswith("long.csv")] == [0, 1, 2]
 
 
@@ -143,7 +143,7 @@ def _found(chunks):
     return sorted(map(tuple, rows)), sorted(map(tuple, sizes))
 
 
-@pytest.mark.parametrize("size, core", [(4096, 8192), (32_768, 4096), (128 * 1024 * 1024, 6000), (128 * 1024 * 1024, None)])
+@pytest.mark.parametrize("size, core", [(4096, 8192), (128 * 1024 * 1024, 6000), (128 * 1024 * 1024, None)])
 def test_text(spark, text_files, split_size, size, core):
     whole = docs.text_chunks(describe(binary_files(spark, text_files), text_files))
     want = _found(whole)

