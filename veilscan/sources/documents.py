@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.html import html_text
 from veilscan.sources.files import WHOLE_FILE_BYTES, file_path
 
+#: Bytes of text that a task reads at least, where splits are smaller.
+TASK_BYTES = 4 << 20
 _HIGH_BYTES = bytes(range(128, 256))
 _AS_LATIN = _HIGH_BYTES.decode("latin-1")
 _AS_CYRILLIC = _HIGH_BYTES.decode("cp1251", errors="replace")
@@ -63,6 +67,26 @@ def lines(spark: SparkSession, root: str, glob: str, above: int = -1, line_end:
     )
 
 
+def _bytes(setting: str) -> int:
+    """A size as Spark's settings write it."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Small splits gathered without a shuffle, so that a task has ``TASK_BYTES`` of them and not one; each stays whole and as it is.
+
+    For readers that tell the splits of a task apart. Splits of that size and above keep a task each.
+    """
+    spark = rows.sparkSession
+    per_task = TASK_BYTES // _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if per_task < 2:
+        return rows
+    splits = rows.rdd.getNumPartitions()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-splits // per_task))
+    return rows.coalesce(tasks) if tasks < splits else rows
+
+
 def text_chunks(files: DataFrame, max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Plain text files, each as one chunk; ``files`` holds path, size, kind and content."""
     wanted = files.filter((F.col("kind") == "text") & (F.col("size") <= max_bytes))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.sources.documents import lines
+from veilscan.sources.documents import lines, packed
 
 #: Sizes that are told to the reader one by one; beyond that all large files are read.
 MOST_SIZES = 10_000
@@ -47,7 +47,7 @@ def large_hashes(spark: SparkSession, root: str, files: DataFrame, min_bytes: in
     if len(sizes) <= MOST_SIZES:
         # the reader leaves out files by their size before it opens them
         read = read.where(F.col("size").isin(sizes))
-    parts = read.select("path", "block_start", F.col("value").cast("binary").alias("value")).mapInArrow(_digests, "path string, block_start long, digest string")
+    parts = packed(read).select("path", "block_start", F.col("value").cast("binary").alias("value")).mapInArrow(_digests, "path string, block_start long, digest string")
     ordered = F.array_sort(F.collect_list(F.struct("block_start", "digest")))
     whole = parts.groupBy("path").agg(F.array_join(F.transform(ordered, lambda p: p["digest"]), "").alias("all"))
     # the last line end is no part of what the reader tells, so a file and the same one without it differ by size only

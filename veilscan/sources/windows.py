@@ -25,7 +25,7 @@ from veilscan.functions import checksums as check
 from veilscan.functions.regex import detect_regex
 from veilscan.operators.detect import MARKER
 from veilscan.session import shared_dir
-from veilscan.sources.documents import decode_as, lines
+from veilscan.sources.documents import TASK_BYTES, decode_as, lines, packed
 
 #: Bytes of text that a window carries on either side, and bytes that it owns (at least four halos).
 HALO, CORE = 1 << 15, 1 << 22
@@ -236,13 +236,17 @@ def text_windows(spark: SparkSession, root: str, glob: str, min_bytes: int, halo
     if core < 4 * halo:
         raise ValueError("a core has at least four halos")
     out = shared_dir(spark)
-    rows = lines(spark, root, glob, min_bytes, "\n")
+    rows = packed(lines(spark, root, glob, min_bytes, "\n"))
     file_facts(rows).write.parquet(f"{out}/facts")
     facts = spark.read.parquet(f"{out}/facts")
     read = rows.select("path", "block_start", F.col("size"), F.col("value").cast("binary").alias("value"))
     read.mapInArrow(_edges(halo), _EDGE).write.parquet(f"{out}/edges")
-    parts = _runs(spark.read.parquet(f"{out}/edges")).repartition("path", "run").sortWithinPartitions("path", "run", "block_start")
-    windows = read.mapInArrow(_inside(halo, core), _PART).unionByName(parts.mapInArrow(_across(halo, core), _PART))
+    edges = spark.read.parquet(f"{out}/edges")
+    parts = _runs(edges).repartition("path", "run").sortWithinPartitions("path", "run", "block_start")
+    # splits of less than four halos make one run of a whole file, so its windows are dealt out again
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-edges.count() * 4 * halo // TASK_BYTES))
+    across = parts.mapInArrow(_across(halo, core), _PART).repartition(tasks)
+    windows = read.mapInArrow(_inside(halo, core), _PART).unionByName(across)
     few = facts.count() <= BROADCAST_FILES
     told = windows.join(F.broadcast(facts) if few else facts, "path", "left")
     utf8 = F.coalesce("utf8", F.lit(True))
