@@ -3,7 +3,8 @@
 A file is read in splits. Each window owns a part of the text, its core, and carries up to ``HALO`` bytes of the text on either side; a
 match belongs to the window in whose core it starts. Windows inside a split are cut as its lines stream by. The text around the
 end of a split, ``2 * HALO`` bytes on either side, is written on the way as a small table, one row a split; windows over
-that end are cut from it. Only those rows meet by file; the text itself is never shuffled.
+that end are cut from it. Only those rows meet by file; windows cut from
+them are dealt out again for the search, and no other text is shuffled.
 
 What counts for a whole file is found once and told to its windows: whether all of it is UTF-8, whether it holds marked values, and
 the residues of its BIKs (ten values stand for any number of them). Only files with something to tell are joined.
