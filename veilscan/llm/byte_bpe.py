@@ -185,7 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         codec = Codec(entries, pattern)
         for batch in batches:
             data, offs = W.texts(batch.column(1))
-            for first, end, part, cuts in W.slices(data, offs, 1 << 22):
+            for first, end, part, cuts in W.slices(data, offs, 2 * W.SMALL):
                 ids, at = codec.encode(part, cuts)
                 raw, starts = codec.decode(ids)
                 columns = [

@@ -199,7 +199,7 @@ def _keeper(texts: pa.Array, coverage: float, least: int):
         def kept(column: pa.Array) -> pa.Array:
             data, offs = W.texts(column)
             out = np.ones(len(column), dtype=bool)
-            for first, _, part, cuts in W.slices(data, offs):
+            for first, _, part, cuts in W.slices(data, offs, W.SMALL):
                 out[[first + found[0] for found in find(seeds, part, cuts, coverage)]] = False
             return pa.array(out)
 
@@ -216,7 +216,7 @@ def _runner(texts: pa.Array, item_ids: pa.Array, coverage: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = W.texts(batch.column(1))
-            for first, _, part, cuts in W.slices(data, offs):
+            for first, _, part, cuts in W.slices(data, offs, W.SMALL):
                 rows = []
                 for doc, item, share, laid, starts, ends in find(seeds, part, cuts, coverage):
                     body = part[cuts[doc] : cuts[doc + 1]]

@@ -76,7 +76,7 @@ def token_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarra
 def _pieced(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """``token_sets`` of a large slice, a small part of it in memory at a time."""
     tokens, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
-    for _, _, part, cuts in W.slices(data, offs):
+    for _, _, part, cuts in W.slices(data, offs, W.SMALL):
         got, at = token_sets(part, cuts, size)
         tokens.append(got)
         counts.append(np.diff(at))
@@ -215,7 +215,7 @@ def _tokens(docs: DataFrame, size: int, hashes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = W.texts(batch.column(1))
-            for first, end, part, cuts in W.slices(data, offs):
+            for first, end, part, cuts in W.slices(data, offs, W.SMALL):
                 got, at = token_sets(part, cuts, size)
                 full = np.flatnonzero(np.diff(at) > 0)
                 mins = np.stack([np.minimum.reduceat(W.mix(got + np.uint64(k + 11)), at[full]) for k in range(hashes)], axis=1) if len(full) else got

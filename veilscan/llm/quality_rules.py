@@ -120,7 +120,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = W.texts(batch.column(1))
-            for first, end, part, cuts in W.slices(data, offs):
+            for first, end, part, cuts in W.slices(data, offs, W.SMALL):
                 got = measure(part, cuts, ns)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], *(pa.array(got[k], pa.int64()) for k in names)], ["id", *names])
 
@@ -152,7 +152,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text", limits: Mapping[int, floa
         def kept(column: pa.Array) -> pa.Array:
             data, offs = W.texts(column)
             out = [np.zeros(0, dtype=bool)]
-            for _, _, part, cuts in W.slices(data, offs):
+            for _, _, part, cuts in W.slices(data, offs, W.SMALL):
                 got = measure(part, cuts, ns)
                 some = np.maximum(got["word_chars"], 1)
                 good = (got["n_words"] >= MIN_WORDS) & (100 * got[f"words_{REPEAT_WORDS}"] <= REPEAT_PERCENT * got["n_words"])

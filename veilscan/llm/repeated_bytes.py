@@ -163,7 +163,7 @@ def _scan(length: int, gram: int, parts: int):
         rank = np.full(len(ids), -1, dtype=np.int64)
         rank[kept] = np.arange(len(kept))
         found = []
-        for a, b, part, cuts in W.slices(data, offs):
+        for a, b, part, cuts in W.slices(data, offs, W.SMALL):
             got = runs(part, cuts, length, gram)
             got["doc"] = rank[got["doc"] + a]
             found.append(got)
