@@ -49,8 +49,8 @@ RUN = 8
 TIER = 1 << 20
 #: Words whose counts a task holds before it hands them over.
 HELD = 1 << 19
-#: Texts mixed side by side.
-WIDE = 512
+#: Texts mixed side by side, and bytes of texts that are put side by side by size: the more of them, the fewer runs.
+WIDE, MIXED = 512, 1 << 23
 #: Weights of the five predictions before any text is seen, step of their adaptation, strength of the map's values.
 WEIGHTS = (0.15, 0.15, 0.1, 0.45, 0.35)
 RATE, MAP_STRENGTH = 0.002, 30.0
@@ -70,6 +70,13 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes, firsts + np.arange(len(firsts)), short
 
 
+def _pieced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of a large slice, a small part of it in memory at a time."""
+    found = [tokens(part, where) for _, _, part, where in W.slices(data, offs, W.SMALL)]
+    sizes = np.concatenate([np.zeros(1, dtype=np.int64), *(np.diff(at) for _, at, _ in found)])
+    return np.concatenate([h for h, _, _ in found]), np.cumsum(sizes), np.concatenate([s for _, _, s in found])
+
+
 def contexts(hashes: np.ndarray, at: np.ndarray, short: np.ndarray) -> list[np.ndarray]:
     """A 64-bit value per token for each of the three contexts; the start of a text is a context of its own."""
     place = np.arange(len(hashes))
@@ -82,20 +89,23 @@ def contexts(hashes: np.ndarray, at: np.ndarray, short: np.ndarray) -> list[np.n
     return [W.mix(before + np.uint64(11)), W.mix(before * np.uint64(3) + W.mix(twice)), W.mix(word + np.uint64(13))]
 
 
-def slots(classes: np.ndarray, ctx: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Node of each bit of each token (tokens x BITS) and the slots of the four tables."""
-    bits = np.arange(BITS)
-    nodes = (np.int32(1) << bits.astype(np.int32)) | (classes[:, None].astype(np.int32) >> (BITS - bits).astype(np.int32))
+def slots(classes: np.ndarray, ctx: list[np.ndarray]) -> list[np.ndarray]:
+    """Slots of the four tables for each bit of each token, the bits along the last axis but one; those of the first are the nodes."""
+    down = np.arange(BITS, 0, -1, dtype=np.int32)[:, None]
+    classes, ctx = classes[..., None, :], [c[..., None, :] for c in ctx]
+    nodes = (np.int32(NODES) >> down) | (classes >> down)
     spread = nodes * np.int32(40503)
+    spread ^= spread >> 9
     out = [nodes]
     for table in (1, 2):
-        out.append((ctx[table - 1].astype(np.uint32).view(np.int32)[:, None] ^ spread ^ (spread >> 9)) & np.int32(SLOTS[table] - 1))
-    out.append(((ctx[2] >> np.uint64(58)).astype(np.int32) << BITS)[:, None] | nodes)
-    return nodes, out
+        out.append((ctx[table - 1].astype(np.uint32).view(np.int32) ^ spread) & np.int32(SLOTS[table] - 1))
+    out.append(((ctx[2] >> np.uint64(58)).astype(np.int32) << BITS) | nodes)
+    return out
 
 
 def class_bits(classes: np.ndarray) -> np.ndarray:
-    return ((classes[:, None] >> np.arange(BITS - 1, -1, -1)) & 1).astype(bool)
+    """The bits of each class, along the last axis but one."""
+    return ((classes[..., None, :] >> np.arange(BITS - 1, -1, -1, dtype=np.int32)[:, None]) & np.int32(1)).astype(bool)
 
 
 @dataclass
@@ -159,32 +169,31 @@ def _runs(
 ) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
     """Texts side by side, ascending by size, some words at a time: the first text that goes on, the five logits, the bits, which are words.
 
-    The texts' own counts are adapted between runs.
+    The texts' own counts are adapted between runs. Axes are words, bits, texts, so that steps go over neighbouring texts.
     """
     texts = len(first)
-    seen = np.zeros((texts, NODES), dtype=np.float32)
-    ones = np.zeros((texts, NODES), dtype=np.float32)
+    # bits seen in the upper half, ones among them in the lower half
+    seen = np.zeros(NODES * texts, dtype=np.int64)
     start, longest = 0, int(sizes.max(initial=0))
     while start < longest:
         run = min(RUN, max(1, start))
         live = int(np.searchsorted(sizes, start, "right"))
-        place = first[live:, None] + np.minimum(start + np.arange(run), sizes[live:, None] - 1)
-        mask = start + np.arange(run) < sizes[live:, None]
-        place = place.reshape(-1)
+        words = start + np.arange(run)[:, None]
+        place = first[live:] + np.minimum(words, sizes[live:] - 1)
+        mask = words < sizes[live:]
         own = classes[place]
-        nodes, where = slots(own, [c[place] for c in ctx])
+        where = slots(own, [c[place] for c in ctx])
         bit = class_bits(own)
-        row = np.repeat(np.arange(live, texts), run)
-        cell = row[:, None] * NODES + nodes
-        chance = (ones.reshape(-1)[cell] + 2 * tables.chances[nodes]) / (seen.reshape(-1)[cell] + 2)
-        inputs = [t[w] for t, w in zip(tables.logits, where, strict=True)]
+        cell = where[0] * np.int64(texts) + np.arange(live, texts)
+        both = seen.take(cell)
+        chance = ((both & 0xFFFFFFFF).astype(np.float32) + (2 * tables.chances).take(where[0])) / ((both >> 32).astype(np.float32) + 2)
+        inputs = [t.take(w) for t, w in zip(tables.logits, where, strict=True)]
         inputs.append(np.log(chance / (1 - chance)))
-        shape = (texts - live, run, BITS)
-        yield live, [x.reshape(shape) for x in inputs], bit.reshape(shape), mask
-        valid = mask.reshape(-1)
-        cell = cell[valid].reshape(-1)
-        np.add.at(seen.reshape(-1), cell, np.float32(1))
-        np.add.at(ones.reshape(-1), cell[bit[valid].reshape(-1)], np.float32(1))
+        yield live, inputs, bit, mask
+        step = bit.astype(np.int64)
+        step += 1 << 32
+        step *= mask[:, None, :]
+        np.add.at(seen, cell.reshape(-1), step.reshape(-1))
         start += run
 
 
@@ -202,23 +211,26 @@ def _mix_group(tables: Tables, classes: np.ndarray, ctx: list[np.ndarray], first
     texts = len(first)
     total = np.zeros(texts)
     weights, curve = tables.first()
-    weights = np.repeat(weights[:, None, :], texts, axis=1)
-    flat = np.tile(curve.reshape(-1), texts)
+    weights = np.repeat(weights[:, :, None], texts, axis=2)
+    # points of the map, bits, texts
+    flat = np.repeat(curve.T.reshape(-1), texts)
+    point = BITS * texts
     for live, inputs, bit, mask in _runs(tables, classes, ctx, first, sizes):
-        _, p, low, part = _squash(inputs, [w[live:, None, :] for w in weights])
+        _, p, low, part = _squash(inputs, [w[:, live:] for w in weights])
         # the adaptive map: what bits turned out to be at such a probability
-        entry = (np.arange(live, texts)[:, None, None] * BITS + np.arange(BITS)) * len(_GRID) + low
-        mapped = flat[entry] * (1 - part) + flat[entry + 1] * part
+        entry = low * np.int64(point) + (np.arange(BITS)[:, None] * texts + np.arange(live, texts))
+        mapped = flat.take(entry) * (1 - part) + flat.take(entry + point) * part
         final = 0.5 * (p + mapped)
         logs = np.log(np.where(bit, final, 1 - final))
-        total[live:] += (logs.sum(axis=2, dtype=np.float64) * mask).sum(axis=1)
+        total[live:] += (logs.sum(axis=1, dtype=np.float64) * mask).sum(axis=0)
         # adapt
-        miss = (bit - p) * mask[:, :, None]
+        miss = (bit - p) * mask[:, None, :]
         for x, w in zip(inputs, weights, strict=True):
-            w[live:] += RATE * (miss * x).sum(axis=1)
-        near = (entry + (part > 0.5))[mask].reshape(-1)
+            w[:, live:] += RATE * (miss * x).sum(axis=0)
+        entry += point * (part > 0.5)
         # an entry that several bits of a run meet moves by the sum of their steps, at most RUN / (MAP_STRENGTH + 1) of the way
-        np.add.at(flat, near, ((bit[mask].reshape(-1) - flat[near]) / (MAP_STRENGTH + 1)).astype(np.float32))
+        move = ((bit - flat.take(entry)) / (MAP_STRENGTH + 1)).astype(np.float32) * mask[:, None, :]
+        np.add.at(flat, entry.reshape(-1), move.reshape(-1))
     return total
 
 
@@ -255,13 +267,11 @@ def _gather(docs: DataFrame) -> DataFrame:
                     if len(held[0][0]) > HELD:
                         yield words(held.pop())
                 classes = (hashes >> np.uint64(64 - BITS)).astype(np.int32)
-                _, found = slots(classes, contexts(hashes, at, short))
-                bit = class_bits(classes).reshape(-1)
+                found = slots(classes, contexts(hashes, at, short))
+                bit = class_bits(classes)
                 for k, slot in enumerate(found):
-                    slot = slot.reshape(-1)
-                    both, ones = np.bincount(slot, minlength=SLOTS[k]), np.bincount(slot[bit], minlength=SLOTS[k])
-                    cells[0, cuts[k] : cuts[k + 1]] += both - ones
-                    cells[1, cuts[k] : cuts[k + 1]] += ones
+                    # zeros and ones of a slot next to each other
+                    cells[:, cuts[k] : cuts[k + 1]] += np.bincount((slot << 1 | bit).reshape(-1), minlength=2 * SLOTS[k]).reshape(-1, 2).T
         if held:
             yield words(_merge(held))
         for block in range(0, size, _CELLS):
@@ -305,16 +315,16 @@ def _lessons(docs: DataFrame, tables: Tables) -> np.ndarray:
         weights, _ = tables.first()
         for batch in batches:
             data, offs = W.texts(batch.column(0))
-            for _, _, part, where in W.slices(data, offs):
-                for _, *group in _groups(*tokens(part, where)):
+            for _, _, part, where in W.slices(data, offs, MIXED):
+                for _, *group in _groups(*_pieced(part, where)):
                     for _, inputs, bit, mask in _runs(tables, *group):
-                        _, p, low, way = _squash(inputs, [w[None, None, :] for w in weights])
-                        x = np.stack(inputs)[:, mask].astype(np.float64)
-                        bit, p = bit[mask], p[mask].astype(np.float64)
-                        slope += np.einsum("ikb,kb->bi", x, bit - p)
-                        flat = np.ascontiguousarray(x.transpose(2, 0, 1))
-                        bend += (flat * (p * (1 - p)).T[:, None, :]) @ flat.transpose(0, 2, 1)
-                        near = (np.arange(BITS) * grid + (low + (way > 0.5))[mask]).reshape(-1)
+                        _, p, low, way = _squash(inputs, [w[:, None] for w in weights])
+                        # of each bit, the words of all texts one after another
+                        flat = np.stack(inputs).transpose(2, 0, 1, 3)[:, :, mask].astype(np.float64)
+                        bit, p = bit.transpose(1, 0, 2)[:, mask], p.transpose(1, 0, 2)[:, mask].astype(np.float64)
+                        slope += np.einsum("bik,bk->bi", flat, bit - p)
+                        bend += (flat * (p * (1 - p))[:, None, :]) @ flat.transpose(0, 2, 1)
+                        near = (np.arange(BITS)[:, None] * grid + (low + (way > 0.5)).transpose(1, 0, 2)[:, mask]).reshape(-1)
                         points[0] += np.bincount(near, minlength=BITS * grid)
                         points[1] += np.bincount(near, weights=bit.reshape(-1), minlength=BITS * grid)
         sums = np.concatenate([slope.reshape(-1), bend.reshape(-1), points.reshape(-1)])
@@ -384,8 +394,8 @@ def _score_tasks(docs: DataFrame, tables: Tables) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offs = W.texts(batch.column(1))
-            for first, end, part, where in W.slices(data, offs):
-                hashes, at, short = tokens(part, where)
+            for first, end, part, where in W.slices(data, offs, MIXED):
+                hashes, at, short = _pieced(part, where)
                 n = end - first
                 bits = mix_texts(tables, hashes, at, short) / np.log(10)
                 own = np.repeat(np.arange(n), np.diff(at))
