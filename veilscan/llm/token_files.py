@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from array import array
 from bisect import bisect_left
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,7 @@ class Words:
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in own]
         self._mapped = {b: chr(256 + k) for k, b in enumerate(rest)}
+        self._table = "".join(self._mapped.get(b, chr(b)) for b in range(256))
         probes = ["Word,", "don't", "a1b22", "\u00c9t\u00e9...", "stra\u00dfe!!", "x\u00b2", "<b>", "'LL"]
         self._fast = all(self._pieces(w) == self._whole([w])[0] for w in probes)
 
@@ -89,12 +91,12 @@ class Words:
         if len(self._ids) > REMEMBERED:
             self._ids.clear()
             self._parts.clear()
-        known, model, mapped, slow = self._ids, self._model, self._mapped, []
+        known, model, table, slow = self._ids, self._model, self._table, []
         for unit, word in zip(units, whole, strict=True):
             if unit in known:
                 continue
             if not word:
-                text = unit.decode("ascii") if unit.isascii() else unit.decode("latin-1").translate(mapped)
+                text = unit.decode("ascii") if unit.isascii() else charmap_decode(unit, "strict", table)[0]
                 known[unit] = array("I", [t.id for t in model(text)]).tobytes()
             else:
                 text = unit.decode()
@@ -162,10 +164,16 @@ def encode_slice(words: Words, data: np.ndarray, offs: np.ndarray, end: int) ->
     # the end id stands behind the last unit of each text
     first_units = np.append(begins, len(at))[firsts]
     codes = np.insert(codes, first_units[1:], len(coded) - 1)
-    ids = np.frombuffer(b"".join([coded[c] for c in codes.tolist()]), dtype="<u4")
+    # ids of the distinct units one after another, from where they are taken for every unit
+    known = np.frombuffer(b"".join(coded), dtype="<u4")
+    sizes = np.array([len(c) >> 2 for c in coded], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    counts = sizes[codes]
     run = np.zeros(len(codes) + 1, dtype=np.int64)
-    np.cumsum(np.array([len(c) >> 2 for c in coded], dtype=np.int64)[codes], out=run[1:])
-    return ids, run[first_units + np.arange(len(firsts))]
+    np.cumsum(counts, out=run[1:])
+    place = np.repeat(begins[codes] - run[:-1], counts)
+    place += np.arange(len(place))
+    return known.take(place), run[first_units + np.arange(len(firsts))]
 
 
 def tokenise(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
