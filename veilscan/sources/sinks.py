@@ -24,7 +24,8 @@ def write_report_json(reports: DataFrame, findings: DataFrame, path: str) -> Non
     """
     reports.write.mode("overwrite").json(f"{path}/files")
     findings.write.mode("overwrite").json(f"{path}/findings")
-    summary(reports).write.mode("overwrite").json(f"{path}/summary")
+    # from the saved reports, so that nothing behind them is made twice
+    summary(read_reports(reports.sparkSession, path)).write.mode("overwrite").json(f"{path}/summary")
 
 
 def summary(reports: DataFrame) -> DataFrame:
