@@ -92,8 +92,11 @@ def manifest(spark: SparkSession, root: str, out: str, options: ScanOptions) ->
     return spark.read.parquet(f"{out}/manifest")
 
 
-def tree_chunks(spark: SparkSession, root: str, options: ScanOptions, out: str | None = None) -> DataFrame:
-    """Chunks of all supported files below a folder. Each format goes through its own reader; small tables go to ``out``."""
+def tree_chunks(spark: SparkSession, root: str, options: ScanOptions, out: str | None = None, left_out: DataFrame | None = None) -> DataFrame:
+    """Chunks of all supported files below a folder. Each format goes through its own reader; small tables go to ``out``.
+
+    Large texts whose ``path`` is in the small table ``left_out`` are not cut into windows; chunks of other kinds are left to the caller.
+    """
     limit, out = options.whole_file_bytes, out or shared_dir(spark)
 
     def files_of(*kinds: str) -> DataFrame:
@@ -105,7 +108,7 @@ def tree_chunks(spark: SparkSession, root: str, options: ScanOptions, out: str |
     csv_glob = file_name_glob(extensions_of("csv"))
     parts = [
         text_chunks(files_of("text"), limit),
-        text_windows(spark, root, text_glob, limit),
+        text_windows(spark, root, text_glob, limit, left_out=left_out),
         # documents of other kinds may be web pages in truth
         html_chunks(files_of("html", *SNIFFED_KINDS)),
         csv_chunks(files_of("csv"), limit),
@@ -137,9 +140,9 @@ def scan_tree(spark: SparkSession, root: str, out: str | None = None, **settings
     out = out or shared_dir(spark)
     listed = manifest(spark, root, out, options)
     files = keep_first(listed) if options.drop_duplicates else listed
-    chunks = tree_chunks(spark, root, options, out).filter(not_ignored(relative_path(F.col("path"), root)))
     copies = duplicate_map(listed).select("path") if options.drop_duplicates else None
     few = copies is not None and copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    chunks = tree_chunks(spark, root, options, out, copies if few else None).filter(not_ignored(relative_path(F.col("path"), root)))
     if few:
         chunks = chunks.join(F.broadcast(copies), "path", "left_anti")
     spans = scan_chunks(

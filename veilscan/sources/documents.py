@@ -60,6 +60,7 @@ def lines(spark: SparkSession, root: str, glob: str, above: int = -1, line_end:
         .select(
             file_path().alias("path"),
             F.col("_metadata.file_block_start").alias("block_start"),
+            (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length")).alias("block_end"),
             line_number().alias("line_no"),
             F.col("_metadata.file_size").alias("size"),
             "value",

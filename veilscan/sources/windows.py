@@ -1,6 +1,6 @@
 """Plain text files of any size: windows that overlap, so that findings don't depend on where splits end.
 
-A file is read in splits. Each window owns a part of the text, its core, and carries up to ``HALO`` bytes of the text on either side; a
+A file is read in splits; small ones that follow each other in a task count as one. Each window owns a part of the text, its core, and carries up to ``HALO`` bytes of the text on either side; a
 match belongs to the window in whose core it starts. Windows inside a split are cut as its lines stream by. The text around the
 end of a split, ``2 * HALO`` bytes on either side, is written on the way as a small table, one row a split; windows over
 that end are cut from it. Only those rows meet by file; windows cut from
@@ -29,7 +29,7 @@ from veilscan.session import shared_dir
 from veilscan.sources.documents import TASK_BYTES, decode_as, lines, packed
 
 #: Bytes of text that a window carries on either side, and bytes that it owns (at least four halos).
-HALO, CORE = 1 << 15, 1 << 22
+HALO, CORE = 1 << 15, 1 << 19
 #: Files with something to tell that are broadcast, about 100 bytes each.
 BROADCAST_FILES = 100_000
 _PART = "path string, chunk_no long, left binary, core binary, right binary"
@@ -94,19 +94,24 @@ class _Windows:
 
 
 def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int] | None, bytes]]:
-    """The text of each split piece by piece, with its path, start and file size; None at the end of a split."""
-    now = None
+    """The text of each split piece by piece, with its path, start and file size; None at the end of a split.
+
+    A split that begins where the one before it in the task ended goes on with that, so that only the ends of the whole row of splits
+    have to meet those of other tasks.
+    """
+    now, last, until = None, None, None
     for batch in batches:
-        path, start, size = (batch.column(c).to_pylist() for c in ("path", "block_start", "size"))
+        path, start, end, size = (batch.column(c).to_pylist() for c in ("path", "block_start", "block_end", "size"))
         values = batch.column("value").to_pylist()
         a = 0
         for b in range(1, len(values) + 1):
             if b == len(values) or start[b] != start[a] or path[b] != path[a]:
-                key = (path[a], start[a], size[a])
-                if now is not None and now != key:
-                    yield None, b""
-                now = key
-                yield key, b"\n".join(values[a:b]) + b"\n"
+                if now is None or path[a] != now[0] or start[a] not in (last, until):
+                    if now is not None:
+                        yield None, b""
+                    now = (path[a], start[a], size[a])
+                last, until = start[a], end[a]
+                yield now, b"\n".join(values[a:b]) + b"\n"
                 a = b
     if now is not None:
         yield None, b""
@@ -226,8 +231,10 @@ def file_facts(rows: DataFrame) -> DataFrame:
     return facts.where("not utf8 or file_marked or bits > 0").select("path", "utf8", "file_marked", residues.alias("file_residues"))
 
 
-def text_windows(spark: SparkSession, root: str, glob: str, min_bytes: int, halo: int | None = None, core: int | None = None) -> DataFrame:
-    """Plain text files above ``min_bytes`` as windows.
+def text_windows(
+    spark: SparkSession, root: str, glob: str, min_bytes: int, halo: int | None = None, core: int | None = None, left_out: DataFrame | None = None
+) -> DataFrame:
+    """Plain text files above ``min_bytes`` as windows, without those whose ``path`` is in the small table ``left_out``.
 
     Columns: ``path``, ``chunk_no`` (in the order of the text), ``text`` with its halos, ``locator``, ``own_from`` and ``own_to`` (the
     core, in characters), ``file_marked`` and ``file_residues``. Texts around the ends of splits, and facts, are written to the
@@ -238,11 +245,14 @@ def text_windows(spark: SparkSession, root: str, glob: str, min_bytes: int, halo
         raise ValueError("a core has at least four halos")
     out = shared_dir(spark)
     rows = packed(lines(spark, root, glob, min_bytes, "\n"))
+    if left_out is not None:
+        rows = rows.join(F.broadcast(left_out), "path", "left_anti")
     file_facts(rows).write.parquet(f"{out}/facts")
     facts = spark.read.parquet(f"{out}/facts")
-    read = rows.select("path", "block_start", F.col("size"), F.col("value").cast("binary").alias("value"))
+    read = rows.select("path", "block_start", "block_end", "size", F.col("value").cast("binary").alias("value"))
     read.mapInArrow(_edges(halo), _EDGE).write.parquet(f"{out}/edges")
-    edges = spark.read.parquet(f"{out}/edges")
+    # the session's splits may be small, those of this table need not be
+    edges = packed(spark.read.parquet(f"{out}/edges"))
     parts = _runs(edges).repartition("path", "run").sortWithinPartitions("path", "run", "block_start")
     # splits of less than four halos make one run of a whole file, so its windows are dealt out again
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-edges.count() * 4 * halo // TASK_BYTES))
