@@ -8,31 +8,35 @@ other odd run), and so does every sequence of them. So
    a record ends in it;
 2. running sums over the splits of a file, small rows, give the state each split begins in. A quote that is still open at the
    end of the file is plain text: it is the last odd run of the file, and everything behind it is read as if it were even;
-3. a second pass cuts every split into records, which are written; a record over several splits is put together from its parts;
+3. a second pass cuts every split into records, which are written; a record over several splits is put together from its parts, which
+   have a column of their own, so that looking for them reads no other record;
 4. counts of the records that fit the header give by one more running sum the number of each row, and so its chunk of 25 000
    rows. Rows meet their chunk in a shuffle by file and chunk, all of like size.
 
 Nothing but one row for each split is ever sorted by file. The second pass learns the state of its split by a broadcast while there are at
-most ``BROADCAST_SPLITS`` splits and by a join on file and split beyond that.
+most ``BROADCAST_SPLITS`` splits and by a join on file and split beyond that; so do records the number of their row. Small splits share a
+task, as in the reader of texts.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilscan.functions.files import suffix
 from veilscan.session import shared_dir
-from veilscan.sources.documents import lines
+from veilscan.sources.documents import lines, packed
 from veilscan.sources.tables import ROWS_PER_CHUNK, SAMPLE_BYTES, SEPARATORS, column_category, fields, rendered_record, separator
 
-#: Splits whose states are broadcast, about 100 bytes each.
-BROADCAST_SPLITS = 100_000
+#: Splits whose states are broadcast, about 100 bytes each, and bytes of headers that are broadcast with their first row numbers.
+BROADCAST_SPLITS, BROADCAST_BYTES = 100_000, 16 << 20
 _QUOTE, _LINE_END = 0x22, 0x0A
 _MARK = b"\xef\xbb\xbf"
 
@@ -67,15 +71,14 @@ def _normal(values: pa.Array) -> bytes:
     return raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n") if b"\r" in raw else raw
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
-    """Batches cut where the split changes; the lines of a split follow each other."""
+def _by_split(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Batches cut where the split, told by some columns, changes; the lines of a split follow each other."""
     for batch in batches:
-        path, start = batch.column("path"), batch.column("block_start").to_numpy()
-        codes = path.dictionary_encode().indices.to_numpy()
-        cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (start[1:] != start[:-1])) + 1).tolist(), batch.num_rows]
+        codes = [batch.column(c).dictionary_encode().indices.to_numpy() for c in names]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
-                yield (path[a].as_py(), int(start[a])), batch.slice(a, b - a)
+                yield tuple(batch.column(c)[a].as_py() for c in names), batch.slice(a, b - a)
 
 
 class _Summary:
@@ -151,7 +154,7 @@ _SUMMARY = pa.schema(
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: _Summary | None = None
-    for key, part in _by_split(batches):
+    for key, part in _by_split(batches, "path", "block_start"):
         if now is None or now.key != key:
             if now is not None:
                 yield _summary_batch(now)
@@ -215,12 +218,14 @@ def split_states(summaries: DataFrame) -> DataFrame:
 class _Cutter:
     """Cuts the lines of one split into records."""
 
-    def __init__(self, key: tuple[str, int], row: dict):
-        self.key, self.sep, self.cells, self.began = key, ord(row["sep"]), row["cells"], row["began"]
-        self.state, self.plain, self.open_record = row["state"], row["plain"], row["state"] == 1
+    def __init__(self, told: str):
+        row = json.loads(told)
+        self.told, self.key = told, (row["path"], row["block_start"])
+        self.sep, self.cells, self.began = ord(row["sep"]), row["cells"], row.get("began")
+        self.state, self.plain, self.open_record = row["state"], row.get("plain"), row["state"] == 1
         self.held, self.rank, self.odd, self.fresh = b"", 0, 0, True
 
-    def add(self, values: pa.Array) -> list[tuple]:
+    def add(self, values: pa.Array) -> Iterator[pa.RecordBatch]:
         raw = _normal(values)
         if self.fresh and self.key[1] == 0:
             raw = raw.removeprefix(_MARK)
@@ -234,30 +239,40 @@ class _Cutter:
         seps = seps[now[np.searchsorted(starts, seps)] == 0]
         self.odd, self.state = self.odd + len(starts), int(now[-1])
         begins = np.concatenate([[0], ends + 1])
-        cells = np.diff(np.searchsorted(seps, begins)) + 1
-        out = []
-        for i, (a, b) in enumerate(zip(begins[:-1].tolist(), ends.tolist(), strict=True)):
-            if i == 0 and self.open_record:
-                out.append((*self.key, -1, self.began, self.held + raw[a:b]))
-                self.open_record, self.held = False, b""
-            elif i == 0 and self.held:
-                # began in an earlier batch of this split, so its cells are counted anew
-                record = self.held + raw[a:b]
-                self.held = b""
-                if _cells(record, self.sep) <= self.cells:
-                    out.append((*self.key, self.rank, None, record))
-                    self.rank += 1
-            elif b > a and cells[i] <= self.cells:
-                out.append((*self.key, self.rank, None, raw[a:b]))
-                self.rank += 1
+        fits = (ends > begins[:-1]) & (np.diff(np.searchsorted(seps, begins)) + 1 <= self.cells)
+        if len(ends) and self.open_record:
+            yield self._part(self.began, self.held + raw[: int(ends[0])])
+            self.open_record, self.held, fits[0] = False, b"", False
+        elif len(ends) and self.held:
+            # began in an earlier batch of this split, so its cells are counted anew
+            record = self.held + raw[: int(ends[0])]
+            self.held, fits[0] = b"", False
+            if _cells(record, self.sep) <= self.cells:
+                yield self._whole(pa.array([record], pa.binary()))
+        if fits.any():
+            # each record with its line end, which is then taken off
+            offsets = pa.array(begins, pa.int32())
+            cut = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets.buffers()[1], pa.py_buffer(raw)])
+            yield self._whole(pc.binary_slice(cut.filter(pa.array(fits)), 0, -1))
         self.held += raw[int(begins[-1]) :]
-        return out
 
-    def rest(self) -> list[tuple]:
+    def rest(self) -> Iterator[pa.RecordBatch]:
         """What is open at the end of the split: the beginning, or a middle part, of a record."""
-        if not self.held:
-            return []
-        return [(*self.key, -1, self.began if self.open_record else self.key[1], self.held)]
+        if self.held:
+            yield self._part(self.began if self.open_record else self.key[1], self.held)
+
+    def _whole(self, records: pa.Array) -> pa.RecordBatch:
+        n, self.rank = len(records), self.rank + len(records)
+        ranks = pa.array(np.arange(self.rank - n, self.rank))
+        return self._batch(ranks, pa.nulls(n, pa.int64()), records, pa.nulls(n, pa.binary()))
+
+    def _part(self, began: int, part: bytes) -> pa.RecordBatch:
+        return self._batch(pa.array([-1], pa.int64()), pa.array([began], pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.binary()))
+
+    def _batch(self, *columns: pa.Array) -> pa.RecordBatch:
+        n = len(columns[0])
+        path, start = pa.repeat(pa.scalar(self.key[0], pa.string()), n), pa.repeat(pa.scalar(self.key[1], pa.int64()), n)
+        return pa.RecordBatch.from_arrays([path, start, *columns], ["path", "block_start", "rank", "began", "record", "part"])
 
 
 def _cells(record: bytes, sep: int) -> int:
@@ -269,20 +284,14 @@ def _cells(record: bytes, sep: int) -> int:
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: _Cutter | None = None
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["path", "block_start", "rank", "began", "record"])
-
-    for key, part in _by_split(batches):
-        if now is None or now.key != key:
+    for (told,), part in _by_split(batches, "told"):
+        if now is None or now.told != told:
             if now is not None:
-                yield batch(now.rest())
-            now = _Cutter(key, {c: part.column(c)[0].as_py() for c in ("state", "plain", "began", "sep", "cells")})
-        yield batch(now.add(part.column("value")))
+                yield from now.rest()
+            now = _Cutter(told)
+        yield from now.add(part.column("value"))
     if now is not None:
-        yield batch(now.rest())
+        yield from now.rest()
 
 
 def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int) -> DataFrame:
@@ -292,7 +301,7 @@ def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int)
     the shared folder of the session. A header must end in the first split of its file.
     """
     out = shared_dir(spark)
-    rows = lines(spark, root, glob, min_bytes, "\n").select("path", "block_start", "line_no", F.col("value").cast("binary").alias("value"))
+    rows = packed(lines(spark, root, glob, min_bytes, "\n")).select("path", "block_start", "line_no", F.col("value").cast("binary").alias("value"))
     rows.select("path", "block_start", "value").mapInArrow(_summaries, _spark_schema()).write.parquet(f"{out}/summaries")
     names = fields(F.col("header"), F.col("sep"))
     stated = split_states(spark.read.parquet(f"{out}/summaries")).withColumn("cells", F.size(names))
@@ -300,23 +309,28 @@ def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int)
     checked = F.when(F.col("header").isNull() & F.col("filled"), too_long.cast("int")).otherwise(F.col("cells"))
     stated.withColumn("cells", checked).drop("filled").write.parquet(f"{out}/splits")
     splits = spark.read.parquet(f"{out}/splits").where("header is not null")
-    few = splits.count() <= BROADCAST_SPLITS
+    size = splits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("header")), F.lit(0)).alias("bytes")).first()
+    few = size["n"] <= BROADCAST_SPLITS
     told = splits.select("path", "block_start", "state", "plain", "began", "sep", "cells")
     key = ["path", "block_start"]
-    joined = rows.join(F.broadcast(told) if few else told, key)
+    # one column for all that is told, as each is handed over line by line
+    packets = told.select(*key, F.to_json(F.struct(*told.columns)).alias("told"))
+    joined = rows.join(F.broadcast(packets) if few else packets, key)
     if not few:
         joined = joined.sortWithinPartitions(*key, "line_no")
-    cut = joined.select(*key, "value", "state", "plain", "began", "sep", "cells").mapInArrow(_records, "path string, block_start long, rank long, began long, record binary")
+    cut = joined.select("told", "value").mapInArrow(_records, "path string, block_start long, rank long, began long, record binary, part binary")
     cut.write.parquet(f"{out}/records")
-    records = spark.read.parquet(f"{out}/records").withColumn("record", F.make_valid_utf8(F.col("record").cast("string")))
+    records = packed(spark.read.parquet(f"{out}/records")).withColumn("record", F.make_valid_utf8(F.col("record").cast("string")))
 
     # records over several splits: few rows, joined by the split they began in
-    parts = spark.read.parquet(f"{out}/records").where("rank < 0").groupBy("path", "began").agg(
-        F.max("block_start").alias("block_start"), F.array_sort(F.collect_list(F.struct("block_start", "record"))).alias("parts")
+    parts = packed(spark.read.parquet(f"{out}/records")).where("rank < 0").groupBy("path", "began").agg(
+        F.max("block_start").alias("block_start"), F.array_sort(F.collect_list(F.struct("block_start", "part"))).alias("parts")
     )
-    whole = F.make_valid_utf8(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["record"])), "")).cast("string"))
+    whole = F.make_valid_utf8(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["part"])), "")).cast("string"))
     crossing = parts.select("path", "block_start", whole.alias("record")).join(told.select(*key, "sep", "cells"), key)
     crossing = crossing.where(F.size(fields(F.col("record"), F.col("sep"))) <= F.col("cells")).select(*key, F.lit(-1).cast("long").alias("rank"), "record")
+    crossing.write.parquet(f"{out}/crossing")
+    crossing = spark.read.parquet(f"{out}/crossing")
     body = records.where("rank >= 0").select(*key, "rank", "record").unionByName(crossing)
 
     # the header is the first record of its file
@@ -324,8 +338,10 @@ def large_csv_chunks(spark: SparkSession, root: str, glob: str, min_bytes: int)
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counted = splits.select(*key, "sep", "header").join(counts, key, "left").na.fill(0, ["n", "lead"])
     placed = counted.withColumn("first", before - 1 + F.col("lead")).withColumn("names", fields(F.col("header"), F.col("sep")))
-    placed = placed.withColumn("categories", F.transform("names", column_category))
-    numbered = body.join(placed.select(*key, "first", "names", "categories", "sep"), key)
+    placed.select(*key, "n", "first", "sep", "names", F.transform("names", column_category).alias("categories")).write.parquet(f"{out}/placed")
+    placed = spark.read.parquet(f"{out}/placed")
+    begun = placed.select(*key, "first", "names", "categories", "sep")
+    numbered = body.join(F.broadcast(begun) if few and size["bytes"] <= BROADCAST_BYTES else begun, key)
     text = rendered_record(F.col("names"), F.col("categories"), fields(F.col("record"), F.col("sep")))
     filled = (
         numbered.select("path", (F.col("first") + F.col("rank")).alias("row_no"), text.alias("text"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from veilscan.functions import patterns
 from veilscan.functions.files import suffix
 from veilscan.functions.regex import first_rule
+from veilscan.functions.spans import let
 from veilscan.sources.files import WHOLE_FILE_BYTES, file_path
 
 # Rows per chunk, size of the separator sample, rows of a Parquet sample.
@@ -128,24 +129,31 @@ def fields(record: Column, sep: Column) -> Column:
     )
 
     def unquoted(field: Column) -> Column:
-        inner = F.regexp_extract(field, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"', 1)
-        rest = F.regexp_extract(field, r'(?s)\A"[^"]*+(?:""[^"]*+)*+"(.*)\z', 1)
-        return F.when(
-            field.rlike(r'(?s)\A"[^"]*+(?:""[^"]*+)*+"'),
-            F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest),
-        ).otherwise(field)
+        def bare(quoted: Column) -> Column:
+            inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+            rest = F.substring(field, F.length(quoted) + 1, F.length(field))
+            return F.when(quoted == "", field).otherwise(F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest))
+
+        # most fields have no quote, which a look at their first character tells
+        quoted = F.regexp_extract(field, r'\A"[^"]*+(?:""[^"]*+)*+"', 0)
+        return F.when(field.startswith('"'), let(quoted, bare)).otherwise(field)
 
     return F.transform(raw, unquoted)
 
 
 def rendered_record(names: Column, categories: Column, cells: Column) -> Column:
     """One delimited row as text; null when it has more cells than the header."""
-    named = F.zip_with(
-        F.arrays_zip(names.alias("name"), categories.alias("category")),
-        cells,
-        lambda h, c: rendered_cell(h["name"], h["category"], F.coalesce(c, F.lit(""))),
-    )
-    return F.when(F.size(cells) <= F.size(names), F.array_join(F.array_compact(named), "; "))
+
+    def rendered(cells: Column) -> Column:
+        named = F.zip_with(
+            F.arrays_zip(names.alias("name"), categories.alias("category")),
+            cells,
+            lambda h, c: rendered_cell(h["name"], h["category"], F.coalesce(c, F.lit(""))),
+        )
+        return F.when(F.size(cells) <= F.size(names), F.array_join(F.array_compact(named), "; "))
+
+    # the fields are searched once, however often they are used
+    return let(cells, rendered)
 
 
 def csv_chunks(files: DataFrame, max_bytes: int = WHOLE_FILE_BYTES, max_chunks: int | None = None) -> DataFrame:
