@@ -1,7 +1,5 @@
 """Small splits of texts: few rows that meet by file, no work for copies."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,11 +36,23 @@ def test_neighbouring_splits_meet_in_their_task(spark, tmp_path, monkeypatch, sm
     assert edges.count() <= 2 * spark.sparkContext.defaultParallelism + 2 < len(text.encode()) // small_splits
 
 
-def test_text_length_is_counted_once(spark):
+def test_text_length_is_counted_once(spark, monkeypatch):
     """Not for every machine readable zone: that took the square of a text's length."""
-    rule = str(detect._mrz(F.col("text"), F.col("hits")))
-    assert len(re.findall(r"length\(text\)|char_length\(text\)", rule)) == 1
-    assert not re.search(r"least\([^()]*(\([^()]*\)[^()]*)*length\(text\)", rule), rule
+    text, transform, length = F.col("text"), F.transform, F.length
+    depth, counted = [0], []
+
+    def deeper(*args):
+        depth[0] += 1
+        out = transform(*args)
+        depth[0] -= 1
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(F, "transform", deeper)
+        m.setattr(F, "length", lambda c: (counted.append(depth[0]) if c is text else None, length(c))[1])
+        detect._mrz(text, F.col("hits"))
+    # outside of all loops over matches
+    assert counted == [0]
     line = "P<RUSORLOV<<PETR<<<<<<<<<<<<<<<<<<<<<<<<<<<<\n1234567890RUS8001017M2501017<<<<<<<<<<<<<<02"
     text = f"{line}\nконец\n{line}"
     spans = detect.with_spans(spark.createDataFrame([(text,)], "text string"), detectors=["mrz"]).first().spans
